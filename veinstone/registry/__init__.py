@@ -1,0 +1,6 @@
+from veinstone.registry import catalog
+from veinstone.registry.base import Query
+
+
+def all_queries() -> list[Query]:
+    return [*catalog.group.queries]

@@ -52,8 +52,7 @@ def difference(spark, con, query, sf_dir):
     a, b = normalized(df.columns, got), normalized(names, want)
     if a == b:
         return None, len(got)
-    only_a = [x for x in a if x not in set(b)][:2]
-    only_b = [x for x in b if x not in set(a)][:2]
+    only_a, only_b = sorted(set(a) - set(b))[:2], sorted(set(b) - set(a))[:2]
     return f"{len(a)} vs {len(b)} rows; spark-only {only_a} sql-only {only_b}", len(got)
 
 

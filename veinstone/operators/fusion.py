@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from veinstone import fixed_values as fv
 from veinstone.functions import text as tx
 
-PER_QUERY = Window.partitionBy("query_id")
+def per_query():
+    return Window.partitionBy("query_id")
 
 
 def rerank_by(rows: DataFrame, *order) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(PER_QUERY.orderBy(*order)))
+    return rows.withColumn("rank", F.row_number().over(per_query().orderBy(*order)))
 
 
 def _sources(rows: DataFrame, *keys: str) -> list[str]:
@@ -77,7 +78,7 @@ def boost_anchors(rows: DataFrame, anchors: str = "anchors", text: str = "text")
 
 def grounded_only(rows: DataFrame, signals: str, text: str = "text") -> DataFrame:
     """Drop every row of a question none of whose subject signals occurs anywhere."""
-    hit = F.max(tx.contains_any(F.col(text), F.col(signals))).over(PER_QUERY)
+    hit = F.max(tx.contains_any(F.col(text), F.col(signals))).over(per_query())
     return rows.withColumn("_grounded", hit).filter(
         (F.size(signals) == 0) | F.col("_grounded")).drop("_grounded")
 
@@ -94,7 +95,7 @@ def identifier_gate(rows: DataFrame, wanted: str = "query_codes", linked: str =
     """Questions that name codes keep rows with one of them or a linked one, and
     keep nothing unless every named code is covered."""
     found = F.filter(wanted, lambda c: F.contains(F.col(text), c))
-    covered = F.size(F.array_distinct(F.flatten(F.collect_list(found).over(PER_QUERY))))
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list(found).over(per_query()))))
     checked = rows.withColumn("_found", found).withColumn("_covered", covered)
     free = F.size(wanted) == 0
     kept = checked.filter(free | (
@@ -130,7 +131,7 @@ def linked_references(rows: DataFrame, signals: str = "signals", wanted: str = "
         (F.col("value") != "") & ~F.array_contains(wanted, F.col("_key")))
     first = fresh.groupBy("query_id", "_key").agg(
         F.min(F.struct("rank", "_pos", "value")).alias("_first"))
-    kept = first.withColumn("_n", F.row_number().over(PER_QUERY.orderBy("_first"))).filter(
+    kept = first.withColumn("_n", F.row_number().over(per_query().orderBy("_first"))).filter(
         F.col("_n") <= limit)
     return kept.groupBy("query_id").agg(F.transform(
         F.array_sort(F.collect_list("_first")), lambda f: f["value"]).alias("linked"))

@@ -28,12 +28,12 @@ def postings(filename: Column, title: Column, content: Column) -> Column:
     A token weighs 4 for the file name, 3 for the title and 1 for the content,
     each field counted once however often the token occurs in it.
     """
-    fields = [(tx.lexical_tokens(filename), fv.FILENAME_WEIGHT),
-              (tx.lexical_tokens(title), fv.TITLE_WEIGHT),
-              (tx.lexical_tokens(content), fv.CONTENT_WEIGHT)]
-    return F.concat(*[
-        F.transform(tokens, lambda t, w=weight: F.struct(t.alias("token"), F.lit(w).alias("weight")))
-        for tokens, weight in fields])
+    def weighted(field: Column, weight: int) -> Column:
+        return F.transform(tx.lexical_tokens(field), lambda t: F.struct(
+            t.alias("token"), F.lit(weight).alias("weight")))
+
+    return F.concat(weighted(filename, fv.FILENAME_WEIGHT), weighted(title, fv.TITLE_WEIGHT),
+                    weighted(content, fv.CONTENT_WEIGHT))
 
 
 def search_projection(chunks: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ def _related(index, fused, config) -> DataFrame:
     k = config.evidence_top_k
     documents = fused.groupBy("query_id", "document_id").agg(F.min("rank").alias("_place"))
     first = fusion.rerank_by(documents, "_place").filter(F.col("rank") <= 2 * k)
-    counted = first.withColumn("_n", F.count("*").over(fusion.PER_QUERY)).select(
+    counted = first.withColumn("_n", F.count("*").over(fusion.per_query())).select(
         "query_id", "document_id", "_n")
     chunks = join_small(index.select("chunk_id", *SOURCE), cut_lineage(counted), "document_id")
     most = max(4 * config.rerank_candidates, 24 * k)

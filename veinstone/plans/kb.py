@@ -129,8 +129,12 @@ NOW = "2024-01-20 00:00:00"
 
 def outbox(spark, sf_dir) -> DataFrame:
     """Events read as outbox rows of a queue observed at ``NOW``."""
+    return as_outbox(table(spark, sf_dir, "events"))
+
+
+def as_outbox(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("aggregate_id"),
         F.when(F.col("event_type") == "view", "published")
         .when(F.col("event_type") == "error", "dead")

@@ -18,8 +18,13 @@ from veinstone import fixed_values as fv
 
 
 def java(pattern: str) -> str:
-    """The same pattern with Unicode character classes switched on for the JVM."""
-    return "(?U)" + pattern
+    """The same pattern with Unicode character classes for the JVM.
+
+    The costly Unicode mode is only switched on where a class needs it.
+    """
+    if any(c in pattern for c in (r"\s", r"\w", r"\b")):
+        return "(?U)" + pattern
+    return pattern.replace(r"\d", r"\p{Nd}")
 
 
 def is_ascii(text: Column) -> Column:
@@ -93,7 +98,7 @@ def lexical_tokens(normalized: Column, limit: int = fv.FIELD_TOKEN_LIMIT) -> Col
 
 def identifiers(text: Column) -> Column:
     """All ``CTL-4616``-style identifiers in order of appearance."""
-    return F.regexp_extract_all(text, F.lit("(?i)" + java(fv.IDENTIFIER)), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(java(fv.IDENTIFIER)), F.lit(1))
 
 
 def acronyms(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Cutting parsed units into chunks of bounded token size.
 
-A document is one row holding its units; splitting, packing and overlap are
-array expressions on that row, so chunking needs no shuffle.
+A document is one row holding its units; everything happens on that row, so
+chunking needs no shuffle.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veinstone import fixed_values as fv
 from veinstone.config import EngineConfig
 from veinstone.functions import text as tx
+from veinstone.functions.cutting import unit_contents
 from veinstone.functions.hashing import chunk_id, content_hash, record_hash
 
 UNIT = T.StructType([
@@ -25,82 +25,19 @@ UNIT = T.StructType([
 ])
 
 
-def _filled(parts: Column) -> Column:
-    return F.filter(F.transform(parts, tx.strip), lambda p: p != "")
-
-
-def sentences(text: Column, max_tokens: int) -> Column:
-    """Blank-line paragraphs; those over the limit are cut after sentence ends."""
-    paragraphs = _filled(F.split(text, f"\n[{fv.SPACE}]*\n"))
-    cut = f"(?<=[{fv.SENTENCE_END}])[{fv.SPACE}]*"
-    return F.flatten(F.transform(paragraphs, lambda p: F.when(
-        tx.estimate_tokens(p) > max_tokens, _filled(F.split(p, cut))).otherwise(F.array(p))))
-
-
-def _measured(sentence: Column, max_tokens: int) -> Column:
-    """The sentence, its tokens and, when oversize, its hard-cut segments."""
-    tokens = tx.estimate_tokens(sentence)
-    size = F.length(sentence)
-    step = F.greatest(F.lit(200), max_tokens * F.greatest(F.lit(1), F.floor(size / tokens))).cast("int")
-    segments = _filled(F.transform(F.sequence(F.lit(1), size, step),
-                                   lambda i: F.substring(sentence, i, step)))
-    return F.struct(sentence.alias("text"), tokens.alias("tokens"), F.when(
-        tokens > max_tokens, segments).otherwise(F.array().cast("array<string>")).alias("segments"))
-
-
-def pack(sentence_list: Column, max_tokens: int) -> Column:
-    """Greedily fill parts up to the limit; oversize sentences stand alone."""
-    start = F.struct(F.array().cast("array<string>").alias("parts"),
-                     F.array().cast("array<string>").alias("open"), F.lit(0).alias("tokens"))
-
-    def add(state: Column, s: Column) -> Column:
-        full = (F.size(state["open"]) > 0) & (state["tokens"] + s["tokens"] > max_tokens)
-        closed = F.when(full, F.array_append(state["parts"], F.array_join(state["open"], "\n\n"))
-                        ).otherwise(state["parts"])
-        rest = F.when(full, F.array().cast("array<string>")).otherwise(state["open"])
-        used = F.when(full, 0).otherwise(state["tokens"])
-        alone = s["tokens"] > max_tokens
-        return F.struct(
-            F.concat(closed, s["segments"]).alias("parts"),
-            F.when(alone, rest).otherwise(F.array_append(rest, s["text"])).alias("open"),
-            F.when(alone, used).otherwise(used + s["tokens"]).alias("tokens"))
-
-    def close(state: Column) -> Column:
-        return F.when(F.size(state["open"]) > 0, F.array_append(
-            state["parts"], F.array_join(state["open"], "\n\n"))).otherwise(state["parts"])
-
-    return F.aggregate(F.transform(sentence_list, lambda s: _measured(s, max_tokens)), start, add, close)
-
-
-def overlapped(parts: Column, is_table: Column, config: EngineConfig) -> Column:
-    """Prefix each part with the last words of the one before, where that still fits."""
-    def content(part: Column, i: Column) -> Column:
-        before = tx.words(F.get(parts, i - 1))
-        tail = F.array_join(F.slice(before, F.greatest(
-            F.size(before) - config.chunk_overlap_tokens + 1, F.lit(1)),
-            max(1, config.chunk_overlap_tokens)), " ")
-        joined = F.concat(tail, F.lit("\n\n"), part)
-        fits = (i > 0) & ~is_table & (tail != "") & (tx.estimate_tokens(joined) <= config.chunk_max_tokens)
-        return F.when(fits, joined).otherwise(part)
-
-    return _filled(F.transform(parts, content))
-
-
 def chunk_documents(documents: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """One row per chunk of (version_id, units); the other columns are kept.
 
     Ordinals run over all units of a version; ids and neighbour links come
     from the array itself.
     """
-    top = config.chunk_max_tokens
     keep = [c for c in documents.columns if c != "units"]
-    cut = documents.withColumn("_units", F.transform("units", lambda u: F.struct(
-        u.alias("unit"), pack(sentences(u["text"], top), top).alias("parts"))))
-    cut = cut.withColumn("_chunks", F.flatten(F.transform("_units", lambda u: F.transform(
-        overlapped(u["parts"], F.coalesce(u["unit"]["is_table"], F.lit(False)), config),
-        lambda text: F.struct(
+    cut = documents.withColumn("_contents", unit_contents(
+        F.transform("units", lambda u: u["text"]), F.transform("units", lambda u: u["is_table"]), config))
+    cut = cut.withColumn("_chunks", F.flatten(F.zip_with("units", "_contents", lambda u, texts: F.transform(
+        texts, lambda text: F.struct(
             text.alias("content"), content_hash(text).alias("content_hash"),
-            *[u["unit"][f].alias(f) for f in ("heading_path", "page_number", "sheet_name", "cell_range")])))))
+            *[u[f].alias(f) for f in ("heading_path", "page_number", "sheet_name", "cell_range")])))))
     named = cut.withColumn("_ids", F.transform("_chunks", lambda c, i: chunk_id(
         F.col("version_id"), i, c["content_hash"])))
     rows = named.select(*keep, "_ids", F.posexplode("_chunks").alias("ordinal", "_c"))

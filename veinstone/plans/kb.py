@@ -102,7 +102,7 @@ def record_versions(spark, sf_dir) -> DataFrame:
 
 
 def record_chunks(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     content = F.concat_ws(
         " ", code("ORD", F.col("l_orderkey")), F.lit("line"), F.col("l_linenumber"),
         F.lit("ships part"), code("PRT", F.col("l_partkey")), F.lit("from supplier"),

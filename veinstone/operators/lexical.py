@@ -19,7 +19,7 @@ from veinstone import fixed_values as fv
 from veinstone.cluster import cut_lineage, is_small, join_small
 from veinstone.functions import text as tx
 
-MAX_SIGNALS = 200_000
+FEW_SIGNALS, MAX_SIGNALS = 512, 200_000
 
 
 def postings(filename: Column, title: Column, content: Column) -> Column:
@@ -54,6 +54,8 @@ def search_projection(chunks: DataFrame) -> DataFrame:
 def write_search_index(index: DataFrame, name: str, buckets: int) -> DataFrame:
     """Store the projection bucketed by chunk, so that scores need no shuffle."""
     index.write.mode("overwrite").bucketBy(buckets, "chunk_id").sortBy("chunk_id").saveAsTable(name)
+    # the automatic choice only looks at plain joins and would ignore the buckets
+    index.sparkSession.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
     return index.sparkSession.table(name)
 
 
@@ -75,10 +77,15 @@ def question_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def contained_signals(raw_text: Column, signals: list[str]) -> Column:
-    """Which of ``signals`` occur as substrings: one pass over each text.
+    """Which of ``signals`` occur as substrings.
 
-    The automaton is built once per task from the (bounded) question side.
+    A few are tested one by one, which keeps the plan in the JVM and its
+    partitioning known; for more an automaton, built once per task from the
+    (bounded) question side, finds all in one pass over each text.
     """
+    if len(signals) <= FEW_SIGNALS:
+        return F.filter(F.array(*[F.lit(s) for s in signals]), lambda s: F.contains(raw_text, s))
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = ahocorasick.Automaton()

@@ -60,7 +60,8 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int,
 def _search_block(index: DataFrame, queries: DataFrame, k: int, min_similarity) -> DataFrame:
     asked = queries.toArrow()
     ids = asked.column("query_id").combine_chunks()
-    matrix = np.array(asked.column("vector").to_pylist(), dtype="float64").reshape(len(ids), -1)
+    listed = np.array(asked.column("vector").to_pylist(), dtype="float64")
+    matrix = listed.reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(lengths == 0, 1.0, lengths)
     projects = asked.column("project_ids").to_pylist() if "project_ids" in queries.columns else []

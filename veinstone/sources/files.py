@@ -120,9 +120,9 @@ def store_objects(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     known = existing.select("object_key", F.col("sha256").alias("_known"))
     judged = hashed.join(known, "object_key", "left").join(several, "object_key", "left")
     clash = F.col("_n").isNotNull() | (F.col("_known") != F.col("sha256"))
-    checked = judged.withColumn("object_key", F.when(F.coalesce(clash, F.lit(False)), F.raise_error(
-        F.concat(F.lit("immutable object collision at "), "object_key"))).otherwise(F.col("object_key")))
-    return checked.filter(F.col("_known").isNull()).select("object_key", "data", "sha256")
+    refuse = F.raise_error(F.concat(F.lit("immutable object collision at "), F.col("object_key").cast("string")))
+    new = F.when(F.coalesce(clash, F.lit(False)), refuse.cast("boolean")).otherwise(F.col("_known").isNull())
+    return judged.filter(new).select("object_key", "data", "sha256")
 
 
 def resolve_path(root: str, path: str) -> str:

@@ -66,35 +66,25 @@ def with_position(cuts: Cuts, df: DataFrame, *order: Column) -> DataFrame:
 
 
 def components(cuts: Cuts, links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b); the component is the smallest node.
+    """(node, component) for every node of ``links`` (a, b): nodes have equal components when linked.
 
-    Every round hangs each node below the smallest node near it and then follows that pointer once
-    more, so path lengths at least halve; hot nodes are pre-aggregated by ``min``. Edges inside a
-    finished component disappear, and the loop ends when none is left.
+    Each round merges every node with the smallest node two steps down its smallest neighbours and
+    contracts the edges; nodes at least halve, so the rounds grow with the logarithm of the longest
+    path. Hot nodes are pre-aggregated by ``min``.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cuts.keep(both.filter("a <> b").distinct())
-    label = cuts.keep(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c"))
-                      .select(F.col("a").alias("node"), "c"))
-    while True:
-        up = label.select(F.col("node").alias("c"), F.col("c").alias("up"))
-        short = label.join(up, "c", "left").select("node", F.coalesce("up", "c").alias("c"))
-        short = cuts.keep(short)
-        seen = short.select(F.col("node").alias("b"), F.col("c").alias("other"))
-        near = (edges.join(seen, "b").groupBy("a").agg(F.min("other").alias("other"))
-                .withColumnRenamed("a", "node"))
-        joined = cuts.keep(short.join(near, "node").select(
-            "node", F.least("c", "other").alias("c"), F.col("c").alias("was"), "other"))
-        # a root takes the smallest label that any node below it has seen
-        roots = joined.groupBy(F.col("was").alias("node")).agg(F.min("c").alias("best"))
-        moved = cuts.keep(joined.select("node", "c").join(roots, "node", "left").select(
-            "node", F.least("c", F.coalesce("best", "c")).alias("c"), (F.col("best") < F.col("c")).alias("root_moved")))
-        changed = not joined.filter("other <> was").isEmpty() or not moved.filter("root_moved").isEmpty()
-        following = moved.select("node", "c")
-        settled = not changed and following.join(
-            following.select(F.col("node").alias("c"), F.col("c").alias("top")), "c").filter("top <> c").isEmpty()
-        cuts.drop(label, short, joined)
-        label = moved
-        if settled:
-            cuts.drop(edges)
-            return label.select("node", F.col("c").alias("component"))
+    label = cuts.keep(edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    while not edges.isEmpty():
+        low = cuts.keep(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
+        down = low.select(F.col("a").alias("p"), F.col("p").alias("to"))
+        step = cuts.keep(low.join(down, "p").select("a", "to"))
+        other = step.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
+        moved = cuts.keep(label.join(step.withColumnRenamed("a", "component"), "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component")))
+        fewer = cuts.keep(edges.join(step, "a").join(other, "b").filter("to <> to_b").select(
+            F.col("to").alias("a"), F.col("to_b").alias("b")).distinct())
+        cuts.drop(edges, label, low, step)
+        edges, label = fewer, moved
+    cuts.drop(edges)
+    return label

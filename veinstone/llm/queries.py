@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veinstone.llm import merkle, mixing, urls
+from veinstone.llm import html, merkle, mixing, neighbours, packing, quality, secrets, urls
 
 #: Fixed values of the contract: verdict, host, path.
 URL_RULES = [
@@ -20,6 +20,19 @@ def op1_source_mix(spark, sf):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_secret_scan(spark, sf):
+    found = secrets.scan_documents(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op3_best_fit_packing(spark, sf):
+    return packing.pack_documents(_table(spark, sf, "documents"), window=2048)
+
+
+def op4_multi_index_hashing(spark, sf):
+    return neighbours.nearest(_table(spark, sf, "embeddings"), k=5, every=50)
+
+
 def op5_merkle_fingerprints(spark, sf):
     return merkle.fingerprint_documents(_table(spark, sf, "documents"))
 
@@ -29,6 +42,14 @@ def op8_url_filter(spark, sf):
     return urls.judge_urls(_table(spark, sf, "pages"), rules)
 
 
+def op9_main_text(spark, sf):
+    return html.extract(_table(spark, sf, "pages"))
+
+
+def op10_cotrained_quality(spark, sf):
+    return quality.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 OP8_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -41,5 +62,7 @@ m AS (SELECT n, arg_max(verdict, length(rhost || rpath)) AS verdict, arg_max(rho
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (n)
 """
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op5_merkle_fingerprints, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (
+    op1_source_mix, op2_secret_scan, op3_best_fit_packing, op4_multi_index_hashing, op5_merkle_fingerprints,
+    op8_url_filter, op9_main_text, op10_cotrained_quality)}
 SQL = {"op8_url_filter": OP8_SQL}

@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.llm.common import Cuts, components
@@ -232,7 +232,9 @@ def _lists(batches):
     """
     held, long_key = None, None
 
-    def found(key, a, b):
+    def found(key, a, b=None):
+        n = len(a)
+        key, b = pa.nulls(n, pa.int64()) if key is None else key, pa.nulls(n, pa.int64()) if b is None else b
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], schema=_FOUND_ARROW)
 
     def work(key, name, n, pos):
@@ -245,7 +247,7 @@ def _lists(batches):
         of = np.repeat(length, length)
         long_row = (of > SHORT) | (key == long_key if long_key is not None else False)
         if long_row.any():
-            yield found(key[long_row], name[long_row], np.full(long_row.sum(), -1))
+            yield found(key[long_row], name[long_row])
         left, right = [], []
         short = np.flatnonzero((of > 1) & ~long_row)
         for apart in range(1, SHORT):
@@ -256,13 +258,14 @@ def _lists(batches):
             j = i + apart
             small, large = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
             need = -(-4 * (n[small] + n[large]) // 9)
-            most = np.minimum(pos[small], pos[large]) + 1 + np.minimum(n[small] - pos[small], n[large] - pos[large]) - 1
+            # in the list of the first shared shingle, nothing before it is shared
+            most = np.minimum(n[small] - pos[small], n[large] - pos[large])
             fits = (5 * n[small] >= 4 * n[large]) & ((pos[small] < 0) | (most >= need) & (9 * pos[small] <= n[small]))
             left.append(np.minimum(name[i], name[j])[fits])
             right.append(np.maximum(name[i], name[j])[fits])
         if left and sum(map(len, left)):
             pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-            yield found(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+            yield found(None, pairs[:, 0], pairs[:, 1])
 
     for batch in batches:
         rows = [np.asarray(c) for c in batch.columns]
@@ -314,8 +317,7 @@ def _long_lists(cuts: Cuts, members: DataFrame, sets: DataFrame) -> list[DataFra
     """
     links, pivots = [], 2
     while not members.isEmpty():
-        chosen = members.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("a").alias("h"), "a"))), 1, pivots)
-                                            .alias("p")) if pivots < 0 else _smallest(members, pivots)
+        chosen = _smallest(members, pivots)
         against = cuts.keep(members.join(chosen, "key").filter("a <> b"))
         pairs = against.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         known = cuts.keep(_verified(pairs, sets))
@@ -368,8 +370,8 @@ def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
 
     keys = docs.mapInArrow(_keys(boundary, frequent), _KEYS)
     found = cuts.keep(keys.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_lists, _FOUND))
-    members = found.filter("b = -1 AND key <> 0").select("key", "a")
-    pairs = found.filter("NOT (b = -1 AND key <> 0)").select("a", "b").distinct()
+    members = found.filter("b IS NULL").select("key", "a")
+    pairs = found.filter("b IS NOT NULL").select("a", "b").distinct()
     needed = found.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id")
     readers = owners.join(needed, "set_id").groupBy("set_id").agg(F.min("id").alias("id")).select("id").distinct()
     sets = cuts.keep(docs.join(readers, "id").select("id", "text").mapInArrow(_sets, "set_id long, shingles array<long>")
@@ -388,3 +390,19 @@ def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
     return full.join(least, "component").select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").unionByName(
         classes.filter("n = 0").select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), doc_id.alias("component_id")))
+
+
+def keep_one(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
+    """``documents`` with one row for each group of linked documents: the one with the smallest doc_id.
+
+    Documents without words are in no group and stay. Of rows that repeat doc_id and text one stays; a row
+    without doc_id stays if its group has no doc_id.
+    """
+    cuts = cuts or Cuts(documents.sparkSession)
+    classes = join_documents(documents, cuts)
+    kept = classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
+    rows = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
+    turn = Window.partitionBy("_id").orderBy("text")
+    same = F.col("text").eqNullSafe(F.lag("text").over(turn)) & (F.row_number().over(turn) > 1)
+    return rows.join(kept, "_id", "left_semi").withColumn("_same", same).filter("NOT _same").select(*documents.columns)

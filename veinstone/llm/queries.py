@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veinstone.llm import html, merkle, mixing, neighbours, packing, quality, secrets, urls
+from veinstone.llm import html, jaccard, merkle, mixing, neighbours, packing, quality, repeats, secrets, urls
 
 #: Fixed values of the contract: verdict, host, path.
 URL_RULES = [
@@ -37,6 +37,14 @@ def op5_merkle_fingerprints(spark, sf):
     return merkle.fingerprint_documents(_table(spark, sf, "documents"))
 
 
+def op6_jaccard_join(spark, sf):
+    return jaccard.join_documents(_table(spark, sf, "documents"))
+
+
+def op7_suffix_array_dedup(spark, sf):
+    return repeats.remove_repeats(_table(spark, sf, "documents"))
+
+
 def op8_url_filter(spark, sf):
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return urls.judge_urls(_table(spark, sf, "pages"), rules)
@@ -64,5 +72,5 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_secret_scan, op3_best_fit_packing, op4_multi_index_hashing, op5_merkle_fingerprints,
-    op8_url_filter, op9_main_text, op10_cotrained_quality)}
+    op6_jaccard_join, op7_suffix_array_dedup, op8_url_filter, op9_main_text, op10_cotrained_quality)}
 SQL = {"op8_url_filter": OP8_SQL}

@@ -53,10 +53,11 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, of: np.ndarray | None = None, inside: np.ndarray | None = None):
-    """(gram, start, windows, again) of the strips of some bytes.
+    """(gram, digest, start, windows, again) of the strips of some bytes.
 
-    A strip is a run of windows whose smallest gram hash is the same, of at most STRIP windows. ``again``:
-    the gram occurs again in the run, as it goes on behind the gram it starts with.
+    A strip is a run of windows whose smallest gram hash is the same, of at most STRIP windows; its digest
+    is over all its gram hashes. ``again``: the gram occurs again in the run, as it goes on behind the
+    gram it starts with.
     """
     h = gram_hashes(data)
     least = _smallest(h, STRIP)
@@ -72,11 +73,27 @@ def _runs(data: np.ndarray, of: np.ndarray | None = None, inside: np.ndarray | N
     pieces = -(-(end - new) // STRIP)
     turn = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(new, pieces) + STRIP * turn
-    return least[start], start, np.minimum(STRIP, np.repeat(end, pieces) - start), np.repeat(again, pieces)
+    windows = np.minimum(STRIP, np.repeat(end, pieces) - start)
+    power, inverse = _powers(len(h))
+    sums = np.append(np.uint64(0), np.cumsum(h * power))
+    digest = mix((sums[start + windows + STRIP - 1] - sums[start]) * inverse[start] + windows.astype(np.uint64))
+    return least[start], digest, start, windows, np.repeat(again, pieces)
+
+
+_held_powers: list = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a factor and of its inverse modulo 2**64, made once per worker."""
+    if not _held_powers or len(_held_powers[0]) < n:
+        size = max(n, SLICE + 2 * LENGTH)
+        back = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+        _held_powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(size, f, np.uint64))) for f in (_FACTOR, back)]
+    return _held_powers[0][:n], _held_powers[1][:n]
 
 
 def _strips(raws: list[bytes]):
-    """(text number, gram, start, windows, again) of all texts; short ones share the array work."""
+    """(text number, gram, digest, start, windows, again) of all texts; short ones share the array work."""
     held, size = [], 0
     for i, raw in enumerate([*raws, None]):
         if held and (raw is None or size + len(raw) > SLICE):
@@ -84,8 +101,8 @@ def _strips(raws: list[bytes]):
             data = np.frombuffer(b"".join(r for _, r in held), np.uint8)
             of = np.repeat(np.arange(len(held)), np.diff(offsets))[:len(data) - LENGTH + 1]
             inside = offsets[of + 1] - np.arange(len(of)) >= LENGTH
-            gram, start, windows, again = _runs(data, of, inside)
-            yield np.array([j for j, _ in held])[of[start]], gram, start - offsets[of[start]], windows, again
+            gram, digest, start, windows, again = _runs(data, of, inside)
+            yield np.array([j for j, _ in held])[of[start]], gram, digest, start - offsets[of[start]], windows, again
             held, size = [], 0
         if raw is None or len(raw) < LENGTH:
             continue
@@ -95,44 +112,61 @@ def _strips(raws: list[bytes]):
             continue
         data, n = np.frombuffer(raw, np.uint8), len(raw) - LENGTH + 1
         for at in range(0, n, SLICE):  # a run cut here counts as two strips
-            gram, start, windows, again = _runs(data[at:min(n, at + SLICE) + LENGTH - 1])
-            yield np.full(len(gram), i), gram, start + at, windows, again
+            gram, digest, start, windows, again = _runs(data[at:min(n, at + SLICE) + LENGTH - 1])
+            yield np.full(len(gram), i), gram, digest, start + at, windows, again
 
 
 def _bytes(column) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
-_PLACE = "key long, doc long, span long, known boolean"
+# A span: the text's tag, the first window, whether the strip repeats its gram, and the number of windows.
+TAG, START, AGAIN = 47, 8, 7
+START_MASK, WINDOWS_MASK = (1 << 39) - 1, 127
+
+
+def _batch(rows, schema):
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+_PLACE = "key long, digest long, doc long, span long"
+_PLACE_NAMES = ["key", "digest", "doc", "span"]
+
+
+def _firsts(key, digest, doc, span):
+    """Of rows sorted by key, digest and place: which are the first of their strip, which are at the same place."""
+    new = np.r_[True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return new, (doc == doc[lead]) & (span == span[lead])
 
 
 def _places(batches):
-    """(gram, document, span) of all strips. A span holds the text's tag, the first window and their number.
+    """(gram, digest, document, span) of the strips of a task: of equal ones the earliest under their gram.
 
-    A gram that a task meets again is known to repeat: all its places are sent anywhere (``known``), and
-    one more row tells the gram's own task, so a frequent gram sends there one row from each task.
+    The others are repeats for sure; they pass with a key of their own and a negative span. So a frequent
+    strip sends its gram's task one row from each task.
     """
     held, size = [], 0
 
     def flush():
         nonlocal held, size
-        gram, doc, span, again = (np.concatenate(c) for c in zip(*held, strict=True))
+        gram, digest, doc, span = (np.concatenate(c) for c in zip(*held, strict=True))
         held, size = [], 0
-        _, first, number, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-        count += np.bincount(number, again, len(count)).astype(np.int64)
-        known = count[number] > 1
-        key = np.where(known, mix(gram ^ mix(doc.view(np.uint64) + span.view(np.uint64))), gram).view(np.int64)
-        told = gram[first[count > 1]].view(np.int64)
-        key, doc = np.append(key, told), np.append(doc, np.full(len(told), NO_ID))
-        span, known = np.append(span, np.full(len(told), -1)), np.append(known, np.zeros(len(told), bool))
+        order = np.lexsort((span, doc, digest, gram))
+        gram, digest, doc, span = gram[order].view(np.int64), digest[order].view(np.int64), doc[order], span[order]
+        new, same = _firsts(gram, digest, doc, span)
+        take = new | ~same
+        key = np.where(new, gram, mix((doc ^ span).view(np.uint64)).view(np.int64))
+        span = np.where(new, span, -1 - span)
         for at in range(0, len(key), 100_000):
-            part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (key, doc, span, known)], names=["key", "doc", "span", "known"])
+            part = np.flatnonzero(take[at:at + 100_000]) + at
+            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (key, digest, doc, span)], names=_PLACE_NAMES)
 
     for batch in batches:
         ids, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
-        for text, gram, start, windows, again in _strips(_bytes(batch.column(2))):
-            held.append((gram, ids[text], (tags[text] << 47) | (start << 7) | windows, again))
+        for text, gram, digest, start, windows, again in _strips(_bytes(batch.column(2))):
+            span = (tags[text] << TAG) | (start << START) | (again.astype(np.int64) << AGAIN) | windows
+            held.append((gram, digest, ids[text], span))
             size += len(gram)
         if size > 1_000_000:
             yield from flush()
@@ -140,84 +174,87 @@ def _places(batches):
         yield from flush()
 
 
-def _repeated(batches):
-    """Known places, and the places of grams that several rows have; rows come sorted by gram."""
-    last_key, last_row = None, None
-    for batch in batches:
-        key, doc, span, known = (np.asarray(c) for c in (batch.column(0), batch.column(1), batch.column(2), batch.column(3)))
+_JUDGED = "gram long, doc long, span long"
+
+
+def _judged(batches):
+    """Strips that occur earlier as a whole (gram null), and strips that must be compared with others.
+
+    Rows come sorted by gram, digest and place. The first of equal strips is compared when its gram has
+    other strips, too, or when it repeats its gram; later ones are covered. Only the last gram's rows
+    wait for the next batch, and no more than LONG of them.
+    """
+    held = None
+    before = None  # key, digest, doc, span: the first of the strip that a cut gram ended with
+
+    def work(key, digest, doc, span, cut):
+        nonlocal before
         if not len(key):
+            return
+        new, same = _firsts(key, digest, doc, span)
+        several = np.r_[True, key[1:] != key[:-1]]
+        group = np.cumsum(several) - 1
+        compared = new & ((np.bincount(group, new) > 1)[group] | ((span >> AGAIN) & 1 > 0))
+        if cut:
+            compared |= new & (key == key[-1])
+        if before is not None and key[0] == before[0]:
+            compared |= new & (key == key[0])
+            if digest[0] == before[1]:  # goes on with the strip of the part before
+                run = (key == key[0]) & (digest == digest[0])
+                compared &= ~run
+                new = new & ~run
+                same = np.where(run, (doc == before[2]) & (span == before[3]), same)
+        covered = ~new & ~same
+        if cut:
+            first = np.flatnonzero(new)
+            before = (key[-1], digest[-1], doc[first[-1]], span[first[-1]]) if len(first) and digest[first[-1]] == digest[-1] else before
+        for rows, gram in ((compared, key), (covered, None)):
+            n = int(rows.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if gram is None else pa.array(gram[rows]), pa.array(doc[rows]),
+                                                  pa.array(span[rows])], names=["gram", "doc", "span"])
+
+    for batch in batches:
+        rows = [np.asarray(c) for c in batch.columns]
+        passed = rows[3] < 0
+        if passed.any():
+            n = int(passed.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(rows[2][passed]), pa.array(-1 - rows[3][passed])],
+                                             names=["gram", "doc", "span"])
+            rows = [c[~passed] for c in rows]
+        if held is not None:
+            rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+        if not len(rows[0]):
             continue
-        again = np.r_[last_key is not None and key[0] == last_key, key[1:] == key[:-1]]
-        again &= ~known
-        again_next = np.append(again[1:], False)
-        take = known | again | again_next
-        out_doc, out_span = doc[take], span[take]
-        if again[0] and last_row is not None:  # the first of its gram was the last of the batch before
-            out_doc, out_span = np.append(out_doc, last_row[0]), np.append(out_span, last_row[1])
-        open_ = not take[-1]
-        last_key = None if known[-1] else key[-1]
-        last_row = (doc[-1], span[-1]) if open_ and not known[-1] else None
-        real = out_span >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(out_doc[real]), pa.array(out_span[real])], names=["doc", "span"])
-
-
-_STRIP_SQL = "gram long, digest binary, doc long, span long, content binary, again boolean"
-_STRIP_ROW = pa.schema([("gram", pa.int64()), ("digest", pa.binary()), ("doc", pa.int64()), ("span", pa.int64()),
-                        ("content", pa.binary()), ("again", pa.bool_())])
-HELD_BYTES = 1 << 25
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from work(*(c[:last] for c in rows), False)
+        held = [c[last:] for c in rows]
+        if len(held[0]) > LONG:
+            yield from work(*held, True)
+            held = None
+    if held is not None:
+        yield from work(*held, False)
 
 
-def _batch(rows, schema):
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+LONG = 100_000
+_STRIP_SQL = "gram long, doc long, span long, content binary"
+_STRIP_ROW = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("span", pa.int64()), ("content", pa.binary())])
 
 
 def _contents(batches):
-    """Of the repeated strips: a row for each place with a digest of its bytes, and for each digest one row
-    a task with the bytes and the earliest place there, so a frequent strip is sent once a task."""
-    least: dict[bytes, list] = {}
-    held = 0
-
-    def flush():
-        nonlocal least, held
-        rows = [(gram, digest, doc, span, content, again) for digest, (gram, doc, span, content, again) in least.items()]
-        least, held = {}, 0
-        for at in range(0, len(rows), 20_000):
-            yield _batch(rows[at:at + 20_000], _STRIP_ROW)
-
+    """The bytes of the strips that are compared."""
     for batch in batches:
-        docs, raws, lists = batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2)
-        spans = np.asarray(lists.flatten())
-        owner = np.repeat(np.arange(len(raws)), np.asarray(lists.value_lengths()))
-        start = (spans >> 7) & ((1 << 40) - 1)
-        order = np.lexsort((start, owner))
-        owner, start, spans = owner[order], start[order], spans[order]
-        wanted = (owner << 40) + start
         rows = []
-        for text, gram, at, _, again in _strips(raws):
-            code = (text.astype(np.int64) << 40) + at
-            place = np.minimum(np.searchsorted(wanted, code), max(0, len(wanted) - 1))
-            hit = np.flatnonzero(wanted[place] == code) if len(wanted) else []
-            for g, i, r in zip(gram[hit].view(np.int64).tolist(), place[hit].tolist(), again[hit].tolist(), strict=True):
-                span, a, number = int(spans[i]), int(start[i]), int(owner[i])
-                piece = raws[number][a:a + (span & 127) + LENGTH - 1]
-                digest = hashlib.blake2b(piece, digest_size=16).digest()
-                doc = docs[number]
-                rows.append((None, digest, doc, span, None, None))
-                old = least.get(digest)
-                if old is None:
-                    least[digest] = [g, doc, span, piece, r]
-                    held += len(piece) + 200
-                elif (doc, span) < (old[1], old[2]):
-                    old[1], old[2] = doc, span
-        if rows:
-            yield _batch(rows, _STRIP_ROW)
-        if held > HELD_BYTES:
-            yield from flush()
-    yield from flush()
+        for doc, raw, strips in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for strip in strips:
+                a = (strip["span"] >> START) & START_MASK
+                rows.append((strip["gram"], doc, strip["span"], raw[a:a + (strip["span"] & WINDOWS_MASK) + LENGTH - 1]))
+        for at in range(0, len(rows), 20_000):
+            yield _batch(rows[at:at + 20_000], _STRIP_ROW)
 
 
-_COVER_SQL = "digest binary, doc long, span long, covered array<int>"
-_COVER = pa.schema([("digest", pa.binary()), ("doc", pa.int64()), ("span", pa.int64()), ("covered", pa.list_(pa.int32()))])
+_COVER_SQL = "doc long, span long, covered array<int>"
+_COVER = pa.schema([("doc", pa.int64()), ("span", pa.int64()), ("covered", pa.list_(pa.int32()))])
 
 
 def covered_windows(contents: list[bytes], doc: np.ndarray, span: np.ndarray) -> list[np.ndarray]:
@@ -239,7 +276,7 @@ def covered_windows(contents: list[bytes], doc: np.ndarray, span: np.ndarray) ->
     at, group = array[several], number[several]
     piece = np.searchsorted(starts, at, side="right") - 1
     offset = at - starts[piece]
-    place = (span[piece] >> 7) + offset  # tag and window start
+    place = (span[piece] >> START) + offset  # tag and window start
     order = np.lexsort((place, doc[piece], group))
     group, at = group[order], at[order]
     # equal places are one window (rows that repeat a document)
@@ -262,57 +299,29 @@ def _ranges(windows: np.ndarray) -> list[int]:
 
 
 def _shards(batches):
-    """Each digest once, with its earliest place and the windows of it that occur earlier elsewhere.
-
-    Rows come sorted by gram. Grams are gathered until their strips fill a shard; a gram with one
-    content that does not repeat itself needs no suffix array.
-    """
+    """The covered windows of each strip. Rows come sorted by gram; grams are gathered until their strips
+    fill a shard, and each shard gets a suffix array."""
     gathered: list[tuple] = []
-    size = 0
+    size, current = 0, None
 
     def flush():
         nonlocal gathered, size
         if gathered:
-            doc = np.array([g[1] for g in gathered], np.int64)
-            span = np.array([g[2] for g in gathered], np.int64)
-            windows = covered_windows([g[3] for g in gathered], doc, span)
-            yield _batch([(g[0], g[1], g[2], _ranges(w)) for g, w in zip(gathered, windows, strict=True)], _COVER)
+            doc, span = (np.array([g[i] for g in gathered], np.int64) for i in (0, 1))
+            found = [(d, s, _ranges(w)) for (d, s, _), w in
+                     zip(gathered, covered_windows([g[2] for g in gathered], doc, span), strict=True) if len(w)]
+            if found:
+                yield _batch(found, _COVER)
         gathered, size = [], 0
 
-    alone: list[tuple] = []
-    group: dict[bytes, list] = {}
-    current = None
-
-    def close():
-        nonlocal group, size
-        rows = [(digest, *place, content) for digest, (place, content, _) in group.items()]
-        lonely = len(rows) == 1 and not any(again for _, _, again in group.values())
-        group = {}
-        if lonely:
-            alone.append((*rows[0][:3], []))
-        elif rows:
-            gathered.extend(rows)
-            size += sum(len(r[3]) + 1 for r in rows)
-            if size > SHARD:
-                yield from flush()
-
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for gram, digest, doc, span, content, again in zip(*columns, strict=True):
+        for gram, doc, span, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if gram != current:
-                yield from close()
+                if size > SHARD:
+                    yield from flush()
                 current = gram
-            old = group.get(digest)
-            if old is None:
-                group[digest] = [(doc, span), content, again]
-            elif (doc, span) < old[0]:  # sent by several tasks
-                old[0] = (doc, span)
-        if alone:
-            yield _batch(alone, _COVER)
-            alone.clear()
-    yield from close()
-    if alone:
-        yield _batch(alone, _COVER)
+            gathered.append((doc, span, content))
+            size += len(content) + 1
     yield from flush()
 
 
@@ -320,27 +329,22 @@ def _windows(batches):
     """The windows of strips whose gram is too frequent for one shard, by digest."""
     for batch in batches:
         rows = []
-        for digest, doc, span, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, span, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for t in range(len(content) - LENGTH + 1):
-                rows.append((hashlib.blake2b(content[t:t + LENGTH], digest_size=16).digest(), digest, doc, span, t))
+                rows.append((hashlib.blake2b(content[t:t + LENGTH], digest_size=16).digest(), doc, span, t))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)],
-                                             names=["window", "digest", "doc", "span", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["window", "doc", "span", "t"])
 
 
 def _frequent(hot: DataFrame) -> DataFrame:
-    """The same cover rows by grouping equal windows; used for grams with more than HOT different strips."""
-    first = hot.groupBy("digest").agg(F.min("doc").alias("doc"))
-    first = hot.join(first, ["digest", "doc"]).groupBy("digest", "doc").agg(F.min("span").alias("span"), F.first("content").alias("content"))
-    windows = first.select("digest", "doc", "span", "content").mapInArrow(
-        _windows, "window binary, digest binary, doc long, span long, t long")
-    place = windows.withColumn("place", F.shiftright("span", 7) + F.col("t"))
+    """The same covers by grouping equal windows; used for grams with more than HOT different strips."""
+    windows = hot.select("doc", "span", "content").mapInArrow(_windows, "window binary, doc long, span long, t long")
+    place = windows.withColumn("place", F.shiftright("span", START) + F.col("t"))
     least = place.groupBy("window").agg(F.min("doc").alias("least_doc"))
     least = place.join(least, "window").filter("doc = least_doc").groupBy("window", "least_doc").agg(F.min("place").alias("least_place"))
-    later = place.join(least, "window").withColumn("later", F.struct("doc", "place") != F.struct(
-        F.col("least_doc").alias("doc"), F.col("least_place").alias("place")))
-    return later.groupBy("digest", "doc", "span").agg(F.sort_array(F.collect_list(F.when(F.col("later"), F.col("t").cast("int")))).alias("w")).select(
-        "digest", "doc", "span", F.flatten(F.transform("w", lambda t: F.array(t, t + 1))).alias("covered"))
+    later = place.join(least, "window").filter("doc <> least_doc OR place <> least_place")
+    return later.groupBy("doc", "span").agg(F.sort_array(F.collect_set(F.col("t").cast("int"))).alias("w")).select(
+        "doc", "span", F.flatten(F.transform("w", lambda t: F.array(t, t + 1))).alias("covered"))
 
 
 def _kept(batches):
@@ -379,8 +383,9 @@ def remove_repeats(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     by a hash of the text. An empty table gives no rows; other columns are not read.
 
     All repeats of a string lie under one gram (its smallest by hash), so shards are dealt by gram: first
-    only places are shuffled, to find the grams that repeat; then the bytes around those, equal ones once
-    a task; each shard gets a suffix array by induced sorting with permuted common prefixes.
+    only places with a digest are shuffled. Strips equal to an earlier one are settled there (equal gram and
+    digest, 128 bits); different strips under one gram, and those that repeat themselves, are compared byte
+    by byte: their shards get suffix arrays by induced sorting with permuted common prefixes.
     """
     spark = documents.sparkSession
     cuts = cuts or Cuts(spark)
@@ -390,29 +395,29 @@ def remove_repeats(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     docs = documents.select(doc.alias("doc"), tag.alias("tag"), text.alias("text"))
 
     places = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_places, _PLACE)
-    again = places.repartition("key").sortWithinPartitions("known", "key").mapInArrow(_repeated, "doc long, span long")
-    lists = again.groupBy("doc", F.shiftright("span", 47).alias("tag")).agg(F.collect_list("span").alias("spans"))
-    texts = cuts.keep(docs.join(lists, ["doc", "tag"]))
-    found = cuts.keep(texts.select("doc", "text", "spans").mapInArrow(_contents, _STRIP_SQL))
-
-    contents = found.filter("content IS NOT NULL")
-    hot = cuts.keep(contents.groupBy("gram").count().filter(F.col("count") > HOT).select("gram"))
-    shards = contents.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    covers = cuts.keep(shards.mapInArrow(_shards, _COVER_SQL))
-    if not hot.isEmpty():
-        covers = covers.unionByName(cuts.keep(_frequent(contents.join(hot, "gram", "left_semi"))))
-
-    first = covers.select("digest", F.col("doc").alias("first_doc"), F.col("span").alias("first_span"), "covered")
-    start = F.shiftright("span", 7).bitwiseAND(F.lit((1 << 40) - 1))
-    own = F.transform(F.expr("filter(sequence(0, size(covered)), i -> i % 2 = 0 AND i < size(covered))"), lambda i: F.struct(
+    judged = cuts.keep(places.repartition("key").sortWithinPartitions(*_PLACE_NAMES).mapInArrow(_judged, _JUDGED))
+    of_text = F.shiftright("span", TAG).alias("tag")
+
+    compared = judged.filter("gram IS NOT NULL")
+    hot = cuts.keep(compared.groupBy("gram").count().filter(F.col("count") > HOT).select("gram"))
+    wanted = compared.groupBy("doc", of_text).agg(F.collect_list(F.struct("gram", "span")).alias("strips"))
+    contents = docs.join(wanted, ["doc", "tag"]).select("doc", "text", "strips").mapInArrow(_contents, _STRIP_SQL)
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        contents = cuts.keep(contents)
+    shards = (contents.join(hot, "gram", "left_anti") if some_hot else contents).repartition("gram").sortWithinPartitions("gram")
+    covers = shards.mapInArrow(_shards, _COVER_SQL)  # not written: the text shuffle above serves the next join, too
+    if some_hot:
+        covers = covers.unionByName(_frequent(contents.join(hot, "gram", "left_semi")))
+
+    start = F.shiftright("span", START).bitwiseAND(F.lit(START_MASK))
+    parts = F.transform(F.expr("filter(sequence(0, size(covered)), i -> i % 2 = 0 AND i < size(covered))"), lambda i: F.struct(
         (start + F.get("covered", i)).alias("a"), (start + F.get("covered", i + 1)).alias("b")))
-    whole = F.array(F.struct(start.alias("a"), (start + F.col("span").bitwiseAND(F.lit(127))).alias("b")))
-    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("span") == F.col("first_span"))
-    ranges = (found.filter("content IS NULL").select("digest", "doc", "span").join(first, "digest")
-              .select("doc", F.shiftright("span", 47).alias("tag"), F.when(is_first, own).otherwise(whole).alias("ranges"))
-              .filter(F.size("ranges") > 0)
+    whole = F.array(F.struct(start.alias("a"), (start + F.col("span").bitwiseAND(F.lit(WINDOWS_MASK))).alias("b")))
+    ranges = (judged.filter("gram IS NULL").select("doc", of_text, whole.alias("ranges"))
+              .unionByName(covers.select("doc", of_text, parts.alias("ranges")))
               .groupBy("doc", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
-    removed = (texts.select("doc", "tag", "text").join(ranges, ["doc", "tag"]).select("doc", "tag", "text", "ranges")
+    removed = (docs.join(ranges, ["doc", "tag"]).select("doc", "tag", "text", "ranges")
                .mapInArrow(_kept, "doc long, tag long, n_removed long, n_spans long, kept_sha256 string")
                .dropDuplicates(["doc", "tag"]))
     plain = docs.select("doc", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))

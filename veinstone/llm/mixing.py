@@ -160,14 +160,10 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sh
 
 def repeat_documents(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """``documents`` with each row as often as ``mixed`` (of the same documents) says."""
-    names = documents.columns
-    turn = Window.partitionBy("doc_id", "_src", "_size").orderBy(F.lit(1))
-    rows = documents.withColumns({
-        "_src": group_key(F.col("source")), "_size": word_count(F.col("text"))}).withColumn(
-        "_turn", F.row_number().over(turn))
-    times = mixed.select("doc_id", F.col("src").alias("_src"), F.col("size").alias("_size"), "copies").withColumn(
-        "_turn", F.row_number().over(turn))
-    same = [rows.doc_id.eqNullSafe(times.doc_id), *(rows[c] == times[c] for c in ("_src", "_size", "_turn"))]
-    return rows.join(times, same).select(
-        *(rows[c] for c in names), F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("_copy"),
-        "copies").filter("copies > 0").select(*names)
+    turn = Window.partitionBy("doc_id", "src", "size").orderBy(F.lit(1))
+    rows = documents.select(F.col("doc_id"), group_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"),
+                            F.struct("*").alias("row")).withColumn("turn", F.row_number().over(turn))
+    times = mixed.select("doc_id", "src", "size", "copies").withColumn("turn", F.row_number().over(turn))
+    same = [rows.doc_id.eqNullSafe(times.doc_id), *(rows[c] == times[c] for c in ("src", "size", "turn"))]
+    return (rows.join(times.filter("copies > 0"), same)
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*"))

@@ -173,8 +173,8 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, parts: int = 4,
 
     Returns query_id, rank, vec_id, score; ties go to the smaller vec_id. Vectors that are null, zero or
     hold null or non-finite components, rows without vec_id, and vectors of another length than most
-    have, take no part; empty tables give no rows. Rows that repeat a vec_id count as rows; a query's
-    own vec_id is never its candidate.
+    have, take no part; empty tables give no rows. Rows that repeat a vec_id are candidates each, and the
+    smallest of their vectors is the query; a query's own vec_id is never its candidate.
 
     Codes and radius are learned from at most ``training_rows`` rows (chosen by hash). Vectors stay
     where they are: each task indexes them in blocks and searches queries, which come in blocks of at
@@ -196,21 +196,20 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, parts: int = 4,
     parts = max(parts, -(-dims // 16))
     radius = calibrated_radius(model, sample, k, reach)
 
-    queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     best = _passes(cuts, rows, queries, model, parts, radius, k, query_block)
     if radius < dims:
         short = queries.join(best.groupBy("query_id").count().withColumnRenamed("query_id", "vec_id"), "vec_id", "left").filter(
             F.coalesce("count", F.lit(0)) < k).select("vec_id", "embedding")
         again = _passes(cuts, rows, short, model, parts, dims, k, query_block)
-        if again is not None:
-            best = best.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
+        best = best.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
 def _passes(cuts, rows, queries, model, parts, radius, k, query_block):
-    """Ranks of all queries, one pass over the vectors for each block of queries; None without queries."""
+    """Ranks of all queries, one pass over the vectors for each block of queries."""
     n = queries.count()
-    blocks = max(1, -(-n // query_block) * 2 if n > query_block else 1)
+    blocks = 1 if n <= query_block else -(-2 * n // query_block)  # hashed blocks are uneven
     queries = cuts.keep(queries.withColumn("_block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks))))
     hits = None
     for b in range(blocks):
@@ -222,7 +221,6 @@ def _passes(cuts, rows, queries, model, parts, radius, k, query_block):
         found = cuts.keep(rows.mapInArrow(_search(model, parts, radius, k, ids, vectors), _HIT))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return None if n == 0 and radius == model.turn.shape[0] else rows.sparkSession.createDataFrame(
-            [], "query_id long, vec_id long, score double, rank int")
+        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

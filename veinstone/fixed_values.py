@@ -6,8 +6,8 @@ one place and in natural order; the logic that uses them lives elsewhere.
 """
 
 # --- fixed values: character classes -------------------------------------
-CJK = f"{chr(0x3400)}-{chr(0x9FFF)}"
-CJK_WITH_COMPAT = f"{CJK}{chr(0xF900)}-{chr(0xFAFF)}"
+CJK = "\u3400-\u9fff"
+CJK_WITH_COMPAT = "\u3400-\u9fff\uf900-\ufaff"
 # every character for which str.isspace() holds
 SPACE = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
@@ -112,7 +112,7 @@ COMPLEX_MARKERS = (
 FILENAME_WEIGHT, TITLE_WEIGHT, CONTENT_WEIGHT = 4, 3, 1
 RANK_UNIT, RANK_SCALE = 0.1, 20.0
 EXACT_TERM_SCORE, SIGNAL_SCORE = 100.0, 8.0
-QUERY_TOKEN_LIMIT, SIGNAL_LIMIT, FIELD_TOKEN_LIMIT = 64, 12, 512
+QUERY_TOKEN_LIMIT, SIGNAL_LIMIT = 64, 12  # of a question; texts of chunks are indexed whole
 RRF_K, APPROVED_BOOST, SECONDARY_WEIGHT, ANCHOR_BOOST = 60, 1.08, 0.92, 1.35
 MAX_ANCHOR_ROWS, MAX_LINKED, MAX_ID_CHANNELS = 8, 12, 10
 SHORT_CHUNK, NEIGHBOR_DECAY, USEFUL_LENGTH = 180, 0.99, 100

@@ -77,8 +77,8 @@ def normalize_search_text(text: Column) -> Column:
     return collapse_space(_ascii_or(_nfkc_fold, F.lower(text), text))
 
 
-def lexical_tokens(normalized: Column, limit: int = fv.FIELD_TOKEN_LIMIT) -> Column:
-    """Distinct search tokens of an already normalized text, in first-seen order.
+def lexical_tokens(normalized: Column, limit: int | None = None) -> Column:
+    """Distinct search tokens of an already normalized text, in first-seen order, all or the first ``limit``.
 
     ASCII words come first, then for each CJK span the span itself (2-24
     characters) and its overlapping bigrams; lone characters stand alone.
@@ -93,7 +93,8 @@ def lexical_tokens(normalized: Column, limit: int = fv.FIELD_TOKEN_LIMIT) -> Col
             n <= 24, F.concat(F.array(span), bigrams)).otherwise(bigrams)
 
     cjk_tokens = F.flatten(F.transform(spans, span_tokens))
-    return F.slice(F.array_distinct(F.concat(ascii_tokens, cjk_tokens)), 1, limit)
+    found = F.array_distinct(F.concat(ascii_tokens, cjk_tokens))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def identifiers(text: Column) -> Column:
@@ -116,11 +117,11 @@ def controlled_aliases(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(java(fv.CONTROLLED_ALIAS)), F.lit(1)), strip)
 
 
-def query_signals(normalized: Column) -> Column:
+def query_signals(normalized: Column, limit: int = fv.SIGNAL_LIMIT) -> Column:
     """Substrings that earn a bonus: exact terms, then the first lexical tokens."""
-    leading = F.concat(exact_terms(normalized), lexical_tokens(normalized, fv.SIGNAL_LIMIT))
+    leading = F.concat(exact_terms(normalized), lexical_tokens(normalized, limit))
     long_enough = F.filter(leading, lambda s: F.length(s) >= 2)
-    return F.array_distinct(F.slice(long_enough, 1, fv.SIGNAL_LIMIT))
+    return F.array_distinct(F.slice(long_enough, 1, limit))
 
 
 def estimate_tokens(text: Column) -> Column:

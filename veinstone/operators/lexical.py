@@ -7,19 +7,23 @@ a bonus per contained signal and the trigram similarity of the two texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from dataclasses import dataclass, field
 
-import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veinstone import fixed_values as fv
-from veinstone.cluster import cut_lineage, is_small, join_small
+from veinstone.cluster import cut_lineage
 from veinstone.functions import text as tx
 
-FEW_SIGNALS, MAX_SIGNALS = 512, 200_000
+#: Questions that one pass over the index answers, the questions and rows scored at a time in a task,
+#: and the words whose signals a task remembers: bounds of memory, the results do not depend on them.
+QUERY_BLOCK, QUERY_STEP, ROW_STEP, KNOWN_WORDS = 4096, 256, 2048, 200_000
+_WORD = re.compile(r"[^\W_]+")
 
 
 def postings(filename: Column, title: Column, content: Column) -> Column:
@@ -51,118 +55,134 @@ def search_projection(chunks: DataFrame) -> DataFrame:
         "_filename", "_title", "_content")
 
 
-def write_search_index(index: DataFrame, name: str, buckets: int) -> DataFrame:
-    """Store the projection bucketed by chunk, so that scores need no shuffle."""
-    index.write.mode("overwrite").bucketBy(buckets, "chunk_id").sortBy("chunk_id").saveAsTable(name)
-    # the automatic choice only looks at plain joins and would ignore the buckets
-    index.sparkSession.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-    return index.sparkSession.table(name)
+def question_terms(queries: DataFrame, text: str = "text", token_limit: int = fv.QUERY_TOKEN_LIMIT,
+                   signal_limit: int = fv.SIGNAL_LIMIT) -> DataFrame:
+    """(query_id, tokens, exact, signals, grams) of each question, with ``project_ids`` where it has them.
 
-
-def question_terms(queries: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, kind, term): tokens ``t``, exact terms ``x`` and signals ``s``.
-
-    A ``project_ids`` column is kept: it limits a question to those projects.
+    The limits are those of the published question side; they may be raised.
     """
     scope = [c for c in queries.columns if c == "project_ids"]
-    normalized = queries.select("query_id", *scope, tx.normalize_search_text(F.col(text)).alias("_n"))
-
-    def tagged(kind: str, terms: Column) -> Column:
-        return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
-
     n = F.col("_n")
-    return normalized.select("query_id", *scope, F.inline(F.concat(
-        tagged("t", tx.lexical_tokens(n, fv.QUERY_TOKEN_LIMIT)),
-        tagged("x", tx.exact_terms(n)), tagged("s", tx.query_signals(n)))))
-
-
-def contained_signals(raw_text: Column, signals: list[str]) -> Column:
-    """Which of ``signals`` occur as substrings.
-
-    A few are tested one by one, which keeps the plan in the JVM and its
-    partitioning known; for more an automaton, built once per task from the
-    (bounded) question side, finds all in one pass over each text.
-    """
-    if len(signals) <= FEW_SIGNALS:
-        return F.filter(F.array(*[F.lit(s) for s in signals]), lambda s: F.contains(raw_text, s))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for signal in signals:
-            automaton.add_word(signal, signal)
-        automaton.make_automaton()
+    return queries.select("query_id", *scope, tx.normalize_search_text(F.col(text)).alias("_n")).select(
+        "query_id", *scope, tx.lexical_tokens(n, token_limit).alias("tokens"), tx.exact_terms(n).alias("exact"),
+        tx.query_signals(n, signal_limit).alias("signals"), tx.trigrams(n).alias("grams"))
+
+
+@dataclass
+class _Side:
+    """One kind of term of some questions: the terms, and the questions of each as ranges of ``of``."""
+
+    terms: list = field(default_factory=list)
+    starts: np.ndarray = None
+    of: np.ndarray = None
+
+    @classmethod
+    def read(cls, lists: list[list[str]]) -> _Side:
+        where: dict[str, list[int]] = {}
+        for i, terms in enumerate(lists):
+            for term in terms or ():
+                where.setdefault(term, []).append(i)
+        counts = [len(v) for v in where.values()]
+        return cls(list(where), np.cumsum([0, *counts]), np.array([i for v in where.values() for i in v], np.int64))
+
+    def totals(self, rows: np.ndarray, term: np.ndarray, weight: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """The sum of the weights of a row's terms, for each row and question."""
+        n = self.starts[term + 1] - self.starts[term]
+        at = np.arange(n.sum()) + np.repeat(self.starts[term] - (np.cumsum(n) - n), n)
+        cell = np.repeat(rows, n) * shape[1] + self.of[at]
+        return np.bincount(cell, np.repeat(weight, n), shape[0] * shape[1]).reshape(shape)
+
+
+class _Questions:
+    """A step of questions: what their terms are, and the best chunks so far."""
+
+    def __init__(self, rows: list, k: int):
+        self.k = k
+        self.tokens, self.exact, self.signals = (_Side.read([r[c] for r in rows]) for c in ("tokens", "exact", "signals"))
+        self.vocabulary = {c: pa.array(side.terms, pa.string()) for c, side in (("tokens", self.tokens), ("exact", self.exact))}
+        self.signal_no = {s: i for i, s in enumerate(self.signals.terms)}
+        self.lengths = sorted({len(s) for s in self.signal_no})
+        self.grams = [frozenset(r["grams"]) for r in rows]
+        self.projects = [frozenset(r["project_ids"] or ()) if "project_ids" in r else frozenset() for r in rows]
+        self.best: list[list[tuple[float, str]]] = [[] for _ in rows]
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def signals_of(self, word: str) -> tuple[int, ...]:
+        """Signals inside a word: its substrings of the lengths that signals have (a signal holds no space)."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > KNOWN_WORDS:
+                self.known.clear()
+            found = self.known[word] = tuple({
+                self.signal_no[part] for n in self.lengths if n <= len(word)
+                for i in range(len(word) - n + 1) if (part := word[i:i + n]) in self.signal_no})
+        return found
+
+    def score(self, chunk_ids, raw, postings, exact, projects) -> None:
+        shape = (len(chunk_ids), len(self.best))
+        weight = self._matched("tokens", self.tokens, postings.flatten().field("token"), postings,
+                               np.asarray(postings.flatten().field("weight"), float), shape)
+        hits = self._matched("exact", self.exact, exact.flatten(), exact, None, shape) > 0
+        inside = [{s for word in set(text.split(" ")) for s in self.signals_of(word)} for text in raw] if self.signal_no else []
+        rows = np.repeat(np.arange(shape[0]), [len(s) for s in inside] if inside else 0)
+        term = np.array([s for found in inside for s in found], np.int64)
+        signals = self.signals.totals(rows, term, np.ones(len(term)), shape) if len(term) else np.zeros(shape)
+        x = fv.RANK_UNIT * weight
+        base = x / (x + 1.0) * fv.RANK_SCALE + fv.EXACT_TERM_SCORE * hits + fv.SIGNAL_SCORE * signals
+        grams: dict[int, set] = {}
+        for q in range(shape[1]):
+            column = base[:, q]
+            rows = np.flatnonzero(column > 0)
+            if self.projects[q] and len(rows):
+                rows = rows[[projects[i] in self.projects[q] for i in rows]]
+            if not len(rows):
+                continue
+            # the similarity lies in [0, 1]: nobody more than 1 below the k-th best can still get in
+            edge = self.best[q][-1][0] * -1 if len(self.best[q]) >= self.k else -np.inf
+            if len(rows) > self.k:
+                edge = max(edge, np.partition(column[rows], -self.k)[-self.k])
+            asked = self.grams[q]
+            for i in rows[column[rows] >= edge - 1.0 - 1e-9]:
+                own = grams.get(i)
+                if own is None:
+                    own = grams[i] = _trigrams(raw[i])
+                shared = len(own & asked)
+                total = len(own) + len(asked) - shared
+                self.best[q].append((-round(column[i] + (shared / total if total else 0.0), 12), chunk_ids[i]))
+            self.best[q] = sorted(self.best[q])[:self.k]
+
+    def _matched(self, kind, side, values, lists, weight, shape):
+        term = pc.index_in(values, value_set=self.vocabulary[kind])
+        valid = np.asarray(pc.is_valid(term))
+        rows = np.repeat(np.arange(shape[0]), np.asarray(pc.fill_null(lists.value_lengths(), 0)))[valid]
+        number = np.asarray(term.drop_null(), np.int64)
+        return side.totals(rows, number, np.ones(len(number)) if weight is None else weight[valid], shape)
+
+
+def _trigrams(text: str) -> set[str]:
+    return {f"  {word} "[i:i + 3] for word in _WORD.findall(text) for i in range(len(word) + 1)}
+
+
+def _search(questions, k: int, scoped: bool):
+    """A task: score its chunks against all questions, keep the best k of each."""
+    def run(batches):
+        rows = questions.value
+        steps = [_Questions(rows[i:i + QUERY_STEP], k) for i in range(0, len(rows), QUERY_STEP)]
         for batch in batches:
-            yield batch.map(lambda t: list({hit for _, hit in automaton.iter(t)}))
-
-    return find(raw_text)
-
-
-def match_scores(index: DataFrame, terms: DataFrame, max_signals: int = MAX_SIGNALS) -> DataFrame:
-    """(query_id, chunk_id, weight, exact, n_signals) of every matching pair.
-
-    Terms are joined to the exploded postings (no pair is formed without a
-    shared term) and summed per pair before anything is shuffled.  Grouping
-    leads with ``chunk_id``: over a bucketed index no shuffle happens at all.
-    """
-    signal_rows = terms.filter(F.col("kind") == "s").select("term").distinct()
-    if is_small(signal_rows, max_signals):
-        signals = [r.term for r in signal_rows.collect()]
-        found = contained_signals(F.col("raw_text"), signals) if signals else F.array()
-        seen = F.transform(found, lambda s: _event("s", s, F.lit(0)))
-    else:  # too many for one automaton: match through the words of each text
-        return _match_by_words(index, terms)
-    place = ["project_id"] if "project_ids" in terms.columns else []
-    events = index.select("chunk_id", *place, F.inline(F.concat(_static_events(), seen)))
-    return _sum_matches(events, terms)
-
-
-def _event(kind: str, term: Column, weight: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), term.alias("term"), weight.alias("weight"))
-
-
-def _static_events() -> Column:
-    return F.concat(
-        F.transform("postings", lambda p: _event("t", p["token"], p["weight"])),
-        F.transform("exact_terms", lambda e: _event("x", e, F.lit(0))))
-
-
-def _sum_matches(events: DataFrame, terms: DataFrame) -> DataFrame:
-    matched = join_small(events, terms, ["kind", "term"])
-    if "project_ids" in terms.columns:
-        matched = matched.filter((F.size("project_ids") == 0)
-                                 | F.array_contains("project_ids", F.col("project_id")))
-    return matched.groupBy("chunk_id", "query_id").agg(
-        F.sum("weight").alias("weight"),
-        F.max(F.col("kind") == "x").alias("exact"),
-        F.count_if(F.col("kind") == "s").alias("n_signals"))
-
-
-def _match_by_words(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Same result for an unbounded question side, with shuffles instead.
-
-    A signal holds no space, so it lies inside one word.  Every distinct word
-    is cut into its substrings once and joined to the signals.
-    """
-    place = ["project_id"] if "project_ids" in terms.columns else []
-    chunk_words = index.select("chunk_id", *place, F.explode(F.array_distinct(F.split("raw_text", " "))).alias("word"))
-    vocabulary = chunk_words.select("word").distinct()
-    n = F.length("word")
-    pieces = vocabulary.select("word", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.transform(
-            F.sequence(i, n), lambda j: F.substring(F.col("word"), i, j - i + 1)))))).alias("term"))
-    signals = terms.filter(F.col("kind") == "s").select("term").distinct()
-    inside = pieces.join(signals, "term")
-    seen = chunk_words.join(inside, "word").select("chunk_id", *place, "term").distinct().select(
-        "chunk_id", *place, F.lit("s").alias("kind"), "term", F.lit(0).alias("weight"))
-    events = index.select("chunk_id", *place, F.inline(_static_events())).unionByName(seen)
-    return _sum_matches(events, terms)
-
-
-def base_score() -> Column:
-    x = fv.RANK_UNIT * F.col("weight")
-    exact = F.when(F.col("exact"), F.lit(fv.EXACT_TERM_SCORE)).otherwise(0.0)
-    return x / (x + 1.0) * fv.RANK_SCALE + exact + fv.SIGNAL_SCORE * F.col("n_signals")
+            for at in range(0, batch.num_rows, ROW_STEP):
+                part = batch.slice(at, ROW_STEP)
+                columns = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)
+                places = part.column(4).to_pylist() if scoped else None
+                for step in steps:
+                    step.score(*columns, places)
+        best = [(n * QUERY_STEP + q, chunk, -score) for n, step in enumerate(steps)
+                for q, found in enumerate(step.best) for score, chunk in found]
+        if best:
+            numbers, chunks, scores = zip(*best, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(chunks, pa.string()), pa.array(scores, pa.float64())],
+                                             names=["_no", "chunk_id", "score"])
+
+    return run
 
 
 def top_per_query(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -172,46 +192,29 @@ def top_per_query(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def lexical_search(index: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
+def lexical_search(index: DataFrame, queries: DataFrame, k: int, text: str = "text",
+                   query_block: int = QUERY_BLOCK) -> DataFrame:
     """Best ``k`` chunks per question with rank and score; ``index`` is in scope already.
 
-    Ranking runs on (query, chunk) ids.  The trigram similarity lies in [0, 1],
-    so only pairs within 1 of the k-th base score can still enter the result;
-    the text is read for those alone.
-    """
-    terms = cut_lineage(question_terms(queries, text))
-    survivors = _survivors(index, terms, k)
-    asked = queries.select("query_id", tx.trigrams(tx.normalize_search_text(F.col(text))).alias("_tri"))
-    with_text = join_small(join_small(index, survivors, "chunk_id"), asked, "query_id")
-    similarity = tx.trigram_similarity(F.col("_own"), F.col("_tri"))
-    complete = with_text.withColumn("_own", tx.trigrams(F.col("raw_text"))).withColumn(
-        "score", F.col("_base") + similarity).drop("_base", "_tri", "_own")
-    return top_per_query(complete, k, F.desc("score"), F.asc("chunk_id"))
-
-
-def _survivors(index: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, _base) of every pair that the similarity may still lift.
-
-    One pass keeps a deep list per question.  It is complete when it ends more
-    than 1 below the k-th score or holds every match; questions for which it
-    is not get an exact second pass.
+    A chunk is one row, so it is scored where it lies: each task holds the questions' terms (at most
+    ``query_block`` questions at a time, a bound on what is broadcast) and keeps its own best ``k``
+    for each question.  Only ids and scores of those are shuffled and ranked; the other columns are
+    joined to the final hits.
     """
-    depth = min(20 * k, 1000)
-    kth = F.min(F.when(F.col("rank") <= k, F.col("_base")))
-    deep = cut_lineage(top_per_query(_base_scores(index, terms), depth, F.desc("_base")))
-    bounds = deep.groupBy("query_id").agg(
-        kth.alias("_kth"), F.min("_base").alias("_last"), F.count("*").alias("_n"))
-    open_ended = bounds.filter((F.col("_n") == depth) & (F.col("_last") >= F.col("_kth") - 1.0))
-    keep = F.col("_base") >= F.col("_kth") - 1.0
-    complete = join_small(deep, bounds, "query_id").filter(keep)
-    if not open_ended.isEmpty():
-        rest = cut_lineage(open_ended.select("query_id", "_kth"))
-        again = join_small(terms, rest.select("query_id"), "query_id", "left_semi")
-        more = join_small(_base_scores(index, again), rest, "query_id").filter(keep)
-        complete = complete.select("query_id", "chunk_id", "_base").unionByName(
-            more.select("query_id", "chunk_id", "_base")).distinct()
-    return cut_lineage(complete.select("query_id", "chunk_id", "_base"))
-
-
-def _base_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
-    return match_scores(index, terms).select("query_id", "chunk_id", base_score().alias("_base"))
+    spark, scoped = index.sparkSession, "project_ids" in queries.columns
+    terms = cut_lineage(question_terms(queries, text).withColumn("_block", F.xxhash64("query_id")))
+    blocks = -(-terms.count() // query_block)
+    columns = ["chunk_id", "raw_text", "postings", "exact_terms", *(["project_id"] if scoped else [])]
+    hits = None
+    for b in range(blocks):
+        rows = terms.filter(F.pmod("_block", F.lit(blocks)) == b).drop("_block").collect()
+        questions = spark.sparkContext.broadcast([r.asDict() for r in rows])
+        numbered = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)],
+                                         f"_no int, query_id {dict(queries.dtypes)['query_id']}")
+        found = index.select(*columns).mapInArrow(_search(questions, k, scoped), "_no int, chunk_id string, score double")
+        found = found.join(numbered, "_no").drop("_no")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = queries.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
+    ranked = cut_lineage(top_per_query(hits, k, F.desc("score"), F.asc("chunk_id")))
+    return index.join(ranked, "chunk_id").select("query_id", *index.columns, "score", "rank")

@@ -143,20 +143,28 @@ def version_manifest(spark, sf):
 
 
 def drifted_projection(spark, sf):
-    """A projection whose returned lines are stale and whose open lines are missing."""
+    """A projection whose returned lines are stale, open lines missing, fifth lines moved, and where
+    each N/F line has left an extra chunk."""
     chunks = kb.record_chunks(spark, sf)
     stale = F.when(F.col("content").rlike("status R/"), F.sha2("record_hash", 256))
-    return chunks.filter(~F.col("content").rlike("status A/O")).select(
-        "chunk_id", F.coalesce(stale, F.col("record_hash")).alias("record_hash"))
-
-
-@group.add(f"""{RECORDS}, p AS (SELECT chunk_id AS pid, CASE WHEN content LIKE '%status R/%'
-      THEN sha256(record_hash) ELSE record_hash END AS stored FROM rec_chunks
-    WHERE content NOT LIKE '%status A/O%')
-  SELECT version_id, count(*) AS expected_chunks, count(pid) AS indexed_chunks,
-    FALSE AS manifest_matches
-  FROM rec_rows LEFT JOIN p ON pid = chunk_id WHERE {q.ELIGIBLE} GROUP BY 1
-  HAVING count(*) FILTER (WHERE stored IS DISTINCT FROM record_hash) > 0""", "T9 J8")
+    moved = F.when(F.col("ordinal") == 5, F.lit(50)).otherwise(F.col("ordinal"))
+    stored = chunks.filter(~F.col("content").rlike("status A/O")).select(
+        "version_id", "chunk_id", moved.alias("ordinal"), F.coalesce(stale, F.col("record_hash")).alias("record_hash"))
+    extra = chunks.filter(F.col("content").rlike("status N/F")).select(
+        "version_id", F.concat("chunk_id", F.lit("+")).alias("chunk_id"), "ordinal", "record_hash")
+    return stored.unionByName(extra)
+
+
+@group.add(f"""{RECORDS}, p AS (SELECT version_id, chunk_id, CASE WHEN ordinal = 5 THEN 50 ELSE ordinal END AS place,
+      CASE WHEN content LIKE '%status R/%' THEN sha256(record_hash) ELSE record_hash END AS stored
+    FROM rec_chunks WHERE content NOT LIKE '%status A/O%'
+    UNION ALL SELECT version_id, chunk_id || '+', ordinal, record_hash FROM rec_chunks WHERE content LIKE '%status N/F%'),
+  mine AS (SELECT version_id, chunk_id, ordinal, record_hash FROM rec_rows WHERE {q.ELIGIBLE}),
+  both_sides AS (SELECT version_id, place, ordinal, stored, record_hash
+    FROM mine FULL JOIN (SELECT * FROM p WHERE version_id IN (SELECT version_id FROM mine)) USING (version_id, chunk_id))
+  SELECT version_id, count(record_hash) AS expected_chunks, count(stored) AS indexed_chunks,
+    bool_and(stored IS NOT DISTINCT FROM record_hash AND place IS NOT DISTINCT FROM ordinal) AS manifest_matches
+  FROM both_sides GROUP BY 1 HAVING NOT manifest_matches""", "T9 J8")
 def reconcile_differences(spark, sf):
     return sync.reconcile(record_rows(spark, sf), drifted_projection(spark, sf))
 

@@ -33,7 +33,7 @@ def normalized_text(spark, sf):
   d AS (SELECT doc_id, token, min(pos) AS pos FROM e GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM d)
   SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS tokens, count(*) AS n_tokens
-  FROM r WHERE n <= 512 GROUP BY 1""", "L3 SO1")
+  FROM r GROUP BY 1""", "L3 SO1")
 def lexical_tokens(spark, sf):
     tokens = tx.lexical_tokens(tx.normalize_search_text(F.col("text")))
     return kb.note_files(spark, sf).select("doc_id", tokens.alias("t")).filter(F.size("t") > 0).select(

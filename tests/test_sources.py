@@ -72,7 +72,7 @@ def test_formats(parsed):
 
 
 def test_errors(parsed):
-    assert "OneNote" in parsed["f.one"].error and "PDF" in parsed["h.pdf"].error
+    assert "notebooks" in parsed["f.one"].error and "PDF" in parsed["h.pdf"].error
     assert parsed["g.txt"].error == files.EMPTY and "BadZipFile" in parsed["i.docx"].error
 
 

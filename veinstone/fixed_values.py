@@ -25,6 +25,9 @@ CONTROLLED_ALIAS = (
     r"(?im)^(?:Chinese business name\s*/\s*中文业务称谓|"
     r"English operational name\s*/\s*英文运行称谓)\s*:\s*([^\r\n]+?)\s*$"
 )
+ELLIPSIS = r"\.{3,}|…+"
+QUOTED_NUMBER = r"(?<![A-Za-z0-9])\d+(?:[,.]\d+)*"
+QUOTED_NAME = r"\b[A-Z][A-Za-z0-9-]{2,}(?:[ \t]+[A-Z][A-Za-z0-9-]{2,})+"
 WRAPPED_IDENTIFIER = r"((?<!\w)[A-Za-z][A-Za-z0-9-]*-[A-Za-z0-9-]+)\n(?=[A-Za-z0-9-])"
 
 # --- fixed values: question-side patterns --------------------------------
@@ -84,6 +87,10 @@ GENERIC_ENGLISH_WORDS = (
     "business", "operation", "operations", "process", "project", "service", "system",
     "team", "workflow",
 )
+PLAN_FIELDS = {  # name: most values, longest value
+    "subjects": (6, 80), "requested_facts": (8, 80), "constraints": (8, 100),
+    "scenario_terms": (8, 100), "retrieval_queries": (4, 220),
+}
 PLAN_LANGUAGES = ("zh", "en", "mixed", "other")
 PLAN_INTENTS = ("lookup", "compare", "summarize", "procedure", "troubleshoot", "unknown")
 
@@ -117,7 +124,7 @@ RRF_K, APPROVED_BOOST, SECONDARY_WEIGHT, ANCHOR_BOOST = 60, 1.08, 0.92, 1.35
 MAX_ANCHOR_ROWS, MAX_LINKED, MAX_ID_CHANNELS = 8, 12, 10
 SHORT_CHUNK, NEIGHBOR_DECAY, USEFUL_LENGTH = 180, 0.99, 100
 BUDGET_OVERHEAD, PLUS_BUDGET, MAX_BUDGET = 40, 4000, 7000
-MAX_REPAIRED_QUOTE, MIN_ANCHOR_SHARE = 800, 0.7
+MAX_REPAIRED_QUOTE, MIN_ANCHOR_SHARE, LEAST_LETTERS = 800, 0.7, 4
 ROWS_PER_TABLE_UNIT = 25
 CHUNK_NAMESPACE = "73ac24df-296f-4532-9dc8-e5890e877564"
 

@@ -82,7 +82,7 @@ def search_once(scope: Scope, asked: DataFrame, config: EngineConfig) -> DataFra
     linked = fusion.linked_references(_ask(fused, asked, ["signals", "query_codes"]))
     asked = cut_lineage(asked.join(linked, "query_id", "left").withColumns({
         "linked_shown": F.coalesce("linked", F.array()),
-        "linked": F.transform(F.coalesce("linked", F.array()), lambda v: F.lower(v))}))
+        "linked": qs.fold_all(F.coalesce("linked", F.array()))}))
     fused = _second_wave(approved, fused, asked, config)
     fused = cut_lineage(_fallback(scope, fused, asked, config))
 
@@ -110,7 +110,7 @@ def _analyse(asked: DataFrame) -> DataFrame:
     codes = F.concat(tx.identifiers(F.col("question")), tx.acronyms(F.col("question")))
 
     def folded(values):
-        return F.array_distinct(F.transform(values, lambda v: F.lower(v)))
+        return F.array_distinct(qs.fold_all(values))
 
     if "plan" in asked.columns:
         found = found.withColumns({"_all": qs.anchor_signals(F.col("plan"), "all"),
@@ -174,7 +174,8 @@ def _with_text(rows: DataFrame) -> DataFrame:
 
 def _first_wave(index, asked, config) -> DataFrame:
     """Question and focus queries in one pass; focus lists merge in order."""
-    usable = F.filter("focus", lambda f: F.lower(f) != F.col("question_folded"))
+    spelled = F.arrays_zip(F.col("focus").alias("f"), qs.fold_all(F.col("focus")).alias("g"))
+    usable = F.transform(F.filter(spelled, lambda z: z["g"] != F.col("question_folded")), lambda z: z["f"])
     texts = F.concat(F.array("question"), usable)
     sub = cut_lineage(_sub_queries(asked, texts))
     fused = cut_lineage(_with_text(_parent(fusion.rrf(_channels(index, sub, config)), sub)))
@@ -244,8 +245,7 @@ def _select(pool, related, asked, config) -> DataFrame:
             F.lit(fv.LINKED_PREFIX), F.array_join("linked_shown", " ")))
         line = asked.select("query_id", "own_signals", F.concat_ws(
             "\n", "question", F.nullif("context", F.lit("")), shown).alias("rerank_query"))
-        signals = line.withColumn("rerank_signals", F.transform(
-            qs.question_signals(F.col("rerank_query")), lambda s: F.lower(s)))
+        signals = line.withColumn("rerank_signals", qs.fold_all(qs.question_signals(F.col("rerank_query"))))
         ranked = rerank(join_small(pool, signals, "query_id"), "rerank_query", "rerank_signals",
                         3 * k, config.embedding_dimensions)
         ranked = selection.cover_signals(pool, cut_lineage(

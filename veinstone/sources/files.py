@@ -28,7 +28,7 @@ READERS = {
     ".htm": lambda data: office.read_html(data.decode("utf-8", "replace")),
     ".csv": lambda data: office.read_csv(data.decode("utf-8-sig", "replace")),
 }
-EMPTY = "no extractable text was found; scanned PDFs require OCR"
+EMPTY = "the file holds no text (images would have to be recognised first)"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -39,9 +39,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def unsupported(suffix: Column) -> Column:
     """Why a suffix cannot be read here, null where it can."""
-    return F.when(suffix == ".one", "OneNote files must be exported to DOCX, PDF or HTML").when(
+    return F.when(suffix == ".one", "notebooks cannot be read; save them as a document or page first").when(
         ~suffix.isin(*fv.SUPPORTED_SUFFIXES), F.concat(F.lit("unsupported file type: "), suffix)).when(
-        suffix.isin(".doc", ".xls"), "LibreOffice is required for legacy .doc/.xls files").when(
+        suffix.isin(".doc", ".xls"), "old binary office formats need a converter, and none is installed").when(
         suffix == ".pdf", "no PDF text extractor is installed")
 
 

@@ -30,10 +30,10 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy work on few input files one partition per task slot.
 
-    Input with at least one file per slot is left as it is: no shuffle.
+    Input with at least one split per slot (large files have many) is left as it is: no shuffle.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= slots else df.repartition(slots, *keys)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, *keys)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(named)

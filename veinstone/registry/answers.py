@@ -336,20 +336,35 @@ def stream_status_counts(spark, sf):
     return out.filter(F.col("batch") == last).drop("batch")
 
 
-@group.add(f"""{q.with_views(q.OUTBOX)} SELECT id, attempts + 1 AS attempts,
-    CASE WHEN event_type = 'index_version' THEN 'published' WHEN attempts + 1 >= 5 THEN 'dead'
-      ELSE 'pending' END AS status FROM queue
-  WHERE status = 'pending' AND available_at <= TIMESTAMP '{kb.NOW}'""", "T2 T7 T12")
+def _tried(source: str, moment: str) -> str:
+    """SQL: the due rows of ``source`` after an attempt at ``moment``, and all others as they are."""
+    due = f"(status = 'pending' AND available_at <= TIMESTAMP '{moment}')"
+    done = f"({due} AND event_type = 'index_version')"
+    return f"""SELECT id, event_type, attempts + {due}::INT AS attempts,
+      CASE WHEN {done} THEN 'published' WHEN {due} AND attempts + 1 >= 5 THEN 'dead' ELSE status END AS status,
+      CASE WHEN {due} AND NOT {done} THEN TIMESTAMP '{moment}' + to_seconds(least(300, pow(2, least(attempts + 1, 8)))::INT)
+        ELSE available_at END AS available_at FROM {source}"""
+
+
+LATER = "2026-01-01 00:00:00"
+
+
+@group.add(f"""{q.with_views(q.OUTBOX)}, first_try AS ({_tried('queue', kb.NOW)}), second_try AS ({_tried('first_try', LATER)})
+  SELECT id, attempts, status FROM second_try""", "T2 T4 T7 T12")
 def stream_publish(spark, sf):
-    """Due events are published once; delete events fail and back off."""
-    now = F.lit(kb.NOW).cast("timestamp")
+    """Two triggers: due events are published once, delete events fail and back off, and what waited
+    is tried at the later trigger."""
+    def publish(now):
+        def attempt(due):
+            done = due.filter("event_type = 'index_version'").withColumn("status", F.lit("published"))
+            return done.unionByName(queue.fail(due.filter("event_type = 'delete_version'"), now).select(*done.columns))
 
-    def publish(batch):
-        due = batch.filter(queue.due_events(now)).withColumn("attempts", F.col("attempts") + 1)
-        done = due.filter("event_type = 'index_version'").withColumn("status", F.lit("published"))
-        failed = queue.fail(due.filter("event_type = 'delete_version'"), now)
-        return done.select("id", "attempts", "status").unionByName(failed.select("id", "attempts", "status"))
+        return attempt
 
     rows = kb.as_outbox(event_stream(spark, sf))
-    return run_stream(spark, lambda target, state: outbox.publish_stream(
-        rows, publish, target, state)).drop("batch")
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    first, later = (F.lit(t).cast("timestamp") for t in (kb.NOW, LATER))
+    outbox.publish_stream(rows, publish(first), f"{folder}/out", f"{folder}/state", first).awaitTermination()
+    nothing_new = spark.createDataFrame([], rows.schema)
+    outbox.publish_step(nothing_new, publish(later), f"{folder}/out", later)
+    return outbox.outcomes(spark, f"{folder}/out", rows.schema).select("id", "attempts", "status")

@@ -15,7 +15,7 @@ from veinstone.llm.common import Cuts, components
 WORDS = 5
 SLICE = 1 << 21
 #: Lists of at most so many sets are joined pair by pair where they are met, longer ones by pivots.
-SHORT = 16
+SHORT = 32
 #: Shingles that are put last in the common order: any choice gives the same links, so it is bounded.
 FREQUENT, FREQUENT_PER_FLUSH, FLUSH = 100_000, 20_000, 1 << 22
 LARGEST_BOUNDARY = 12
@@ -222,24 +222,26 @@ def _keys(boundary: int, frequent):
     return run
 
 
-_FOUND = "key long, a long, b long"
+_FOUND = "key long, a long, b long, n_a int, n_b int, shared int"
 
 
 def _lists(batches):
-    """Pairs (a, b) of short lists; for long lists their members (key, a).
+    """Pairs (a, b) of short lists, with how many lists of the task they share; members (key, a) of long ones.
 
     Rows come sorted by key, so only the list at the end of a batch is held, and of a long one nothing.
+    Subsets of small sets count as ENOUGH lists.
     """
     held, long_key = None, None
 
-    def found(key, a, b=None):
+    def found(key, a, b=None, n_a=None, n_b=None, shared=None):
         n = len(a)
-        key, b = pa.nulls(n, pa.int64()) if key is None else key, pa.nulls(n, pa.int64()) if b is None else b
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], schema=_FOUND_ARROW)
+        columns = [pa.nulls(n, f.type) if c is None else pa.array(c, f.type)
+                   for c, f in zip((key, a, b, n_a, n_b, shared), _FOUND_ARROW, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=_FOUND_ARROW)
 
     def work(key, name, n, pos):
         new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])] if len(key) else np.zeros(0, bool)
-        key, name, n, pos = key[new], name[new], n[new].astype(np.int64), pos[new].astype(np.int64)
+        key, name, n, pos = key[new], name[new], n[new].astype(np.int64), pos[new]
         if not len(key):
             return
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -248,24 +250,21 @@ def _lists(batches):
         long_row = (of > SHORT) | (key == long_key if long_key is not None else False)
         if long_row.any():
             yield found(key[long_row], name[long_row])
-        left, right = [], []
+        pairs = []
         short = np.flatnonzero((of > 1) & ~long_row)
         for apart in range(1, SHORT):
             i = short[short + apart < len(key)]
             i = i[key[i] == key[i + apart]]
             if not len(i):
                 break
-            j = i + apart
-            small, large = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
-            need = -(-4 * (n[small] + n[large]) // 9)
-            # in the list of the first shared shingle, nothing before it is shared
-            most = np.minimum(n[small] - pos[small], n[large] - pos[large])
-            fits = (5 * n[small] >= 4 * n[large]) & ((pos[small] < 0) | (most >= need) & (9 * pos[small] <= n[small]))
-            left.append(np.minimum(name[i], name[j])[fits])
-            right.append(np.maximum(name[i], name[j])[fits])
-        if left and sum(map(len, left)):
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-            yield found(None, pairs[:, 0], pairs[:, 1])
+            j = i + apart  # names rise inside a list
+            i, j = (x[5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])] for x in (i, j))
+            pairs.append(np.stack([name[i], name[j], n[i], n[j], np.where(pos[i] < 0, ENOUGH, 1)], 1))
+        if pairs and sum(map(len, pairs)):
+            rows = np.concatenate(pairs)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            first = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
+            yield found(None, *rows[first, :4].T, np.minimum(np.add.reduceat(rows[:, 4], first), ENOUGH))
 
     for batch in batches:
         rows = [np.asarray(c) for c in batch.columns]
@@ -285,55 +284,175 @@ def _lists(batches):
         yield from work(*held)
 
 
-_FOUND_ARROW = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+ENOUGH = 1 << 20
 
 
-def _sets(batches):
+def _possible(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) that can have a Jaccard similarity of 0.8 by the shingles they show.
+
+    All that two sets share among what both show was counted in short lists, or lies in long ones. Of the
+    set whose shown part ends first, everything shown that is shared is shown by the other, too; so the
+    sets share no more than that and the rest of one of them.
+    """
+    pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(
+        F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum(F.col("shared").cast("long")).alias("shared"))
+    uncounted = members.groupBy("a").agg(F.count("*").alias("u"))
+    pairs = pairs.join(uncounted, "a", "left").withColumnRenamed("u", "u_a").join(
+        uncounted.withColumnRenamed("a", "b"), "b", "left").withColumnRenamed("u", "u_b")
+    rest = lambda n: F.col(n) - (F.floor(F.col(n) / 5) + 1)
+    most = F.col("shared") + F.least(F.coalesce("u_a", F.lit(0)), F.coalesce("u_b", F.lit(0))) + F.greatest(rest("n_a"), rest("n_b"))
+    return pairs.filter(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+_FOUND_ARROW = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()),
+                          ("shared", pa.int32())])
+
+
+_COMPARED = "a long, b long, far double, linked boolean"
+
+
+def _compare(batches):
+    """Exact Jaccard distance of pairs, from both texts; a text that is not the named set is passed over."""
     for batch in batches:
-        sets = shingle_sets(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            names=["set_id", "shingles"])
+        for at in range(0, batch.num_rows, 512):
+            a, b, x, y = (c.to_pylist() for c in batch.slice(at, 512).columns)
+            texts = {}
+            for name, text in zip([*a, *b], [*x, *y], strict=True):
+                texts.setdefault((name, text), None)
+            made = shingle_sets([text for _, text in texts])
+            sets = {key: s if set_id(s) == key[0] else None for key, s in zip(texts, made, strict=True)}
+            rows = []
+            for one, two, s, t in zip(a, b, x, y, strict=True):
+                s, t = sets[one, s], sets[two, t]
+                if s is None or t is None:
+                    continue
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                total = len(s) + len(t) - both
+                rows.append((one, two, 1 - both / total, 100 * both >= 80 * total))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["a", "b", "far", "linked"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their Jaccard distance and whether they are linked."""
-    one = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (
-        F.size("x") + F.size("y") - both).alias("all"))
-    return joined.select("a", "b", (1 - F.col("both") / F.col("all")).alias("far"),
-                         (F.col("both") * 100 >= F.col("all") * 80).alias("linked"))
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their Jaccard distance and whether they are linked.
+
+    Texts are shuffled, not their shingles: they take less than half of the bytes.
+    """
+    one = texts.select(F.col("set_id").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("set_id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_compare, _COMPARED)
 
 
-def _long_lists(cuts: Cuts, members: DataFrame, sets: DataFrame) -> list[DataFrame]:
-    """Links that connect whatever the long lists connect, in rounds of few pivots a list.
+def _long_lists(cuts: Cuts, members: DataFrame, docs: DataFrame, readers: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` (a, b) and those that connect whatever the long lists connect.
 
-    All members of a list are compared with its pivots. A pivot is done then. A member is done, too,
-    when it is linked to a pivot and too near to it for a link with any member that is not: Jaccard
-    distance is a metric. What is left goes to the next round with twice the pivots, so lists of
-    near-copies end at once, and no list costs more than its pairs.
+    Only links between different components matter. Two rounds compare all members of a list with a few
+    pivots outside its largest component: lists of near-copies are connected then. A pivot is done with,
+    and so is a member linked to a pivot and too near to it for a link with any member that is not
+    (Jaccard distance is a metric). Whoever is still outside the largest component of a list is compared
+    with the members of its lists in blocks, where only links that connect something come out.
     """
-    links, pivots = [], 2
-    while not members.isEmpty():
-        chosen = _smallest(members, pivots)
+    if members.isEmpty():
+        return links
+    own = cuts.keep(readers.join(members.select(F.col("a").alias("set_id")).distinct(), "set_id", "left_semi"))
+    texts = cuts.keep(docs.join(own, "id").select("set_id", "text", "id"))
+    for pivots in (1, 2):
+        chosen = cuts.keep(_smallest(_outside(cuts, members, links), pivots))
+        if chosen.isEmpty():
+            return links
         against = cuts.keep(members.join(chosen, "key").filter("a <> b"))
         pairs = against.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = cuts.keep(_verified(pairs, sets))
-        links.append(known.filter("linked").select("a", "b"))
+        known = cuts.keep(_verified(pairs, texts))
+        links = links.union(known.filter("linked").select("a", "b"))
         away = cuts.keep(against.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(
             known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "far", "linked"), ["lo", "hi"])
             .select("key", "a", "b", "far", "linked"))
-        nearest = away.filter("NOT linked").groupBy("key", "b").agg(F.min("far").alias("edge"))
-        done = (away.filter("linked").join(nearest, ["key", "b"], "left")
+        edge = away.filter("NOT linked").groupBy("key", "b").agg(F.min("far").alias("edge"))
+        done = (away.filter("linked").join(edge, ["key", "b"], "left")
                 .filter(F.col("edge").isNull() | (F.col("far") + 0.2 + 1e-9 < F.col("edge"))).select("key", "a"))
         done = done.unionByName(chosen.select("key", F.col("b").alias("a"))).distinct()
-        rest = members.join(done, ["key", "a"], "left_anti")
-        several = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        members = cuts.keep(rest.join(several, "key", "left_semi"))
-        pivots *= 2
-    return links
+        members = cuts.keep(members.join(chosen.select("key").distinct(), "key", "left_semi").join(done, ["key", "a"], "left_anti"))
+    outside = cuts.keep(_outside(cuts, members, links))
+    if outside.isEmpty():
+        return links
+    members = cuts.keep(members.join(outside.select("key").distinct(), "key", "left_semi"))
+    least = members.groupBy("key").agg(F.min("a").alias("b"))
+    together = components(cuts, members.join(least, "key").select("a", "b")).withColumnRenamed("node", "set_id")
+    flagged = outside.select(F.col("a").alias("set_id")).distinct().withColumn("flag", F.lit(True))
+    groups = together.join(flagged, "set_id", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
+    groups = groups.withColumn("id", F.col("set_id"))
+    return links.union(cuts.keep(_in_blocks(cuts, groups, texts.select(F.col("set_id").alias("id"), "text"))))
+
+
+def _outside(cuts: Cuts, members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, a): the members of each list that are not in its largest component."""
+    label = components(cuts, links).withColumnRenamed("node", "a")
+    placed = members.join(label, "a", "left").select("key", "a", F.coalesce("component", "a").alias("component"))
+    largest = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"))
+    return placed.join(largest, "key").filter("component <> largest").select("key", "a")
+
+
+def _in_blocks(cuts: Cuts, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links inside groups (component, set_id, id, flag) that connect something, between flagged sets and all.
+
+    A group is cut into blocks and each pair of blocks is a task; small groups share a task. ``docs``
+    holds the text of each id: it is shuffled to the places of its set, not to its pairs.
+    """
+    sizes = cuts.keep(groups.groupBy("component").agg(F.count("*").alias("c"), F.count_if("flag").alias("f")).filter("f > 0"))
+    shared = sizes.filter(F.col("c") <= BLOCK).agg(F.ceil(F.sum("c") / BLOCK)).first()[0] or 1
+    small = F.col("c") <= BLOCK
+    placed = cuts.keep(groups.join(sizes, "component").withColumns({
+        "small": small, "task": F.when(small, F.pmod(F.xxhash64("component"), F.lit(shared))).otherwise(F.col("component")),
+        "n": F.ceil(F.col("c") / BLOCK).cast("int"), "m": F.ceil(F.col("f") / BLOCK).cast("int")}))
+    block = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    zero, kept = F.lit(0), ("set_id", "id")
+    both, large = placed.filter("small"), placed.filter("NOT small")
+    rows = both.select("task", zero.alias("i"), zero.alias("j"), F.col("flag").alias("asks"), F.lit(True).alias("answers"), *kept)
+    rows = rows.unionByName(large.filter("flag").select(
+        "task", block("m").alias("i"), each("n").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers"), *kept))
+    rows = rows.unionByName(large.select(
+        "task", each("m").alias("i"), block("n").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers"), *kept))
+    return docs.join(rows, "id").select("task", "i", "j", "asks", "answers", "set_id", "text").groupBy(
+        "task", "i", "j").applyInArrow(_connect, "a long, b long")
+
+
+#: Sets in a block: a task compares two blocks.
+BLOCK = 512
+
+
+def _connect(table: pa.Table) -> pa.Table:
+    """Links between the asking sets and the others that join different parts, and no more than that."""
+    asks, answers = np.asarray(table.column("asks")), np.asarray(table.column("answers"))
+    names = np.asarray(table.column("set_id"))
+    sets = shingle_sets(table.column("text").to_pylist())
+    right = [i for i, s in enumerate(sets) if set_id(s) == names[i]]
+    ours, others = [i for i in right if asks[i]], [i for i in right if answers[i]]
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    if ours and others:
+        size = np.array([len(sets[i]) for i in others])
+        pool, owner = np.concatenate([sets[i] for i in others]), np.repeat(np.arange(len(others)), size)
+        order = np.argsort(pool, kind="stable")
+        pool, owner = pool[order], owner[order]
+        for i in ours:
+            low, high = np.searchsorted(pool, sets[i], "left"), np.searchsorted(pool, sets[i], "right")
+            n = high - low
+            at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+            both = np.bincount(owner[at], minlength=len(others))
+            for j in np.flatnonzero((both > 0) & (100 * both >= 80 * (size + len(sets[i]) - both))):
+                a, b = int(names[i]), int(names[others[j]])
+                if a != b and top(a) != top(b):
+                    parent[top(a)] = top(b)
+                    links.append((a, b))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def _smallest(members: DataFrame, pivots: int) -> DataFrame:
@@ -371,17 +490,12 @@ def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     keys = docs.mapInArrow(_keys(boundary, frequent), _KEYS)
     found = cuts.keep(keys.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_lists, _FOUND))
     members = found.filter("b IS NULL").select("key", "a")
-    pairs = found.filter("b IS NOT NULL").select("a", "b").distinct()
-    needed = found.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id")
-    readers = owners.join(needed, "set_id").groupBy("set_id").agg(F.min("id").alias("id")).select("id").distinct()
-    sets = cuts.keep(docs.join(readers, "id").select("id", "text").mapInArrow(_sets, "set_id long, shingles array<long>")
-                     .dropDuplicates(["set_id"]))
-    links = [_verified(pairs, sets).filter("linked").select("a", "b")]
-    links += _long_lists(cuts, members, sets)
-    linked = links[0]
-    for more in links[1:]:
-        linked = linked.union(more)
-    label = components(cuts, cuts.keep(linked))
+    pairs = cuts.keep(_possible(found, members))
+    needed = members.select("a").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id")
+    readers = cuts.keep(owners.join(needed, "set_id").groupBy("set_id").agg(F.min("id").alias("id")))
+    together = components(cuts, pairs).withColumnRenamed("node", "set_id").withColumn("flag", F.lit(True))
+    links = cuts.keep(_in_blocks(cuts, together.join(readers, "set_id"), docs))
+    label = components(cuts, cuts.keep(_long_lists(cuts, members, docs, readers, links)))
 
     classes = owners.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "id", "n", F.coalesce("component", "set_id").alias("component"))
@@ -401,8 +515,8 @@ def keep_one(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     cuts = cuts or Cuts(documents.sparkSession)
     classes = join_documents(documents, cuts)
     kept = classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    rows = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
-    turn = Window.partitionBy("_id").orderBy("text")
-    same = F.col("text").eqNullSafe(F.lag("text").over(turn)) & (F.row_number().over(turn) > 1)
-    return rows.join(kept, "_id", "left_semi").withColumn("_same", same).filter("NOT _same").select(*documents.columns)
+    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.struct("*").alias("row"))
+    turn = Window.partitionBy("id").orderBy("row.text")
+    same = F.col("row.text").eqNullSafe(F.lag("row.text").over(turn)) & (F.row_number().over(turn) > 1)
+    return rows.join(kept, "id", "left_semi").withColumn("same", same).filter("NOT same").select("row.*")

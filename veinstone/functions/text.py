@@ -36,7 +36,10 @@ def strip(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, f"[{fv.SPACE}]+", " "), F.lit(" "))
+    """Single blanks between words; texts that have nothing else are passed as they are."""
+    other = fv.SPACE.replace(" ", "")
+    untidy = text.rlike(f"[{other}]|  |^ | $")
+    return F.when(untidy, F.btrim(F.regexp_replace(text, f"[{fv.SPACE}]+", " "), F.lit(" "))).otherwise(text)
 
 
 def words(text: Column) -> Column:
@@ -84,7 +87,8 @@ def lexical_tokens(normalized: Column, limit: int | None = None) -> Column:
     characters) and its overlapping bigrams; lone characters stand alone.
     """
     ascii_tokens = F.regexp_extract_all(normalized, F.lit(fv.ASCII_TOKEN), F.lit(0))
-    spans = F.regexp_extract_all(normalized, F.lit(f"[{fv.CJK}]+"), F.lit(0))
+    spans = F.when(is_ascii(normalized), F.array().cast("array<string>")).otherwise(
+        F.regexp_extract_all(normalized, F.lit(f"[{fv.CJK}]+"), F.lit(0)))
 
     def span_tokens(span: Column) -> Column:
         n = F.length(span)

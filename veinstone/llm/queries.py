@@ -70,7 +70,38 @@ m AS (SELECT n, arg_max(verdict, length(rhost || rpath)) AS verdict, arg_max(rho
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (n)
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+    lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+one AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least_id AS component_id
+FROM sets JOIN (SELECT x, min(y) AS least_id FROM reach GROUP BY 1) ON x = doc_id
+"""
+
+OP7_SQL = r"""
+WITH raw AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, octet_length(b) - 98)) AS i, b FROM raw WHERE octet_length(b) >= 100),
+placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_slice(b, i, i + 99) ORDER BY doc_id, i) AS n FROM windows),
+covered AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM placed WHERE n > 1),
+marked AS (SELECT doc_id, i, sum((gap IS NULL OR gap > 100)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM covered),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM marked GROUP BY ALL),
+kept AS (SELECT doc_id, lag(z, 1, 1) OVER w AS a, a AS z FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, max(z), NULL FROM runs GROUP BY 1),
+pieces AS (SELECT doc_id, string_agg(hex(array_slice(b, k.a, coalesce(k.z, octet_length(b) + 1) - 1)), '' ORDER BY k.a) AS h
+  FROM kept k JOIN raw USING (doc_id) GROUP BY 1),
+sums AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(coalesce(unhex(h), b)) AS kept_sha256
+FROM raw LEFT JOIN sums USING (doc_id) LEFT JOIN pieces USING (doc_id)
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_secret_scan, op3_best_fit_packing, op4_multi_index_hashing, op5_merkle_fingerprints,
     op6_jaccard_join, op7_suffix_array_dedup, op8_url_filter, op9_main_text, op10_cotrained_quality)}
-SQL = {"op8_url_filter": OP8_SQL}
+SQL = {"op6_jaccard_join": OP6_SQL, "op7_suffix_array_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}

@@ -346,9 +346,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _long_lists(cuts: Cuts, members: DataFrame, docs: DataFrame, readers: DataFrame, links: DataFrame) -> DataFrame:
     """``links`` (a, b) and those that connect whatever the long lists connect.
 
-    Only links between different components matter. Two rounds compare all members of a list with a few
-    pivots outside its largest component: lists of near-copies are connected then. A pivot is done with,
-    and so is a member linked to a pivot and too near to it for a link with any member that is not
+    Only links between different components matter. At first all members of a list are compared with a
+    pivot outside its largest component, which connects most of a list of near-copies. The pivot is done
+    with then, and so is a member linked to it and too near to it for a link with any member that is not
     (Jaccard distance is a metric). Whoever is still outside the largest component of a list is compared
     with the members of its lists in blocks, where only links that connect something come out.
     """
@@ -356,22 +356,21 @@ def _long_lists(cuts: Cuts, members: DataFrame, docs: DataFrame, readers: DataFr
         return links
     own = cuts.keep(readers.join(members.select(F.col("a").alias("set_id")).distinct(), "set_id", "left_semi"))
     texts = cuts.keep(docs.join(own, "id").select("set_id", "text", "id"))
-    for pivots in (1, 2):
-        chosen = cuts.keep(_smallest(_outside(cuts, members, links), pivots))
-        if chosen.isEmpty():
-            return links
-        against = cuts.keep(members.join(chosen, "key").filter("a <> b"))
-        pairs = against.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = cuts.keep(_verified(pairs, texts))
-        links = links.union(known.filter("linked").select("a", "b"))
-        away = cuts.keep(against.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(
-            known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "far", "linked"), ["lo", "hi"])
-            .select("key", "a", "b", "far", "linked"))
-        edge = away.filter("NOT linked").groupBy("key", "b").agg(F.min("far").alias("edge"))
-        done = (away.filter("linked").join(edge, ["key", "b"], "left")
-                .filter(F.col("edge").isNull() | (F.col("far") + 0.2 + 1e-9 < F.col("edge"))).select("key", "a"))
-        done = done.unionByName(chosen.select("key", F.col("b").alias("a"))).distinct()
-        members = cuts.keep(members.join(chosen.select("key").distinct(), "key", "left_semi").join(done, ["key", "a"], "left_anti"))
+    chosen = cuts.keep(_pivots(_outside(cuts, members, links)))
+    if chosen.isEmpty():
+        return links
+    against = cuts.keep(members.join(chosen, "key").filter("a <> b"))
+    pairs = against.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = cuts.keep(_verified(pairs, texts))
+    links = links.union(known.filter("linked").select("a", "b"))
+    away = cuts.keep(against.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(
+        known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "far", "linked"), ["lo", "hi"])
+        .select("key", "a", "b", "far", "linked"))
+    edge = away.filter("NOT linked").groupBy("key", "b").agg(F.min("far").alias("edge"))
+    done = (away.filter("linked").join(edge, ["key", "b"], "left")
+            .filter(F.col("edge").isNull() | (F.col("far") + 0.2 + 1e-9 < F.col("edge"))).select("key", "a"))
+    done = done.unionByName(chosen.select("key", F.col("b").alias("a"))).distinct()
+    members = cuts.keep(members.join(chosen.select("key").distinct(), "key", "left_semi").join(done, ["key", "a"], "left_anti"))
     outside = cuts.keep(_outside(cuts, members, links))
     if outside.isEmpty():
         return links
@@ -414,7 +413,8 @@ def _in_blocks(cuts: Cuts, groups: DataFrame, docs: DataFrame) -> DataFrame:
         "task", block("m").alias("i"), each("n").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers"), *kept))
     rows = rows.unionByName(large.select(
         "task", each("m").alias("i"), block("n").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers"), *kept))
-    return docs.join(rows, "id").select("task", "i", "j", "asks", "answers", "set_id", "text").groupBy(
+    # by shuffle at every size: how many sets are candidates is not bounded
+    return docs.join(rows.hint("merge"), "id").select("task", "i", "j", "asks", "answers", "set_id", "text").groupBy(
         "task", "i", "j").applyInArrow(_connect, "a long, b long")
 
 
@@ -455,11 +455,9 @@ def _connect(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _smallest(members: DataFrame, pivots: int) -> DataFrame:
-    """(key, b): the members of each list with the smallest hashes, found with partial aggregates."""
-    h = F.xxhash64("a", F.lit("pivot"))
-    slots = members.withColumn("_slot", F.pmod(h, F.lit(pivots)))
-    return slots.groupBy("key", "_slot").agg(F.min_by("a", h).alias("b")).select("key", "b")
+def _pivots(members: DataFrame) -> DataFrame:
+    """(key, b): of each list the member with the smallest hash, found with partial aggregates."""
+    return members.groupBy("key").agg(F.min_by("a", F.xxhash64("a", F.lit("pivot"))).alias("b"))
 
 
 def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:

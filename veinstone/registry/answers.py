@@ -102,7 +102,7 @@ def evidence_budget(spark, sf):
     || string_agg('[EVIDENCE id=' || chunk_id || ']' || chr(10) || 'file=' || filename || chr(10)
       || 'status=approved' || chr(10) || 'version=' || version_id || chr(10) || 'location=Order lines'
       || chr(10) || content || chr(10) || '[/EVIDENCE]', chr(10) || chr(10) ORDER BY rank) AS prompt
-  FROM ev GROUP BY 1""", "Z1 U6")
+  FROM ev GROUP BY 1""", "Z1")
 def evidence_prompt(spark, sf):
     evidence = cut_lineage(supplier_evidence(spark, sf))
     asked = supplier_questions(spark, sf, evidence).select("query_id", "question")
@@ -261,7 +261,7 @@ def phrasing_checks(spark, sf):
 
 
 @group.add(EVIDENCE + """ SELECT query_id, bool_and(lifecycle_status = 'approved') AS approved_only
-  FROM ev GROUP BY 1""", "E4")
+  FROM ev GROUP BY 1""", "")
 def approved_only(spark, sf):
     return supplier_evidence(spark, sf).groupBy("query_id").agg(
         F.min(F.col("lifecycle_status") == "approved").alias("approved_only"))

@@ -99,7 +99,7 @@ def embedding_links(spark, sf):
 
 @group.add(f"""{RECORDS} SELECT project_id, count(*) AS n_missing FROM rec_rows r
   WHERE {q.ELIGIBLE} AND NOT EXISTS (SELECT 1 FROM rec_chunks e
-    WHERE e.chunk_id = r.chunk_id AND e.content LIKE '%status R/%') GROUP BY ALL""", "P12 J3")
+    WHERE e.chunk_id = r.chunk_id AND e.content LIKE '%status R/%') GROUP BY ALL""", "P12")
 def missing_embeddings(spark, sf):
     return catalog.missing_embeddings(record_rows(spark, sf), embedding_links(spark, sf), "current"
                                       ).groupBy("project_id").agg(F.count("*").alias("n_missing"))
@@ -229,7 +229,7 @@ def version_history(spark, sf):
                           "created_at").orderBy("document_id", F.desc("created_at"), "version_id")
 
 
-@group.add("SELECT DISTINCT n_name AS project_name FROM nation ORDER BY 1", "C1 S3")
+@group.add("SELECT DISTINCT n_name AS project_name FROM nation ORDER BY 1", "C1")
 def list_projects(spark, sf):
     return kb.table(spark, sf, "nation").select(F.col("n_name").alias("project_name")).distinct(
     ).orderBy("project_name")
@@ -400,7 +400,7 @@ def registry(spark):
     greatest(0, quota_tokens - used_tokens)::BIGINT AS remaining_tokens,
     round(CASE WHEN quota_tokens > 0 THEN used_tokens / quota_tokens ELSE 1.0 END::DOUBLE, 6) AS usage_ratio,
     enabled, used_tokens >= floor(quota_tokens * 0.8::DOUBLE) AS warning,
-    enabled AND used_tokens < floor(quota_tokens * 0.9::DOUBLE) AS eligible FROM u""", "A2 A3 C13 IO22 Z12")
+    enabled AND used_tokens < floor(quota_tokens * 0.9::DOUBLE) AS eligible FROM u""", "A2 A3 C13")
 def model_usage(spark, sf):
     return usage.usage_rows(registry(spark), kb.model_usage(spark, sf)).select(
         "model_id", "tier", "quota_tokens", "used_tokens", "remaining_tokens",

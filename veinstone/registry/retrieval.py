@@ -21,7 +21,7 @@ CONFIG = EngineConfig(embedding_dimensions=256)
 
 
 # --------------------------------------------------------------------- text
-@group.add(f"SELECT doc_id, {q.normalize('text')} AS normalized FROM documents", "L1 L2")
+@group.add(f"SELECT doc_id, {q.normalize('text')} AS normalized FROM documents", "L2")
 def normalized_text(spark, sf):
     return kb.note_files(spark, sf).select(
         "doc_id", tx.normalize_search_text(F.col("text")).alias("normalized"))
@@ -48,7 +48,7 @@ def token_estimate(spark, sf):
 
 @group.add(f"""{RECORDS} SELECT chunk_id, array_to_string(regexp_extract_all(' ' || filename || ' '
     || content, '[^A-Za-z0-9]([A-Za-z][A-Za-z0-9]{{1,12}}-[0-9]{{2,}}(?:-[A-Za-z0-9]+)*)', 1), ' ') AS codes
-  FROM rec_rows""", "L5 L6")
+  FROM rec_rows""", "L5")
 def exact_identifiers(spark, sf):
     text = F.concat_ws(" ", "filename", "content")
     return record_rows(spark, sf).select("chunk_id", F.array_join(tx.identifiers(text), " ").alias("codes"))
@@ -128,7 +128,7 @@ LEXICAL_SQL = f"""{NOTES}, line AS MATERIALIZED (
 
 
 @group.add(LEXICAL_SQL + """ SELECT query_id, rank, chunk_id, round(score, 6) AS score
-  FROM ranked WHERE rank <= 50""", "L9 L11 L12 P8 P9 P10 S1 J5")
+  FROM ranked WHERE rank <= 50""", "L11 L12 P8 P9 P10 S1 J5")
 def lexical_topk(spark, sf):
     index = scope.in_scope(note_index(spark, sf), ["approved"])
     asked = kb.questions(spark, sf).withColumnRenamed("question", "text")
@@ -164,7 +164,7 @@ def prototypes(rows):
 
 @group.add(f"""{q.with_views(VECTORS)} SELECT query_id, rank, chunk_id, project_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sim
-    WHERE score >= 0.25) WHERE rank <= 50""", "V2 V3 P5 P6")
+    WHERE score >= 0.25) WHERE rank <= 50""", "V2 V3 P6")
 def cosine_topk(spark, sf):
     rows = vectors(spark, sf)
     return vector.vector_search(rows, prototypes(rows), 50, 0.25).select(
@@ -320,7 +320,7 @@ def entity_preference(spark, sf):
   new AS (SELECT query_id, v, min(n * 100 + pos) AS place FROM code JOIN f USING (query_id)
     WHERE v NOT IN (a, b) GROUP BY ALL),
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS r FROM new)
-  SELECT query_id, string_agg(upper(v), ' ' ORDER BY r) AS linked FROM top WHERE r <= 12 GROUP BY 1""", "R9 J12 L10")
+  SELECT query_id, string_agg(upper(v), ' ' ORDER BY r) AS linked FROM top WHERE r <= 12 GROUP BY 1""", "R9 J12")
 def linked_identifiers(spark, sf):
     fused = supplier_fused(supplier_rows(spark, sf))
     first = fused.groupBy("query_id").agg(
@@ -462,7 +462,7 @@ def draft_fallback(spark, sf):
     return shown(fusion.union_keep_first(few, fallback.select(*few.columns)))
 
 
-@group.add(covers="R20 R21 R17 R22 R23 U1 U3 U5 V5 V7 V8 L7 L8 L14")
+@group.add(covers="R20 R17 R22 U1 U3 V5 V7 V8 L7 L8")
 def evidence_search(spark, sf):
     """The whole retrieval plan for all questions at once."""
     index = cut_lineage(retrieve.embed_index(lexical.search_projection(

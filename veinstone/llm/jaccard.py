@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veinstone.llm.common import Cuts, components
 
 WORDS = 5
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Lists of at most so many sets are joined pair by pair where they are met, longer ones by pivots.
 SHORT = 32
 #: Shingles that are put last in the common order: any choice gives the same links, so it is bounded.

@@ -33,7 +33,14 @@ LEAST_SCORE = 0.75
 _WORDS_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _TOKEN = re.compile(
     r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)"""
-    r"""|(?P<assign>:=|=>|==|!=|[=:])|(?P<plus>\+)|(?P<bare>[^\s"'=:+,;(){}\[\]<>]+)|(?P<stop>[,;(){}\[\]<>\n])""", re.ASCII)
+    r"""|(?P<assign>:=|=>|==|!=|\+=|[=:])|(?P<plus>\+)|(?P<bare>[^\s"'=:+,;(){}\[\]<>]+)|(?P<stop>[,;(){}\[\]<>\n])""", re.ASCII)
+#: A type between ``:`` and the sign that the value follows.
+_TYPE = re.compile(r"[ \t]*(?:[&*?]|dyn |mut |const )*([A-Za-z_][A-Za-z0-9_.]*)[ \t]*(?:[\[\]<>()|*?,.:\w \t'\"]*[\]>)|*?\w'\"])??[ \t]*(:?=)(?![=>])", re.ASCII)
+_ALTERNATIVE = frozenset(("or", "and", "if", "else", "||", "&&", "??", "?", "|"))
+_SIGNS = frozenset(("=", ":", ":=", "=>", "+="))
+#: Names of arguments that stand for the value of the whole call.
+_STANDS_IN = frozenset(("default", "fallback", "value", "val", "otherwise"))
+_PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -58,68 +65,244 @@ def name_weight(name: str) -> float:
     return min(1.0, weights[0] + 0.5 * sum(weights[1:2])) if weights else 0.0
 
 
+_EDGE = max(map(len, PLACEHOLDERS)) - 1
+
+
+class Literal:
+    """A value without its text: what its weight needs, and its parts. Joined values share their parts,
+    so constants of any length propagate without copies."""
+
+    __slots__ = ("size", "counts", "head", "tail", "placeholder", "span", "parts")
+
+    def __init__(self, value: str, start: int, end: int):
+        lowered = value.lower()
+        self.size, self.counts, self.span, self.parts = len(value), Counter(value), (start, end), ()
+        self.head, self.tail = lowered[:_EDGE], lowered[-_EDGE:]
+        self.placeholder = any(p in lowered for p in PLACEHOLDERS)
+
+    @classmethod
+    def joined(cls, one: Literal | None, two: Literal) -> Literal:
+        if one is None:
+            return two
+        out = cls.__new__(cls)
+        out.size, out.counts, out.span, out.parts = one.size + two.size, one.counts + two.counts, None, (one, two)
+        out.head, out.tail = (one.head + two.head)[:_EDGE], (one.tail + two.tail)[-_EDGE:]
+        out.placeholder = one.placeholder or two.placeholder or any(p in one.tail + two.head for p in PLACEHOLDERS)
+        return out
+
+    def weight(self) -> float:
+        """How random a literal looks, from 0 to 1: length, entropy of its characters, kinds of characters."""
+        if self.size < 8 or self.placeholder:
+            return 0.0
+        entropy = -sum(c / self.size * math.log2(c / self.size) for c in self.counts.values())
+        blank = any(c.isspace() for c in self.counts)
+        kinds = sum((any(c.isdigit() for c in self.counts), any(c.islower() for c in self.counts),
+                     any(c.isupper() for c in self.counts), any(not c.isalnum() and not c.isspace() for c in self.counts)))
+        # words with blanks speak for a secret only under the strongest names, unless characters of three kinds are mixed
+        return min(1.0, entropy / 4.0) * ((1.0 if kinds >= 3 else 0.65) if blank else 1.0 if kinds >= 2 else 0.4)
+
+    def spans(self, done: set[int]):
+        """The spans of all parts, without parts that are in ``done``."""
+        todo = [self]
+        while todo:
+            part = todo.pop()
+            if id(part) in done:
+                continue
+            done.add(id(part))
+            if part.span:
+                yield part.span
+            todo += reversed(part.parts)
+
+
 def literal_weight(value: str) -> float:
-    """How random a literal looks, from 0 to 1: length, entropy of its characters, kinds of characters."""
-    lowered = value.lower()
-    if len(value) < 8 or any(c.isspace() for c in value) or any(p in lowered for p in PLACEHOLDERS):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum((any(c.isdigit() for c in value), any(c.islower() for c in value),
-                 any(c.isupper() for c in value), any(not c.isalnum() for c in value)))
-    return min(1.0, entropy / 4.0) * (1.0 if kinds >= 2 else 0.4)
+    return Literal(value, 0, len(value)).weight()
+
+
+class _Place:
+    """An open bracket (or the text itself) of the lexer: whose value is being read, and how far."""
+
+    __slots__ = ("opener", "base", "targets", "value", "waits", "grows")
+
+    def __init__(self, opener: str, base: tuple[str, ...]):
+        self.opener, self.base, self.targets, self.value = opener, base, base, None
+        self.waits, self.grows = bool(base), False  # a value may start here; += keeps the old one
 
 
 def assigned_literals(text: str):
-    """(name, value, spans) of every assignment in ``text``, constants propagated.
+    """(name, Literal) of every assignment in ``text``, constants propagated.
 
-    An assignment is a name (or a quoted key) before ``=``, ``:``, ``:=`` or ``=>``; its value is one
-    literal, a name assigned before, or several of these joined by ``+``. Unquoted words count as
-    literals when they end the value. Only lines with an assignment sign are lexed.
+    An assignment is a name (or a quoted key) before ``=``, ``:``, ``:=``, ``=>`` or ``+=``, with or without a
+    type between; its value is one literal, a name assigned before, or several of these joined by ``+`` or
+    put side by side. The value may start on a following line and lie in brackets or be an argument of a
+    call; each element counts for the name. Unquoted words count as literals outside of parentheses. The
+    tokens of the whole text are one stream; lines without a sign are passed over between assignments.
     """
-    known: dict[str, tuple[str, tuple]] = {}
-    at, end = 0, len(text)
-    while at < end:
-        stop = text.find("\n", at)
-        stop = end if stop < 0 else stop
-        if text.find("=", at, stop) >= 0 or text.find(":", at, stop) >= 0:
-            tokens = list(_TOKEN.finditer(text, at, stop))
-            i = 1
-            while i < len(tokens):
-                sign, left = tokens[i], tokens[i - 1]
-                i += 1
-                if sign.lastgroup != "assign" or sign[0] in ("==", "!=") or left.lastgroup not in ("name", "string"):
-                    continue
-                name = left[0].strip("\"'")
-                value, spans, more = "", [], True
-                while i < len(tokens) and more:
-                    part = tokens[i]
-                    if part.lastgroup == "string":
-                        value += part[0][1:-1]
-                        spans.append((part.start() + 1, part.end() - 1))
-                    elif part.lastgroup == "name" and part[0] in known:
-                        old, old_spans = known[part[0]]
-                        value += old
-                        spans += old_spans
-                    elif part.lastgroup in ("name", "bare"):
-                        if i + 1 < len(tokens) and tokens[i + 1].lastgroup == "assign":
-                            break
-                        last = part.end()
-                        while i + 1 < len(tokens) and tokens[i + 1].start() == last and tokens[i + 1].lastgroup in ("name", "bare"):
-                            i += 1
-                            last = tokens[i].end()
-                        value += text[part.start():last]
-                        spans.append((part.start(), last))
-                    else:
+    known: dict[str, Literal] = {}
+    place = _Place("", ())
+    stack, open_ = [place], Counter()
+    at, size = 0, len(text)
+    last, fresh = None, True  # the token before, and whether a line ended since
+
+    def settle(done: bool):
+        """The value read so far, for every name that it is assigned to."""
+        value = place.value
+        place.value = None
+        names = place.targets
+        if value is not None:
+            for name in names:
+                if place.grows and name in known:
+                    value = Literal.joined(known[name], value)
+                yield name, value
+                # an unquoted name that is a type must not become a constant
+                if name in names[:1] or name_weight(name):
+                    known[name] = value
+        if done:
+            place.targets, place.waits, place.grows = place.base, False, False
+
+    def reset():
+        nonlocal place
+        del stack[1:]
+        open_.clear()
+        place = stack[0]
+
+    while at < size:
+        if fresh and len(stack) == 1 and not place.targets:
+            signs = [i for i in (text.find("=", at), text.find(":", at)) if i >= 0]
+            if not signs:
+                break
+            at = max(at, text.rfind("\n", at, min(signs)) + 1)
+        m = _TOKEN.search(text, at)
+        if m is None:
+            break
+        at, kind, token = m.end(), m.lastgroup, m[0]
+        if token == "\n":
+            if last == "\\":
+                last = None
+                continue
+            fresh = True
+            if len(stack) > 1 and not any(p.base or p.targets for p in stack):
+                reset()
+            if len(stack) == 1 and place.value is None and not place.waits:
+                place.targets = ()
+            # a value that is complete waits for a sign of going on, see below
+            if len(stack) == 1 and place.value is not None and not place.waits:
+                following = _TOKEN.search(text, _ahead(text, at))
+                if following is None or following.lastgroup != "plus":
+                    yield from settle(True)
+            continue
+        after = fresh
+        fresh = False
+        if kind in ("string", "name", "bare"):
+            if (after and len(stack) > 1 and not place.waits and last not in (None, ",", "(", "[", "{", "+", "\\")
+                    and last not in _ALTERNATIVE and token not in _ALTERNATIVE and not (kind == "string" and last == "string")):
+                # no comma before a new line: in braces the next statement, else a bracket that is not closed
+                yield from settle(True)
+                if place.opener == "{":
+                    place.base = place.targets = ()
+                else:
+                    reset()
+                    yield from settle(True)
+                    place.targets, place.waits = (), False
+            following = _TOKEN.search(text, at)
+            sign = following if following is not None and following.lastgroup == "assign" and following[0] not in ("==", "!=") else None
+            if sign is not None and kind != "bare":
+                if kind == "string" and place.waits and last in _SIGNS:  # a value, whatever follows
+                    place.value = Literal.joined(place.value, Literal(token[1:-1], m.start() + 1, m.end() - 1))
+                yield from settle(True)
+                at = sign.end()
+                name = token.strip("\"'")
+                names = (name,)
+                typed = _TYPE.match(text, at) if sign[0] == ":" else None
+                if typed:
+                    names += (typed[1],)
+                    at = typed.end()
+                # arguments that stand in for the value count for the name outside, too
+                outside = place.base if name.lower() in _STANDS_IN else ()
+                place.targets, place.waits, place.grows = names + outside, True, sign[0] == "+="
+                if sign[0] == "=" and (again := _CHAINED.match(text, at)):
+                    place.targets += (again[1],)
+                    at = again.end()
+                last = sign[0]
+                continue
+            if token in _ALTERNATIVE and kind != "string" and place.targets and last is not None and last not in _SIGNS:
+                yield from settle(False)
+                place.waits, last = True, token
+                continue
+            if token == "\\":
+                last = token
+                continue
+            joins = kind == "string" and last == "string" and place.value is not None
+            if place.targets and (place.waits or joins):
+                if kind == "string":
+                    part = Literal(token[1:-1], m.start() + 1, m.end() - 1)
+                    if part.size or last != "string":
+                        place.value = Literal.joined(place.value, part)
+                    # an empty string right before another quote opens a text of several lines
+                    place.waits = not part.size and text[at:at + 2] == token[0] + "\n"
+                elif token in known:
+                    place.value, place.waits = Literal.joined(place.value, known[token]), False
+                elif text[at:at + 1] in ("(", "[") and not any(c.isdigit() for c in token):
+                    pass  # the value is what stands in the brackets
+                elif place.opener == "(" and last not in _SIGNS:
+                    place.waits = False
+                else:
+                    while (more := _TOKEN.match(text, at)) and more.lastgroup in ("name", "bare"):
+                        at = more.end()
+                    place.value = Literal.joined(place.value, Literal(text[m.start():at], m.start(), at))
+                    place.waits = text[at:at + 1] == "("
+                    if place.waits:
+                        yield from settle(False)
+            last = "string" if kind == "string" else token
+            continue
+        if kind == "plus":
+            place.waits = bool(place.targets) and place.value is not None or place.waits
+        elif token in ("(", "[", "{"):
+            inner = _Place(token, place.targets if place.waits else ())
+            if token == "[" and last is not None and place.waits and text[m.start() - 1:m.start()].isalnum():
+                inner = _Place(token, ())  # a subscript
+            place.waits = False
+            stack.append(inner)
+            open_[token] += 1
+            place = inner
+        elif token in _PAIRS:
+            if open_[_PAIRS[token]]:
+                while True:
+                    opener, value, single = place.opener, place.value, place.targets == place.base
+                    if not (opener == "(" and single and value is not None):
+                        yield from settle(True)
+                    stack.pop()
+                    open_[opener] -= 1
+                    place = stack[-1]
+                    if opener == "(" and single and value is not None:
+                        place.value = Literal.joined(place.value, value)
+                    if opener == _PAIRS[token]:
                         break
-                    i += 1
-                    more = i < len(tokens) and tokens[i].lastgroup == "plus"
-                    i += more
-                if spans:
-                    if len(value) <= 4096:
-                        known[name] = (value, tuple(spans))
-                    yield name, value, spans
-        at = stop + 1
+            elif len(stack) == 1:
+                yield from settle(True)
+        elif token == ",":
+            yield from settle(True)
+            place.waits = bool(place.base)
+        elif token in (";", "<", ">"):
+            yield from settle(True)
+            if token == ";" and len(stack) > 1:
+                if place.opener == "{":
+                    place.base = place.targets = ()
+                else:
+                    reset()
+                    yield from settle(True)
+        last = token
+    while stack:
+        yield from settle(True)
+        stack.pop()
+        place = stack[-1] if stack else place
+
+
+_CHAINED = re.compile(r"[ \t]*([A-Za-z_][A-Za-z0-9_.]*)[ \t]*=(?![=>])", re.ASCII)
+_BLANKS = re.compile(r"\s*")
+
+
+def _ahead(text: str, at: int) -> int:
+    return _BLANKS.match(text, at).end()
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -128,10 +311,11 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     found = base_spans(text)
     if "=" in text or ":" in text:
         covered = sorted((s, e) for s, e, _ in found)
-        extra = set()
-        for name, value, spans in assigned_literals(text):
-            if (weight := name_weight(name)) and 0.5 * weight + 0.5 * literal_weight(value) >= LEAST_SCORE:
-                extra |= {(s, e, "literal") for s, e in spans
+        extra, done, held = set(), set(), []
+        for name, value in assigned_literals(text):
+            if (weight := name_weight(name)) and 0.5 * weight + 0.5 * value.weight() >= LEAST_SCORE:
+                held.append(value)  # parts are told apart by id while they live
+                extra |= {(s, e, "literal") for s, e in value.spans(done)
                           if e > s and not any(a <= s and e <= b for a, b in covered)}
         found += extra
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
@@ -160,7 +344,7 @@ def scan_documents(documents: DataFrame) -> DataFrame:
 
     A null text counts as empty: no spans, the digest of the empty string. Repeated rows are scanned
     alike; a null doc_id stays null; an empty table gives no rows; other columns are not read. Texts
-    are scanned whole, in one pass over each line; nothing is shuffled.
+    are scanned whole, in one stream of tokens; nothing is shuffled.
     """
     def run(batches):
         for batch in batches:

@@ -2,7 +2,8 @@
 
 import pytest
 
-from veinstone.llm import secrets
+from test_pages_and_vectors import model, page  # noqa: F401
+from veinstone.llm import html, secrets
 
 
 # ------------------------------------------------------------------------------------------- op 2
@@ -32,3 +33,32 @@ def test_other_literals_are_not_credited(text):
 def test_long_chains_of_constants_take_linear_work():
     text = 's = "Zx81"\n' + 's = s + "qP9-x"\npassword = s\n' * 20_000
     assert len(secrets.scan(text)) == 20_001
+
+
+# ------------------------------------------------------------------------------------------- op 9
+FAR = "<p>Dawn alder, brook fern. Cloud elm, the dawn.</p>"
+
+
+@pytest.mark.parametrize("inside, want", [
+    ('<div class="md:flex hidden lg:block"><p>Alder brook, cloud dawn elm. Fern alder.</p></div>', "Alder brook"),
+    ('<section title="The hidden world"><p>Alder brook, cloud dawn elm. Fern alder.</p></section>', "Alder brook"),
+    ('<div data-x="display:none"><p>Alder brook, cloud dawn elm. Fern alder.</p></div>', "Alder brook"),
+    ("<p>Alder <math><mi>qx</mi></math> and <svg><text>qy</text></svg>, <object>qz</object> fern. <noscript>qn</noscript></p>", "Alder qx and qy, qz fern. qn"),
+    ("<p>Alder brook.</p><canvas width=3>", "Alder brook"), ("<video src=x><p>Alder brook.</p>", "Alder brook"), ("<svg><p>Alder brook.</p>", "Alder brook"),
+    ("<p>Alder <video>no film <div>here</div></video>brook.</p>", "Alder brook.")])
+def test_articles_are_kept_whole(model, inside, want):
+    text = html.main_text(page(f"<nav><a href=x>Home</a></nav><article>{FAR}{inside}{FAR}</article><footer>&copy; us</footer>"), model)
+    assert want in text and text.count("Dawn alder") == 2 and "Home" not in text and "film" not in text
+
+
+def test_hidden_parts_are_left_out_by_the_model(model):
+    for how in ("hidden", "style='color:red; display:none'", "aria-hidden=true"):
+        body = f"<article>{FAR * 3}<div {how}><p>Subscribe to it now, please. It costs nothing.</p></div></article>"
+        assert html.main_text(page(body), model) == "\n".join(["Dawn alder, brook fern. Cloud elm, the dawn."] * 3)
+
+
+def test_deep_trees_close_their_own_elements():
+    top = html.parse("<div><article>" + "<div>" * 600 + "deep" + "</div>" * 600 + "<p>after</p></article></div><p>out</p>")
+    assert [p if isinstance(p, tuple) else p.tag for p in top.children[0].children[0].parts] == ["div", "p"]
+    assert [c.tag for c in top.children] == ["div", "p"]
+    assert len(html.measure(html.parse("<figure>" * 50_000 + "</ul>" * 50_000))) == 50_001

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from veinstone.llm.trees import BoostedTrees
 
-# Fixed values of HTML: elements without content, raw text, blocks, elements whose end tag may be left
-# out before another, and form elements.
+# Fixed values of HTML: elements without content, raw text, elements whose content is not shown as text,
+# blocks, elements whose end tag may be left out before another, and form elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
+RAW = frozenset("script style".split())
+UNSHOWN = frozenset("template textarea title iframe select canvas audio video".split())
 BLOCK = frozenset((
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul").split())
@@ -36,11 +37,12 @@ AGAINST = frozenset((
     "subscribe tags toolbar topbar widget alert discussion feedback complementary contentinfo").split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\shidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_READ = frozenset("class id role aria-label itemprop".split())
+_NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _ENDS = re.compile(r"[.!?;:,]")
-N_FEATURES = 25
+N_FEATURES = 27
 MARK = " data-main-text"  # marks the main element of pages made for training; no feature sees it
 
 
@@ -53,22 +55,41 @@ class Node:
         self.depth = up.depth + 1 if up else 0
         self.good = self.bad = self.chars = self.words = self.links = self.marks = self.tags = 0
         self.paragraphs = self.before = self.inputs = 0
-        self.hidden = bool(attributes and _HIDDEN.search(attributes))
-        self.marked = MARK in attributes
-        for _, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-            words = {w.lower() for w in _NAME.findall(value)}
-            self.good += len(words & FOR)
-            self.bad += len(words & AGAINST)
+        self.hidden, self.marked = False, MARK in attributes
+        for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+            name, value = name.lower(), value.strip("\"'")
+            if name == "hidden" or name == "style" and _NOT_DISPLAYED.search(value) or name == "aria-hidden" and value.lower() == "true":
+                self.hidden = True
+            elif name in _READ:
+                words = {w.lower() for w in _NAME.findall(value)}
+                self.good += len(words & FOR)
+                self.bad += len(words & AGAINST)
+
+
+def _end_of_unshown(page: str, at: int, tag: str, parent: str) -> int | None:
+    """Where an element without shown text that begins at ``at`` ends; None if it is not closed inside its
+    parent. Looks no further than the next tag of its name."""
+    m = re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    if not m or not m[1]:
+        return None
+    level = 0
+    for step in re.compile(rf"<(/?){parent}(?=[\s/>])", re.I).finditer(page, at, m.start()) if parent else ():
+        level += -1 if step[1] else 1
+        if level < 0:
+            return None
+    return m.end()
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; a node's ``parts`` are its children and its runs of own text in order.
 
-    Inline elements only mark link text; raw elements and comments are left out. A block element closes
-    an open paragraph; list items and table cells close their like. End tags without a start are ignored.
+    Inline elements only mark link text; scripts, styles, comments and elements whose content is not shown
+    are left out, the latter only if they are closed inside their parent. A block element closes an open
+    paragraph; list items and table cells close their like. End tags without a start are ignored.
     """
     top = node = Node("", None)
     stack: list[Node] = [top]
+    open_: dict[str, int] = {}
     links, buffer, linked, at, size = 0, [], 0, 0, len(page)
 
     def flush():
@@ -80,6 +101,13 @@ def parse(page: str) -> Node:
                 node.parts.append((run, min(linked, len(run))))
         linked = 0
 
+    def close(i):
+        nonlocal links
+        for gone in stack[i:]:
+            open_[gone.tag] -= 1
+        del stack[i:]
+        links = 0
+
     while at < size:
         m = _PIECE.match(page, at)
         at = m.end()
@@ -99,24 +127,26 @@ def parse(page: str) -> Node:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
-            node.inputs += tag in ("textarea", "select")
+            buffer.append(" ")
+        elif tag in UNSHOWN:
+            if not closing and not m[3].endswith("/"):
+                at = _end_of_unshown(page, at, tag, re.escape(node.tag)) or at
+            node.inputs += not closing and tag in ("textarea", "select")
             buffer.append(" ")
         elif tag in ("input", "button"):
             node.inputs += not closing
         elif tag in BLOCK:
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                     if stack[i].tag == tag:
-                        del stack[i:]
-                        links = 0
+                        close(i)
                         break
             else:
                 shut = CLOSES.get(tag, ())
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(map(open_.get, ("p", *shut))) else ():
                     if stack[i].tag in shut or stack[i].tag == "p":
-                        del stack[i:]
-                        links = 0
+                        close(i)
                         break
                     if stack[i].tag in SCOPE:
                         break
@@ -126,8 +156,8 @@ def parse(page: str) -> Node:
                 child = Node(tag, stack[-1], m[3])
                 stack[-1].children.append(child)
                 stack[-1].parts.append(child)
-                if len(stack) < 400:
-                    stack.append(child)
+                stack.append(child)
+                open_[tag] = open_.get(tag, 0) + 1
             node = stack[-1]
     flush()
     return top
@@ -171,11 +201,11 @@ def features(order: list[Node]) -> np.ndarray:
     """Subtree density, attribute words, depth and sibling statistics of every node."""
     out = np.zeros((len(order), N_FEATURES), np.float32)
     total = max(1, order[0].chars)
-    path = [(0, 0, 0, 0)] * len(order)
+    path = [(0, 0, 0, 0, 0)] * len(order)
     for node in order:
-        good, bad, content, bare = path[node.up.index] if node.up else (0, 0, 0, 0)
-        path[node.index] = good, bad, content, bare = (
-            good + node.good, bad + node.bad, content + (node.tag in CONTENT), bare + (node.tag in BARE))
+        good, bad, content, bare, hidden = path[node.up.index] if node.up else (0, 0, 0, 0, 0)
+        path[node.index] = good, bad, content, bare, hidden = (
+            good + node.good, bad + node.bad, content + (node.tag in CONTENT), bare + (node.tag in BARE), hidden + node.hidden)
         brothers = node.up.children if node.up else [node]
         mean = sum(b.chars for b in brothers) / len(brothers) if len(brothers) < 64 else node.up.chars / len(brothers)
         out[node.index] = (
@@ -183,7 +213,7 @@ def features(order: list[Node]) -> np.ndarray:
             node.links / max(1, node.chars), node.chars / node.tags, node.marks / max(1, node.words),
             node.chars / max(1, node.words), node.tag in CONTENT, node.tag in BARE, node.tag == "p",
             node.tag in HEADINGS, node.tag == "li", node.tag == "header", node.good, node.bad, good, bad, content, bare,
-            node.before / total, node.chars / total, node.paragraphs, node.chars / (1 + mean))
+            node.before / total, node.chars / total, node.paragraphs, node.chars / (1 + mean), node.hidden, hidden)
     return out
 
 
@@ -206,7 +236,7 @@ def decode(order: list[Node], logits: np.ndarray) -> list[bool]:
     for node in reversed(order):
         i = node.index
         options = (-SPLIT if node.children else 0.0) + split[i], keep[i], 0.0
-        choice[i] = int(np.argmax(options)) if not node.hidden else 2
+        choice[i] = int(np.argmax(options))
         best[i] = options[choice[i]]
         if node.up:
             split[node.up.index] += best[i]
@@ -215,8 +245,6 @@ def decode(order: list[Node], logits: np.ndarray) -> list[bool]:
     for node in order:
         i = node.index
         f = force[node.up.index] if node.up else 0
-        if node.hidden:
-            f = 2
         force[i] = f or (choice[i] if choice[i] else 0)
         kept[i] = force[i] == 1 or force[i] == 0 and weight[i] > 0
     return kept
@@ -250,10 +278,13 @@ _TEMPLATES_AGAINST = (
     "div class='cookie-notice'", "section id='comments'", "div class='comment-list'", "ul class='menu'",
     "div class='related-posts'", "div class='share social'", "div id='footer'", "div id='header'", "aside class='widget'",
     "div class='newsletter-signup'", "div class='notice'", "div role='navigation'", "div class='comments'")
+_HIDING = ("div hidden", "div style='display:none'", "div aria-hidden='true'", "section hidden", "div class='text' style='color:red;display: none'")
 
 
 def _is_content(node: Node) -> bool:
     while node:
+        if node.hidden:
+            return False
         if node.tag in CONTENT:
             return True
         node = node.up
@@ -296,28 +327,42 @@ def _rewrapped(page: str, others: list[str], rng: random.Random) -> str | None:
     return f"<html><body>{body}</body></html>"
 
 
+def _with_hidden(page: str, others: list[str], rng: random.Random) -> str | None:
+    """A page in another dress with a hidden part of other prose in its article; some are hidden as a whole,
+    as until a script shows them."""
+    found = re.search(r"<(article|main)\b[^>]*>(.*?)</\1\s*>", page, re.S | re.I)
+    if not found:
+        return None
+    source, dress = rng.choice(others), rng.choice(_HIDING)
+    prose = re.sub(r"<[^>]*>", " ", source[source.find("<p"):]).split() or ["menu"]
+    inside = "".join(f"<p>{' '.join(prose[start:start + rng.randint(3, 60)])}</p>" for start in (rng.randrange(len(prose)) for _ in range(rng.randint(1, 4))))
+    at = rng.choice((found.start(2), found.end(2), found.end(2)))
+    page = _rewrapped(f"{page[:at]}<{dress}>{inside}</{dress.split()[0]}>{page[at:]}", others, rng)
+    return f"<div style='display:none'>{page}</div>" if rng.random() < 0.2 else page
+
+
 def train(pages: list[str], seed: int = 7, dresses: int = 3) -> BoostedTrees:
     """Fits the trees on pages whose article element marks the main text, as they are and re-dressed.
 
-    Pages without an article or main element teach nothing. Without any such page the trees learn from
+    One more dress has a hidden part. Pages without an article or main element teach nothing. Without any such page the trees learn from
     one written example, in the same dresses.
     """
     usable = [p for p in pages if re.search(r"<(article|main)\b", p, re.I)]
     usable = usable or ["<html><nav><ul><li><a href='#'>home</a></li></ul></nav><article><h1>A title here</h1><p>Some words of a text, "
                         "and more of them. It goes on.</p><p>It ends.</p></article><footer>&copy; us</footer></html>"] * 20
-    rng, xs, ys = random.Random(seed), [], []
+    rng, hiding, xs, ys = random.Random(seed), random.Random(seed + 1), [], []
     for page in usable:
         order = measure(parse(page))
         xs.append(features(order))
         ys.append([_is_content(n) for n in order])
-        for _ in range(dresses):
-            dressed = _rewrapped(page, usable, rng)
+        for i in range(dresses + 1):
+            dressed = _rewrapped(page, usable, rng) if i < dresses else _with_hidden(page, usable, hiding)
             if dressed:
                 order = measure(parse(dressed))
                 main = [False] * len(order)
                 for node in order:
                     inside = node.up is not None and main[node.up.index]
-                    main[node.index] = node.marked or inside and not (node.tag in BARE or node.bad > node.good)
+                    main[node.index] = node.marked or inside and not (node.tag in BARE or node.hidden or node.bad > node.good)
                 xs.append(features(order))
                 ys.append(main)
     x, y = np.concatenate(xs), np.concatenate([np.asarray(v, float) for v in ys])

@@ -3,7 +3,7 @@
 import pytest
 
 from test_pages_and_vectors import model, page  # noqa: F401
-from veinstone.llm import html, secrets
+from veinstone.llm import html, jaccard, secrets
 
 
 # ------------------------------------------------------------------------------------------- op 2
@@ -62,3 +62,15 @@ def test_deep_trees_close_their_own_elements():
     assert [p if isinstance(p, tuple) else p.tag for p in top.children[0].children[0].parts] == ["div", "p"]
     assert [c.tag for c in top.children] == ["div", "p"]
     assert len(html.measure(html.parse("<figure>" * 50_000 + "</ul>" * 50_000))) == 50_001
+
+
+# ------------------------------------------------------------------------------------------- op 6
+def test_one_of_each_group_stays_without_and_with_repeated_ids(spark):
+    long = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcd"]
+    near = [text + " more" for text in long]
+    rows = [(1, long[0], 0), (None, near[0], 1), (None, long[1], 2), (None, near[1], 3), (None, long[1], 4), (None, None, 5), (None, "", 6),
+            (7, long[2], 7), (7, long[3], 8), (8, near[2], 9), (7, near[2], 10), (5, near[3], 11), (None, "", 12), (7, long[2], 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = {r.n for r in jaccard.keep_one(docs).collect()}
+    group = [{0, 1}, {2, 3, 4}, {5}, {6, 12}, {7, 10, 13}, {11}]
+    assert len(kept) == len(group) and all(len(kept & g) == 1 for g in group) and 0 in kept

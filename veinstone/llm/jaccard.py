@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinstone.llm.common import Cuts, components
@@ -125,7 +125,7 @@ def _documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
 
 
-_SCAN = "frequent boolean, id long, n long, set_id long"
+_SCAN = "frequent boolean, id long, n long, set_id long, digest string"
 
 
 def _scan(batches):
@@ -140,7 +140,8 @@ def _scan(batches):
         often = often[np.argsort(-count[often], kind="stable")[:FREQUENT_PER_FLUSH]]
         n = len(often)
         return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), _pa(shingle[often]), pa.array(count[often].astype(np.int64)),
-                                           pa.array(np.zeros(n, np.int64))], names=["frequent", "id", "n", "set_id"])
+                                           pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.string())],
+                                          names=["frequent", "id", "n", "set_id", "digest"])
 
     for batch in batches:
         sets = shingle_sets(batch.column(1).to_pylist())
@@ -148,7 +149,7 @@ def _scan(batches):
         if n:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(n, bool)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_id(s) for s in sets], pa.int64())], names=["frequent", "id", "n", "set_id"])
+                 pa.array([set_id(s) for s in sets], pa.int64()), batch.column(2)], names=["frequent", "id", "n", "set_id", "digest"])
         held += sets
         size += sum(map(len, sets))
         if size > FLUSH:
@@ -460,23 +461,12 @@ def _pivots(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min_by("a", F.xxhash64("a", F.lit("pivot"))).alias("b"))
 
 
-def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
-    """Documents whose five-word shingle sets have a Jaccard similarity of at least 0.8, as classes.
-
-    Returns doc_id, n_shingles, component_id per row: the smallest doc_id reachable by links, itself
-    included. Null and empty texts, and texts without words, have an empty set and are linked with
-    nothing. Rows with equal texts are linked. Rows with a null doc_id take part; the component of such
-    rows alone is null. An empty table gives no rows; other columns are not read.
-
-    Equal sets are one set from the start. Each set then shows keys: a small set all its subsets of the
-    sizes that a partner must share, a large set the rarest fifth of its shingles. Sets under one key
-    are candidates, verified on whole sets; the boundary between small and large is chosen by cost.
-    """
+def _classes(documents: DataFrame, cuts: Cuts, digest: Column) -> DataFrame:
+    """(id, n, digest, component) of every row of ``documents``; a missing doc_id is NO_ID."""
     spark = documents.sparkSession
-    cuts = cuts or Cuts(spark)
     docs = _documents(documents)
-    scanned = cuts.keep(docs.mapInArrow(_scan, _SCAN))
-    owners = scanned.filter("NOT frequent").select("id", "n", "set_id")
+    scanned = cuts.keep(docs.withColumn("digest", digest).mapInArrow(_scan, _SCAN))
+    owners = scanned.filter("NOT frequent").select("id", "n", "set_id", "digest")
     top = (scanned.filter("frequent").groupBy("id").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "id").limit(FREQUENT).collect())
     often = np.array([r.id for r in top], np.int64).view(np.uint64)
@@ -495,8 +485,23 @@ def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     links = cuts.keep(_in_blocks(cuts, together.join(readers, "set_id"), docs))
     label = components(cuts, cuts.keep(_long_lists(cuts, members, docs, readers, links)))
 
-    classes = owners.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "id", "n", F.coalesce("component", "set_id").alias("component"))
+    return owners.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "id", "n", "digest", F.coalesce("component", "set_id").alias("component"))
+
+
+def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
+    """Documents whose five-word shingle sets have a Jaccard similarity of at least 0.8, as classes.
+
+    Returns doc_id, n_shingles, component_id per row: the smallest doc_id reachable by links, itself
+    included. Null and empty texts, and texts without words, have an empty set and are linked with
+    nothing. Rows with equal texts are linked. Rows with a null doc_id take part; the component of such
+    rows alone is null. An empty table gives no rows; other columns are not read.
+
+    Equal sets are one set from the start. Each set then shows keys: a small set all its subsets of the
+    sizes that a partner must share, a large set the rarest fifth of its shingles. Sets under one key
+    are candidates, verified on whole sets; the boundary between small and large is chosen by cost.
+    """
+    classes = _classes(documents, cuts or Cuts(documents.sparkSession), F.lit(None).cast("string"))
     full = classes.filter("n > 0")
     least = full.groupBy("component").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("component_id"))
     doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
@@ -507,14 +512,16 @@ def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
 def keep_one(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """``documents`` with one row for each group of linked documents: the one with the smallest doc_id.
 
-    Documents without words are in no group and stay. Of rows that repeat doc_id and text one stays; a row
-    without doc_id stays if its group has no doc_id.
+    Rows without doc_id come last, and rows of a group that share its doc_id, or have none, are told apart
+    by the digest of their text. Documents without words are in no group and stay. Of rows that repeat
+    doc_id and text one stays.
     """
     cuts = cuts or Cuts(documents.sparkSession)
-    classes = join_documents(documents, cuts)
-    kept = classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.struct("*").alias("row"))
-    turn = Window.partitionBy("id").orderBy("row.text")
-    same = F.col("row.text").eqNullSafe(F.lag("row.text").over(turn)) & (F.row_number().over(turn) > 1)
-    return rows.join(kept, "id", "left_semi").withColumn("same", same).filter("NOT same").select("row.*")
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    classes = cuts.keep(_classes(documents, cuts, digest))
+    least = classes.filter("n > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("id") == NO_ID, F.col("id").alias("id"), F.col("digest").alias("digest"))).alias("least"))
+    kept = least.select("least.id", "least.digest").union(classes.filter("n = 0").select("id", "digest").distinct())
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), digest.alias("digest"), F.struct("*").alias("row"))
+    # copies are left out before the shuffle, so many of one row do not meet in a task
+    return rows.dropDuplicates(["id", "digest"]).join(kept, ["id", "digest"], "left_semi").select("row.*")

@@ -3,7 +3,7 @@
 import pytest
 
 from test_pages_and_vectors import model, page  # noqa: F401
-from veinstone.llm import html, jaccard, secrets
+from veinstone.llm import html, jaccard, quality, secrets
 
 
 # ------------------------------------------------------------------------------------------- op 2
@@ -74,3 +74,19 @@ def test_one_of_each_group_stays_without_and_with_repeated_ids(spark):
     kept = {r.n for r in jaccard.keep_one(docs).collect()}
     group = [{0, 1}, {2, 3, 4}, {5}, {6, 12}, {7, 10, 13}, {11}]
     assert len(kept) == len(group) and all(len(kept & g) == 1 for g in group) and 0 in kept
+
+
+# ------------------------------------------------------------------------------------------- op 10
+def test_sure_documents_are_exchanged_once_each(spark):
+    rows = [(i, [1.0, 0.0], [0.0, 0.0, 1.0], 9.0, 0.0) for i in range(500)] + [(i, [i / 9, 1.0], [0.0, 1.0, 1.0], 5.0 - i % 2 * 10, 5.0) for i in range(500, 530)]
+    scored = spark.createDataFrame(rows, "doc_id long, text_view array<float>, meta_view array<float>, s_text_view double, s_meta_view double")
+    cells = quality.examples(scored, "text_view", "meta_view", 3.0, []).collect()
+    assert sorted((r.meta_view, r.label, r.copies) for r in cells) == [([0, 0, 1], 1, 500), ([0, 1, 1], 0, 15), ([0, 1, 1], 1, 15)]
+    first = quality.examples(scored, "meta_view", "text_view", 3.0, []).limit(20).collect()
+    rest = quality.examples(scored, "meta_view", "text_view", 3.0, [(r.name,) for r in first]).collect()
+    assert len(rest) == 10 and len({tuple(r.text_view) for r in first + rest}) == 30
+
+
+def test_metadata_values_count_whole():
+    names = ["s" * 70 + str(i) for i in range(40)]
+    assert len({tuple(quality.meta_features("en", n, 5)) for n in names}) > 32

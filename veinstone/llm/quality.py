@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +13,9 @@ from pyspark.sql import functions as F
 from veinstone.llm.common import Cuts
 from veinstone.llm.trees import BoostedTrees
 
-N_TEXT, N_META = 16, 32
+N_TEXT = 16
+#: Slots for languages, sources and size classes.
+SLOTS = (32, 256, 8)
 _SCHEMA = "doc_id long, text_view array<float>, meta_view array<float>"
 
 
@@ -38,14 +43,17 @@ def text_features(text: str) -> list[float]:
             min(1.0, np.log1p(n) / 15)]
 
 
+@lru_cache(maxsize=65_536)
+def _slot(value: str | None, slots: int) -> float:
+    """A slot by a hash of the whole value; -1 for none."""
+    if value is None:
+        return -1.0
+    return float(int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest()) % slots)
+
+
 def meta_features(lang: str | None, source: str | None, size: int) -> list[float]:
-    """A page's metadata: language and source by hash into slots, and size classes."""
-    out = [0.0] * N_META
-    for slots, start, value in ((8, 0, lang), (16, 8, source)):
-        if value is not None:
-            out[start + sum(ord(c) * 31**i for i, c in enumerate(value[:64])) % slots] = 1.0
-    out[24 + min(7, int(np.log10(1 + size) * 1.6))] = 1.0
-    return out
+    """A page's metadata: the slots of language, source and size class."""
+    return [_slot(lang, SLOTS[0]), _slot(source, SLOTS[1]), float(min(SLOTS[2] - 1, int(np.log10(1 + size) * 1.6)))]
 
 
 def views(documents: DataFrame) -> DataFrame:
@@ -104,7 +112,7 @@ class MetaView(View):
     """Ridge-penalised logistic regression over the metadata slots."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-3):
-        z, w = self._expand(x), np.zeros(x.shape[1] + 1)
+        z, w = self._expand(x), np.zeros(1 + sum(SLOTS))
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             curve = weight * p * (1 - p) + 1e-6
@@ -117,10 +125,20 @@ class MetaView(View):
 
     @staticmethod
     def _expand(x):
-        return np.concatenate([np.ones((len(x), 1)), x], 1)
+        out, start = np.zeros((len(x), 1 + sum(SLOTS))), 1
+        out[:, 0] = 1
+        for column, slots in zip(x.T.astype(int), SLOTS, strict=True):
+            known = np.flatnonzero(column >= 0)
+            out[known, start + column[known]] = 1
+            start += slots
+        return out
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self._expand(x) @ self.w
+        total, start = np.full(len(x), self.w[0]), 1
+        for column, slots in zip(x.T.astype(int), SLOTS, strict=True):
+            total += np.where(column >= 0, self.w[start + np.maximum(column, 0)], 0.0)
+            start += slots
+        return total
 
 
 def log_odds(seen: DataFrame, models: dict[str, View], *keep: str) -> DataFrame:
@@ -146,14 +164,27 @@ def _arrays(rows, view):
     return np.array([r[view] for r in rows], np.float64)
 
 
+def examples(scored: DataFrame, v: str, other: str, bound: float, handed: list) -> DataFrame:
+    """Distinct examples of view ``other`` from all documents of which view ``v`` is sure: (other, label, copies,
+    name), without those named in ``handed``, in the order of their names (hashes)."""
+    score = F.col(f"s_{v}")
+    sure = (scored.filter(F.abs(score) > bound).select(other, F.when(score > 0, 1.0).otherwise(0.0).alias("label"))
+            .groupBy(other, "label").agg(F.count("*").alias("copies")).withColumn("name", F.xxhash64(other, "label")))
+    if handed:
+        sure = sure.join(F.broadcast(scored.sparkSession.createDataFrame(handed, "name long")), "name", "left_anti")
+    return sure.orderBy("name", other)
+
+
 def fit(cuts: Cuts, seen: DataFrame, labels: DataFrame, labelled_rows: int = 10_000, rounds: int = 3,
-        exchanged: int = 200, sure: float = 0.97, reject_below: float = 0.25) -> tuple[View, View, float, float]:
+        exchanged: int = 10_000, sure: float = 0.97, reject_below: float = 0.25) -> tuple[View, View, float, float]:
     """Both calibrated views, the prior log-odds and the threshold.
 
     At most ``labelled_rows`` labelled documents (chosen by hash; a fifth is held out for calibration
-    and threshold) come to the driver. In each round every unlabelled document is scored by both
-    views, and each view hands the other its ``exchanged`` surest documents of either class, if it is
-    surer than ``sure``; they weigh half of a label.
+    and threshold) come to the driver. In each round every unlabelled document is scored by both views.
+    Those of which a view is surer than ``sure`` are aggregated to distinct examples of the other view,
+    with counts; all that were not handed over before are, up to ``exchanged`` a view and round (beyond
+    that chosen by hash). A text counts once however often it is copied, a metadata cell by its
+    documents. All examples together weigh half of the labels at most, and half of a label each on average.
     """
     known = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
              .agg(F.max(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("y")))
@@ -168,16 +199,19 @@ def fit(cuts: Cuts, seen: DataFrame, labels: DataFrame, labelled_rows: int = 10_
         held = np.zeros(len(y), bool)
     check = held if held.any() else ~held
     pool = seen.join(known, "doc_id", "left_anti")
-    extra = {v: (np.zeros((0, x[v].shape[1])), np.zeros(0)) for v in x}
+    extra = {v: (np.zeros((0, x[v].shape[1])), np.zeros(0), np.zeros(0)) for v in x}
+    handed: dict[str, list] = {v: [] for v in x}
 
     kinds = {"text_view": TextView, "meta_view": MetaView}
 
     def trained():
         out = {}
         for v in x:
-            more, more_y = extra[v]
+            more, more_y, count = extra[v]
+            # half of a label each on average, and no more than half of the labels together
+            share = 0.5 * count / max(1.0, count.mean(), count.sum() / (~held).sum()) if len(count) else count
             model = kinds[v](np.concatenate([x[v][~held], more]), np.concatenate([y[~held], more_y]),
-                         np.concatenate([np.ones((~held).sum()), np.full(len(more_y), 0.5)]))
+                         np.concatenate([np.ones((~held).sum()), share]))
             model.calibrate(x[v][check], y[check])
             out[v] = model
         return out
@@ -188,14 +222,13 @@ def fit(cuts: Cuts, seen: DataFrame, labels: DataFrame, labelled_rows: int = 10_
         scored = cuts.keep(log_odds(pool, models, "doc_id", "text_view", "meta_view"))
         found = 0
         for v, other in (("text_view", "meta_view"), ("meta_view", "text_view")):
-            for label, order, sure_enough in ((1.0, F.desc(f"s_{v}"), F.col(f"s_{v}") > bound),
-                                              (0.0, F.asc(f"s_{v}"), F.col(f"s_{v}") < -bound)):
-                best = (scored.filter(sure_enough).orderBy(order, F.xxhash64("doc_id"), "doc_id")
-                        .limit(exchanged).select(other).collect())
-                if best:
-                    old, old_y = extra[other]
-                    extra[other] = np.concatenate([old, _arrays(best, other)]), np.append(old_y, np.full(len(best), label))
-                    found += len(best)
+            best = examples(scored, v, other, bound, handed[other]).limit(exchanged).collect()
+            if best:
+                old, old_y, count = extra[other]
+                copies = [r.copies if other == "meta_view" else 1 for r in best]
+                extra[other] = (np.concatenate([old, _arrays(best, other)]), np.append(old_y, [r.label for r in best]), np.append(count, copies))
+                handed[other] += [(r.name,) for r in best]
+                found += len(best)
         cuts.drop(scored)
         if not found:
             break

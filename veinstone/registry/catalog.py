@@ -183,7 +183,9 @@ def reconcile_differences(spark, sf):
 def publish_cutover(spark, sf):
     versions = catalog.mark_current(kb.record_versions(spark, sf)).withColumns({
         "effective_to": F.lit(None).cast("timestamp"), "searchable_at": F.lit(None).cast("timestamp")})
-    published = versions.filter("technical_status = 'index_pending'").select("version_id")
+    pending = versions.filter("technical_status = 'index_pending'").select("version_id")
+    chunks = kb.record_chunks(spark, sf)  # the tables hold no projection of their own: all chunks have arrived
+    published = sync.verified(pending, chunks, chunks)
     return sync.cut_over(versions, published, now()).select(
         "version_id", "document_id", "lifecycle_status", "technical_status", "is_current")
 

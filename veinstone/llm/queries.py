@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from veinstone.llm import html, jaccard, merkle, mixing, neighbours, packing, quality, repeats, secrets, urls
+from veinstone.llm import (
+    alignment, html, jaccard, merkle, mixing, neighbours, packing, quality, repeats, secrets, tokens, turns, urls)
 
 #: Fixed values of the contract: verdict, host, path.
 URL_RULES = [
@@ -58,6 +59,20 @@ def op10_cotrained_quality(spark, sf):
     return quality.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op11_conversation_repair(spark, sf):
+    damaged = turns.damage_turns(_table(spark, sf, "conversations"))
+    return turns.summarize_repairs(turns.repair_conversations(damaged))
+
+
+def op12_token_counts(spark, sf):
+    return tokens.count_tokens(_table(spark, sf, "documents"), model="piece_bpe_32k.model", limit=4096)
+
+
+def op13_tokenizer_alignment(spark, sf):
+    scored = alignment.score_documents(_table(spark, sf, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 OP8_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -101,7 +116,54 @@ SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_r
 FROM raw LEFT JOIN sums USING (doc_id) LEFT JOIN pieces USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE given AS (SELECT conv_id, coalesce(conv_id::VARCHAR, 'none') AS k, turn, coalesce(role, ' ') AS role,
+    coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+kinds AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(1, length(place) + 1),
+    lambda i: ascii(substr(place, i, 1))::BIGINT), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda x, y: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295)) % 20 AS kind FROM given),
+damaged AS (SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+judged AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY k ORDER BY i) AS before FROM numbered),
+inserts(q, letters, paid, q1) AS (VALUES (0, '', 0, 0), (0, 'I', 3, 2), (0, 'II', 6, 3), (1, '', 0, 1), (1, 'I', 3, 2),
+    (1, 'II', 6, 3), (2, '', 0, 2), (2, 'I', 3, 3), (3, '', 0, 3), (3, 'I', 3, 2)),
+edits(q1, letter, role, paid, q2) AS (VALUES (0, 'D', NULL, 4, 0), (1, 'D', NULL, 4, 1), (2, 'D', NULL, 4, 2), (3, 'D', NULL, 4, 3),
+    (0, 'K', 's', 0, 1), (0, 'K', 'u', 0, 2), (1, 'K', 'u', 0, 2), (2, 'K', 'a', 0, 3), (3, 'K', 'u', 0, 2),
+    (0, 'R', NULL, 3, 2), (1, 'R', NULL, 3, 2), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 3, 2)),
+closing(q, letters, paid) AS (VALUES (0, '', 0), (1, 'II', 6), (2, 'I', 3), (3, '', 0)),
+ways(k, i, q, label) AS (SELECT DISTINCT k, 0::BIGINT, 0, printf('%09d', 0) FROM given UNION ALL
+  SELECT w.k, w.i + 1, e.q2, min(printf('%09d', substr(label, 1, 9)::INT + n.paid + e.paid
+      + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END) || substr(label, 10) || letters || letter)
+  FROM ways w JOIN judged j ON j.k = w.k AND j.i = w.i + 1 JOIN inserts n ON n.q = w.q
+    JOIN edits e ON e.q1 = n.q1 AND (e.role IS NULL OR e.role = r) AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  GROUP BY w.k, w.i, e.q2),
+lengths AS (SELECT k, max(i) AS n FROM ways GROUP BY 1),
+best AS (SELECT w.k, min(printf('%09d', substr(label, 1, 9)::INT + paid) || substr(label, 10) || letters) AS label
+  FROM ways w JOIN lengths l ON l.k = w.k AND l.n = w.i JOIN closing c ON c.q = w.q GROUP BY 1),
+letters AS (SELECT k, p, substr(label, p + 9, 1) AS letter FROM (SELECT k, label, unnest(range(1, length(label) - 8)) AS p FROM best)),
+placed AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY k ORDER BY p) AS i,
+    count(*) FILTER (letter <> 'D') OVER (PARTITION BY k ORDER BY p) AS j,
+    count(*) FILTER (letter <> 'D') OVER (PARTITION BY k) AS m FROM letters),
+repaired AS (SELECT p.k, string_agg(CASE WHEN letter = 'K' THEN t.role WHEN (j + m) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY p) AS lines
+  FROM placed p LEFT JOIN judged t ON t.k = p.k AND t.i = p.i WHERE letter <> 'D' GROUP BY 1),
+counts AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, substr(label, 1, 9)::BIGINT AS cost,
+  substr(label, 10) AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM given) JOIN best USING (k) LEFT JOIN counts USING (k) LEFT JOIN repaired USING (k)
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_secret_scan, op3_best_fit_packing, op4_multi_index_hashing, op5_merkle_fingerprints,
-    op6_jaccard_join, op7_suffix_array_dedup, op8_url_filter, op9_main_text, op10_cotrained_quality)}
-SQL = {"op6_jaccard_join": OP6_SQL, "op7_suffix_array_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+    op6_jaccard_join, op7_suffix_array_dedup, op8_url_filter, op9_main_text, op10_cotrained_quality,
+    op11_conversation_repair, op12_token_counts, op13_tokenizer_alignment)}
+SQL = {"op6_jaccard_join": OP6_SQL, "op7_suffix_array_dedup": OP7_SQL, "op8_url_filter": OP8_SQL,
+       "op11_conversation_repair": OP11_SQL}

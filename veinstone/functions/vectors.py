@@ -60,3 +60,27 @@ def feature_hash_embedding(text: Column, dimensions: int) -> Column:
                          na_action="ignore")
 
     return embed(text)
+
+
+def embedding_or_error(text: Column, dimensions: int, embed=feature_hash) -> Column:
+    """``struct<vector, error>``: a text that the model port fails on is a row with an error, not a failed job.
+
+    ``embed`` is a function of (text, dimensions); a vector of another length is an error, too.
+    """
+    @F.pandas_udf("vector array<float>, error string")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        vectors, errors = [], []
+        for t in batch:
+            vector = error = None
+            if t is not None:
+                try:
+                    vector = np.asarray(embed(t, dimensions), "float32")
+                    if len(vector) != dimensions:
+                        vector, error = None, f"embedding dimension mismatch: {len(vector)}"
+                except Exception as problem:  # whatever a model may raise is told with its question
+                    vector, error = None, f"{type(problem).__name__}: {problem}"
+            vectors.append(vector)
+            errors.append(error)
+        return pd.DataFrame({"vector": vectors, "error": errors})
+
+    return run(text)

@@ -6,7 +6,7 @@ the caller's single write.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.cluster import join_small
@@ -127,6 +127,30 @@ def sources(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("is_deleted"))
 
 
+def file_as_of(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """``requests`` with the version whose file answers them, and nothing where there is none.
+
+    A request (document_id, as_of, version_id) with a version gets that version of the document; one
+    without gets the newest that was created up to ``as_of``, and the newest of all where that is null.
+    Equal times are ordered by version id. Versions and requests are put in one order of time per
+    document, and the last version seen is carried on: one shuffle, no range join. The rows of one
+    document are sorted by one task, which spills.
+    """
+    far = F.lit("9999-12-31 00:00:00").cast("timestamp")
+    known = versions.select("document_id", F.col("created_at").alias("_at"), F.lit(0).alias("_kind"), F.col("version_id").alias("_v"),
+                            F.lit(None).cast("string").alias("_wanted"), F.lit(None).cast(requests.schema).alias("_request"))
+    asked = requests.select("document_id", F.coalesce("as_of", far).alias("_at"), F.lit(1).alias("_kind"),
+                            F.lit(None).cast("string").alias("_v"), F.col("version_id").alias("_wanted"),
+                            F.struct(*requests.columns).alias("_request"))
+    upto = Window.partitionBy("document_id").orderBy("_at", "_kind", "_v")
+    whole = Window.partitionBy("document_id", F.coalesce("_v", "_wanted"))
+    lines = known.unionByName(asked).withColumn("_newest", F.last("_v", ignorenulls=True).over(upto))
+    # a named version answers only for its own document; its rows share the document's partition
+    lines = lines.withColumn("_given", F.max("_v").over(whole))
+    found = F.when(F.col("_wanted").isNotNull(), F.col("_given")).otherwise(F.col("_newest"))
+    return lines.filter(F.col("_kind") == 1).select("_request.*", found.alias("found_version"))
+
+
 def live_citations(cited: DataFrame, rows: DataFrame) -> DataFrame:
     """Cited chunks that may no longer be cited; must be empty."""
     live = rows.filter(eligible()).select("chunk_id")

@@ -17,7 +17,7 @@ from veinstone.cluster import cut_lineage, join_small
 from veinstone.config import EngineConfig
 from veinstone.functions import questions as qs
 from veinstone.functions import text as tx
-from veinstone.functions.vectors import feature_hash_embedding
+from veinstone.functions.vectors import embedding_or_error, feature_hash, feature_hash_embedding
 from veinstone.operators import fusion, selection
 from veinstone.operators.lexical import lexical_search, top_per_query
 from veinstone.operators.rerank import rerank
@@ -162,6 +162,28 @@ def _channels(index: DataFrame, sub: DataFrame, config: EngineConfig, with_vecto
     return hits
 
 
+def two_channels(index: DataFrame, asked: DataFrame, config: EngineConfig, embed=feature_hash, k: int | None = None) -> DataFrame:
+    """Fused hits of ``asked`` (query_id, text) with the mode each question was answered in.
+
+    Columns: query_id, rank, chunk_id, score, mode, error. A question whose embedding fails is an error
+    row of its batch: it goes on with the lexical channel alone (mode ``lexical_only``), the others and
+    the job are not touched. ``index`` is in scope and holds the vectors of the same model.
+    """
+    k = k or config.retrieval_top_k
+    tried = cut_lineage(asked.select("query_id", "text", embedding_or_error(
+        tx.normalize_query(F.col("text")), config.embedding_dimensions, embed).alias("e")))
+    columns = ["rank", "chunk_id", "lifecycle_status"]
+    lexical = lexical_search(index.drop("embedding"), tried.select("query_id", "text"), k)
+    hits = lexical.select("query_id", F.lit(0).alias("channel"), *columns)
+    able = tried.filter(F.col("e.error").isNull() & F.col("e.vector").isNotNull()).select("query_id", F.col("e.vector").alias("vector"))
+    found = vector_search(fingerprint_gate(index, config.embedding_fingerprint).select(
+        "chunk_id", "lifecycle_status", "embedding"), able, k, config.vector_min_similarity)
+    hits = hits.unionByName(found.select("query_id", F.lit(1).alias("channel"), *columns))
+    mode = tried.select("query_id", F.when(F.col("e.error").isNull(), "hybrid").otherwise("lexical_only").alias("mode"),
+                        F.col("e.error").alias("error"))
+    return join_small(fusion.rrf(hits), mode, "query_id")
+
+
 def _parent(rows: DataFrame, sub: DataFrame) -> DataFrame:
     return join_small(rows, sub.select("query_id", "parent", "step"), "query_id").drop(
         "query_id").withColumnRenamed("parent", "query_id")

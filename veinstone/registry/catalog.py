@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veinstone import fixed_values as fv
+from veinstone.cluster import shared_folder
 from veinstone.functions import hashing, text as tx
 from veinstone.operators import catalog, queue, scope, sync, usage
-from veinstone.plans import kb
+from veinstone.plans import kb, reindex as rebuild
 from veinstone.registry import sql as q
 from veinstone.registry.base import Group
+from veinstone.streaming import outbox, worker
 
 group = Group()
 RECORDS, NOTES = q.with_views(q.RECORDS), q.with_views(q.NOTES)
@@ -190,6 +194,44 @@ def publish_cutover(spark, sf):
         "version_id", "document_id", "lifecycle_status", "technical_status", "is_current")
 
 
+def lossy_projection(rows):
+    """A projection writer that loses the lines of open returns."""
+    return rows.filter(~F.col("content").rlike("status A/O")).select(*rebuild.PROJECTED)
+
+
+@group.add(f"""{RECORDS} SELECT version_id, count(*) AS n_chunks, sha256(string_agg(
+    ordinal || ':' || chunk_id || ':' || record_hash || chr(10), '' ORDER BY ordinal, chunk_id)) AS manifest_hash,
+    bool_and(content NOT LIKE '%status A/O%') AS verified,
+    CASE WHEN bool_and(content NOT LIKE '%status A/O%') THEN count(*) ELSE 0 END AS n_served
+  FROM rec_chunks GROUP BY 1""", "T10 A9")
+def reindex_verified(spark, sf):
+    """A new generation of the projection: broken versions are left out of what is served."""
+    folder = f"{shared_folder(spark)}/generations-{uuid.uuid4().hex}"
+    judged = rebuild.reindex(kb.record_chunks(spark, sf), folder, 1, project=lossy_projection)
+    served = rebuild.served(spark, folder).groupBy("version_id").agg(F.count("*").alias("n_served"))
+    return judged.join(served, "version_id", "left").fillna(0, ["n_served"])
+
+
+def file_requests(spark, sf):
+    """Order lines ask for their customer's file as of the day they were shipped; the third lines for the
+    newest file, and the fifth for the version they belong to."""
+    lines, orders = kb.table(spark, sf, "lineitem"), kb.table(spark, sf, "orders")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    when = F.when(F.col("l_linenumber") != 3, F.col("l_shipdate").cast("timestamp"))
+    return rows.select("l_orderkey", "l_linenumber", kb.code("CUS", F.col("o_custkey")).alias("document_id"), when.alias("as_of"),
+                       F.when(F.col("l_linenumber") == 5, kb.code("ORD", F.col("l_orderkey"))).alias("version_id"))
+
+
+@group.add(f"""{RECORDS}, asked AS (SELECT l_orderkey, l_linenumber, 'CUS-' || lpad(o_custkey::VARCHAR, 7, '0') AS document_id,
+    CASE WHEN l_linenumber <> 3 THEN l_shipdate::TIMESTAMP ELSE TIMESTAMP '9999-12-31' END AS as_of FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  seen AS (SELECT document_id, created_at::TIMESTAMP AS created_at, max(version_id) AS version_id FROM rec_versions_raw GROUP BY ALL)
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN 'ORD-' || lpad(l_orderkey::VARCHAR, 7, '0') ELSE version_id END AS found_version
+  FROM asked ASOF LEFT JOIN seen ON asked.document_id = seen.document_id AND as_of >= created_at""", "C8")
+def file_as_of(spark, sf):
+    versions = kb.record_versions(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return catalog.file_as_of(file_requests(spark, sf), versions).select("l_orderkey", "l_linenumber", "found_version")
+
+
 @group.add(f"""{RECORDS}, {q.OUTBOX.strip()} SELECT * FROM
   (SELECT count(*) AS missing_embeddings FROM rec_rows WHERE {q.ELIGIBLE}
     AND content NOT LIKE '%status R/%'),
@@ -381,7 +423,82 @@ def queue_counts(spark, sf):
         F.count("*").alias("n"), F.max("attempts").alias("max_attempts"))
 
 
+def as_job_events(events):
+    """Events as facts about one job a user, in a hundredth of the time."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP '2024-01-01 00:00:00', ts) div 100")
+    kind = F.when(F.col("event_type").isin("view", "click"), "claimed").when(F.col("event_type") == "error", "failed").when(
+        F.col("event_type") == "purchase", "succeeded").otherwise("submitted")
+    return events.select("event_id", F.col("user_id").alias("job_id"), kind.alias("kind"), F.timestamp_micros(micros).alias("at"))
+
+
+@group.add("""WITH RECURSIVE e AS (SELECT user_id AS j, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i, t,
+    CASE WHEN event_type IN ('view', 'click') THEN 'claimed' WHEN event_type = 'error' THEN 'failed'
+      WHEN event_type = 'purchase' THEN 'succeeded' ELSE 'submitted' END AS kind
+    FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 100 AS t FROM events)),
+  s(j, i, t, open, status, n, deadline, was, was_n, due, action, action_n) AS (
+    SELECT DISTINCT j, 0::BIGINT, 0::BIGINT, FALSE, 'pending', 0, NULL::BIGINT, 'pending', 0, NULL::BIGINT, NULL::VARCHAR, 0 FROM e
+    UNION ALL SELECT j, i, t,
+      NOT (kind = 'succeeded' OR (kind = 'failed' AND n >= 5)),
+      CASE WHEN kind = 'claimed' THEN 'processing' WHEN kind = 'submitted' THEN status ELSE 'pending' END,
+      CASE WHEN kind = 'claimed' THEN n + 1 WHEN kind = 'succeeded' OR (kind = 'failed' AND n >= 5) THEN 0 ELSE n END,
+      CASE WHEN kind = 'claimed' THEN t + 300000000 WHEN kind = 'failed' AND n < 5 THEN t + least(300, 2 ** least(n, 8))::BIGINT * 1000000
+        WHEN kind = 'submitted' THEN deadline END,
+      was, n, due,
+      CASE WHEN kind = 'succeeded' THEN 'done' WHEN kind = 'failed' AND n >= 5 THEN 'dead' WHEN kind = 'submitted' AND NOT open THEN 'ready' END, n
+    FROM (SELECT e.j, e.i, e.t, e.kind, s.open, s.n, s.status AS was, CASE WHEN s.deadline <= e.t THEN s.deadline END AS due,
+        CASE WHEN s.deadline <= e.t THEN 'pending' ELSE s.status END AS status, CASE WHEN s.deadline > e.t THEN s.deadline END AS deadline
+      FROM s JOIN e ON e.j = s.j AND e.i = s.i + 1)),
+  ended AS (SELECT j, arg_max(status, i) AS was, arg_max(n, i) AS n, arg_max(deadline, i) FILTER (i = k) AS due FROM (
+    SELECT *, max(i) OVER (PARTITION BY j) AS k FROM s) GROUP BY 1)
+  SELECT j AS job_id, CASE WHEN was = 'processing' THEN 'lease_expired' ELSE 'ready' END AS action, was_n AS attempts, due AS at_us FROM s WHERE due IS NOT NULL
+  UNION ALL SELECT j, action, action_n, t FROM s WHERE action IS NOT NULL
+  UNION ALL SELECT j, CASE WHEN was = 'processing' THEN 'lease_expired' ELSE 'ready' END, n, due FROM ended
+    WHERE due < (SELECT max(t) FROM e) - 600000000""", "T11 T3 T4")
+def worker_loop(spark, sf):
+    """What the worker loop does about the events, as a stateful stream with timers."""
+    root = f"{shared_folder(spark)}/worker-{uuid.uuid4().hex}"
+    schema = kb.table(spark, sf, "events").schema
+    known = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", worker.STATE_STORE)
+    try:
+        actions = worker.worker_actions(as_job_events(outbox.read_events(spark, sf, schema, "events.parquet")))
+        actions.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(
+            availableNow=True).start(f"{root}/actions").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", known)
+    return spark.read.schema(worker.OUTPUT).parquet(f"{root}/actions")
+
+
 # -------------------------------------------------------------------- usage
+ROUTES = [("max-a", "max", 40_000, 1, True), ("max-b", "max", 30_000, 2, True), ("max-c", "max", 10_000, 3, False),
+          ("plus-a", "plus", 60_000, 1, True), ("plus-b", "plus", 50_000, 2, True)]
+
+
+@group.add("""WITH r AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 2 THEN 'max' ELSE 'plus' END AS tier,
+    length(text) AS tokens FROM conversations),
+  a1 AS (SELECT *, CASE tier WHEN 'max' THEN 'max-a' ELSE 'plus-a' END AS m, CASE tier WHEN 'max' THEN 36000 ELSE 54000 END AS room,
+      id % 11 = 0 AS fails FROM r),
+  t1 AS (SELECT *, coalesce(sum(CASE WHEN fails THEN 0 ELSE tokens END) OVER (PARTITION BY tier ORDER BY id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < room AS asked FROM a1),
+  a2 AS (SELECT id, tier, tokens, 1 + asked::INT AS attempt, CASE tier WHEN 'max' THEN 'max-b' ELSE 'plus-b' END AS m,
+      CASE tier WHEN 'max' THEN 27000 ELSE 45000 END AS room, FALSE AS fails FROM t1 WHERE NOT asked OR fails),
+  t2 AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY tier ORDER BY id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < room AS asked FROM a2)
+  SELECT id AS request_id, tier, 1 AS attempt, m AS model_id, CASE WHEN fails THEN 'failed' ELSE 'success' END AS result_status,
+    CASE WHEN fails THEN 0 ELSE tokens END::BIGINT AS total_tokens FROM t1 WHERE asked
+  UNION ALL SELECT id, tier, attempt, m, 'success', tokens::BIGINT FROM t2 WHERE asked
+  UNION ALL SELECT id, tier, attempt, NULL, 'exhausted', 0 FROM t2 WHERE NOT asked""", "Z12 A2 A3")
+def model_routing(spark, sf):
+    """Turns of conversations as requests: served in order, by priority, until the quotas are met."""
+    requests = kb.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.when(F.col("turn") % 3 == 2, "max").otherwise("plus").alias("tier"), F.length("text").cast("long").alias("tokens"))
+    models = spark.createDataFrame(ROUTES, "model_id string, tier string, quota_tokens bigint, priority int, enabled boolean")
+    nothing = spark.createDataFrame([], "model_id string, result_status string, total_tokens long")
+    down = F.col("model_id").isin("max-a", "plus-a") & (F.col("request_id") % 11 == 0)
+    return usage.allot_requests(requests, models, nothing, down)
+
+
 MODELS = [("model-signup", "max", 400_000, 1, True), ("model-view", "plus", 9_000_000, 1, True),
           ("model-click", "plus", 450_000, 2, True), ("model-error", "plus", 0, 3, False),
           ("model-unused", "max", 1_000_000, 2, True)]

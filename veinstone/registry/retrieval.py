@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from veinstone.cluster import cut_lineage
+from veinstone.cluster import cut_lineage, shared_folder
 from veinstone.config import EngineConfig
 from veinstone.functions import text as tx
-from veinstone.functions.vectors import feature_hash_embedding
-from veinstone.operators import fusion, lexical, scope, selection, vector
+from veinstone.functions.vectors import embedding_or_error, feature_hash_embedding
+from veinstone.operators import fusion, lexical, postings, scope, selection, vector, vector_index
 from veinstone.operators.lexical import top_per_query
 from veinstone.plans import kb, retrieve
 from veinstone.registry import sql as q
 from veinstone.registry.base import Group
 from veinstone.registry.catalog import record_rows
+from veinstone.sources import vector_blocks
 
 group = Group()
 NOTES, RECORDS = q.with_views(q.NOTES), q.with_views(q.RECORDS)
@@ -127,15 +130,46 @@ LEXICAL_SQL = f"""{NOTES}, line AS MATERIALIZED (
     FROM scored)"""
 
 
+def own_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @group.add(LEXICAL_SQL + """ SELECT query_id, rank, chunk_id, round(score, 6) AS score
   FROM ranked WHERE rank <= 50""", "L11 L12 P8 P9 P10 S1 J5")
 def lexical_topk(spark, sf):
+    """From the stored inverted index of the chunks in scope."""
+    rows = scope.in_scope(kb.note_chunks(spark, sf), ["approved"])
+    index = postings.write_index(lexical.search_projection(rows), own_folder(spark, "lists"))
+    asked = kb.questions(spark, sf).withColumnRenamed("question", "text")
+    return postings.postings_search(index, asked, 50).select(
+        "query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@group.add(LEXICAL_SQL + """ SELECT query_id, rank, chunk_id, round(score, 6) AS score
+  FROM ranked WHERE rank <= 50""", "L11 S1 J5")
+def lexical_scan(spark, sf):
+    """The same answers by one scan of the projection."""
     index = scope.in_scope(note_index(spark, sf), ["approved"])
     asked = kb.questions(spark, sf).withColumnRenamed("question", "text")
     return lexical.lexical_search(index, asked, 50).select(
         "query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@group.add(f"""{RECORDS}, f AS (SELECT DISTINCT lower(substr('PRT-' || lpad(p_partkey::VARCHAR, 7, '0'), 3, 8)) AS fragment FROM part)
+  SELECT fragment, chunk_id FROM f JOIN rec_content_ids ON contains(text, fragment)""".replace(
+    "rec_content_ids", "(SELECT chunk_id, lower(content) AS text FROM rec_chunks)"), "P8")
+def code_fragments(spark, sf):
+    """Which order lines contain a part of a part code: substrings by trigram lists."""
+    none = F.array().cast("array<string>")
+    rows = kb.record_chunks(spark, sf).select(
+        "chunk_id", F.lower("content").alias("raw_text"), none.alias("exact_terms"),
+        F.array().cast("array<struct<token: string, weight: int>>").alias("postings"))
+    index = postings.write_index(rows, own_folder(spark, "fragments"))
+    fragments = kb.table(spark, sf, "part").select(
+        F.lower(F.substring(kb.code("PRT", F.col("p_partkey")), 3, 8)).alias("signal")).distinct()
+    return postings.signal_chunks(index, fragments).withColumnRenamed("signal", "fragment")
+
+
 # ------------------------------------------------------------------- vector
 VECTORS = """
 vec AS (SELECT 'v' || lpad(vec_id::VARCHAR, 8, '0') AS chunk_id, 'p' || label AS project_id,
@@ -171,6 +205,61 @@ def cosine_topk(spark, sf):
         "query_id", "rank", "chunk_id", "project_id", "score")
 
 
+@group.add(f"""{q.with_views(VECTORS)} SELECT query_id, rank, chunk_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sim
+    WHERE score >= 0.25) WHERE rank <= 50""", "V2 V3 P6")
+def indexed_topk(spark, sf):
+    """The answers of ``cosine_topk`` from the stored vector index."""
+    rows, folder = vectors(spark, sf), own_folder(spark, "vectors")
+    vector_index.write_vectors(rows.select("chunk_id", "embedding"), folder)
+    index = vector_index.VectorIndex(spark, folder)
+    return vector_index.index_search(index, prototypes(rows), 50, 0.25)[0].select("query_id", "rank", "chunk_id", "score")
+
+
+@group.add("""SELECT 'v' || lpad(vec_id::VARCHAR, 8, '0') AS chunk_id, len(embedding)::BIGINT AS dimensions,
+  embedding FROM embeddings""", "IO15")
+def stored_vectors(spark, sf):
+    """Vectors written as checksummed blocks and read back."""
+    folder = own_folder(spark, "blocks")
+    vector_blocks.register(spark)
+    vectors(spark, sf).select("chunk_id", "embedding").write.format("vector_blocks").mode("append").save(folder)
+    return spark.read.format("vector_blocks").load(folder).select(
+        "chunk_id", F.size("embedding").cast("long").alias("dimensions"), "embedding")
+
+
+def vowel_counts(text, dimensions):
+    """A model of five dimensions that fails on every seventh length."""
+    if len(text) % 7 == 0:
+        raise TimeoutError("no answer from the model")
+    return [text.count(v) for v in "aeiou"]
+
+
+VOWELS = "[" + ", ".join(f"length({{0}}) - length(replace({{0}}, '{v}', ''))" for v in "aeiou") + "]::DOUBLE[]"
+
+
+@group.add(LEXICAL_SQL + f""", kept AS (SELECT chunk_id, e FROM (SELECT chunk_id, {VOWELS.format("content")} AS e FROM note_lines
+      WHERE {q.APPROVED_PUBLIC} AND length(content) % 7 <> 0) WHERE list_sum(e) > 0),
+  tried AS (SELECT query_id, length(t) % 7 <> 0 AS able, {VOWELS.format("t")} AS v FROM (
+    SELECT item_id AS query_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark)),
+  near AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (
+    SELECT query_id, chunk_id, round(list_cosine_similarity(e, v), 6) AS s FROM tried, kept WHERE able AND list_sum(v) > 0) WHERE s >= 0.25),
+  l AS (SELECT query_id, chunk_id, rank AS r FROM ranked WHERE rank <= 50), n AS (SELECT query_id, chunk_id, rank AS r FROM near WHERE rank <= 50),
+  fused AS (SELECT query_id, chunk_id, (coalesce(1.0::DOUBLE / (60 + l.r), 0) + coalesce(1.0::DOUBLE / (60 + n.r), 0)) * 1.08::DOUBLE AS score,
+      CASE WHEN l.r IS NOT NULL THEN l.r ELSE 1000 + n.r END AS first FROM l FULL JOIN n USING (query_id, chunk_id))
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank, chunk_id, round(score, 9) AS score,
+    CASE WHEN able THEN 'hybrid' ELSE 'lexical_only' END AS mode FROM fused JOIN tried USING (query_id)""", "R19")
+def degraded_search(spark, sf):
+    """Both channels, and the lexical one alone for the questions that the model fails on."""
+    config = EngineConfig(embedding_model="vowels", embedding_dimensions=5)
+    rows = scope.in_scope(kb.note_chunks(spark, sf), ["approved"]).withColumn(
+        "_e", embedding_or_error(F.col("content"), 5, vowel_counts)).withColumns({
+            "embedding": F.col("_e.vector"), "embedding_fingerprint": F.lit(config.embedding_fingerprint)}).drop("_e")
+    index = cut_lineage(lexical.search_projection(rows))
+    asked = kb.questions(spark, sf).withColumnRenamed("question", "text")
+    found = retrieve.two_channels(index, asked, config, vowel_counts)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "mode")
+
+
 @group.add(f"""{q.with_views(VECTORS)}, mean AS (SELECT list(round(x, 6) ORDER BY i) AS v FROM (
     SELECT i, avg(x) AS x FROM cell GROUP BY 1))
   SELECT chunk_id, round(list_cosine_similarity(e, v), 6) AS score FROM vec, mean

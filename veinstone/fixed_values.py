@@ -121,6 +121,7 @@ RANK_UNIT, RANK_SCALE = 0.1, 20.0
 EXACT_TERM_SCORE, SIGNAL_SCORE = 100.0, 8.0
 QUERY_TOKEN_LIMIT, SIGNAL_LIMIT = 64, 12  # of a question; texts of chunks are indexed whole
 RRF_K, APPROVED_BOOST, SECONDARY_WEIGHT, ANCHOR_BOOST = 60, 1.08, 0.92, 1.35
+FALLBACK_BELOW = 3
 MAX_ANCHOR_ROWS, MAX_LINKED, MAX_ID_CHANNELS = 8, 12, 10
 SHORT_CHUNK, NEIGHBOR_DECAY, USEFUL_LENGTH = 180, 0.99, 100
 BUDGET_OVERHEAD, PLUS_BUDGET, MAX_BUDGET = 40, 4000, 7000

@@ -61,6 +61,12 @@ def merge_channels(baseline: DataFrame, planned: DataFrame, limit: int) -> DataF
     return rerank_by(unique, "_side", "rank").filter(F.col("rank") <= limit).drop("_side", "_n")
 
 
+def thin_questions(asked: DataFrame, rows: DataFrame, least: int = fv.FALLBACK_BELOW) -> DataFrame:
+    """Questions with fewer than ``least`` rows; one without any row is one of them."""
+    enough = rows.groupBy("query_id").count().filter(F.col("count") >= least).select("query_id")
+    return asked.join(enough, "query_id", "left_anti")
+
+
 def union_keep_first(rows: DataFrame, fallback: DataFrame) -> DataFrame:
     """Rows plus fallback rows of unseen chunks, by score."""
     both = rows.withColumn("_side", F.lit(0)).unionByName(fallback.withColumn("_side", F.lit(1)))

@@ -233,8 +233,7 @@ def _second_wave(index, fused, asked, config) -> DataFrame:
 def _fallback(scope, fused, asked, config) -> DataFrame:
     """Questions with fewer than three rows may also use drafts."""
     fused = cut_lineage(fused)
-    enough = fused.groupBy("query_id").count().filter(F.col("count") >= 3)
-    thin = cut_lineage(asked.join(enough, "query_id", "left_anti"))
+    thin = cut_lineage(fusion.thin_questions(asked, fused))
     if "plan" in asked.columns:  # ungrounded questions stay empty
         thin = thin.join(fused.select("query_id").distinct(), "query_id", "left_semi").unionByName(
             thin.filter(F.size("plan.subjects") == 0)).dropDuplicates(["query_id"])

@@ -173,23 +173,22 @@ def reconcile_differences(spark, sf):
     return sync.reconcile(record_rows(spark, sf), drifted_projection(spark, sf))
 
 
-@group.add(f"""{RECORDS}, newest AS (SELECT document_id, max_by(version_id, (created_at, version_id)) AS w
-    FROM rec_versions WHERE lifecycle_status = 'approved' AND technical_status = 'index_pending'
-    GROUP BY 1)
-  SELECT version_id, v.document_id,
-    CASE WHEN w IS NOT NULL AND version_id <> w AND (is_current OR (lifecycle_status = 'approved'
-      AND technical_status = 'index_pending')) THEN 'deprecated' ELSE lifecycle_status END AS lifecycle_status,
-    CASE WHEN w IS NOT NULL AND version_id <> w AND (is_current OR (lifecycle_status = 'approved'
-      AND technical_status = 'index_pending')) THEN 'superseded' ELSE 'searchable' END AS technical_status,
-    CASE WHEN version_id = w THEN TRUE WHEN w IS NOT NULL THEN FALSE
-      WHEN technical_status = 'index_pending' THEN FALSE ELSE is_current END AS is_current
-  FROM rec_versions v LEFT JOIN newest n USING (document_id)""", "T8 T7")
+@group.add(f"""{RECORDS}, live AS (SELECT version_id FROM rec_versions WHERE technical_status = 'index_pending' AND version_id NOT IN (
+      SELECT version_id FROM rec_chunks WHERE ordinal = 5 OR NOT (content LIKE '%status A/F%' OR content LIKE '%status N/O%'))),
+  marked AS (SELECT v.*, l.version_id IS NOT NULL AS arrived FROM rec_versions v LEFT JOIN live l USING (version_id)),
+  newest AS (SELECT document_id, max_by(version_id, (created_at, version_id)) AS w FROM marked
+    WHERE lifecycle_status = 'approved' AND arrived GROUP BY 1),
+  judged AS (SELECT *, w IS NOT NULL AND version_id <> w AND (is_current OR (lifecycle_status = 'approved' AND arrived)) AS loses
+    FROM marked LEFT JOIN newest USING (document_id))
+  SELECT version_id, document_id, CASE WHEN loses THEN 'deprecated' ELSE lifecycle_status END AS lifecycle_status,
+    CASE WHEN loses THEN 'superseded' WHEN arrived THEN 'searchable' ELSE technical_status END AS technical_status,
+    coalesce(version_id = w, FALSE) OR (is_current AND NOT loses AND NOT arrived) AS is_current FROM judged""", "T8 T7")
 def publish_cutover(spark, sf):
+    """Pending versions go live only if the projection, which has drifted, holds all their chunks."""
     versions = catalog.mark_current(kb.record_versions(spark, sf)).withColumns({
         "effective_to": F.lit(None).cast("timestamp"), "searchable_at": F.lit(None).cast("timestamp")})
     pending = versions.filter("technical_status = 'index_pending'").select("version_id")
-    chunks = kb.record_chunks(spark, sf)  # the tables hold no projection of their own: all chunks have arrived
-    published = sync.verified(pending, chunks, chunks)
+    published = sync.verified(pending, kb.record_chunks(spark, sf), drifted_projection(spark, sf))
     return sync.cut_over(versions, published, now()).select(
         "version_id", "document_id", "lifecycle_status", "technical_status", "is_current")
 

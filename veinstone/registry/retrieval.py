@@ -352,10 +352,10 @@ def anchor_boost(spark, sf):
 
 
 @group.add(f"""{SUPPLIERS}, g AS (SELECT *, max(contains(text, 'quantity 50 price')::INT)
-      OVER (PARTITION BY query_id) AS ok FROM frow WHERE rank <= 20)
+      OVER (PARTITION BY query_id) AS ok FROM frow)
   SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM g WHERE ok = 1""", "R5")
 def grounded_subject(spark, sf):
-    rows = supplier_fused(supplier_rows(spark, sf)).filter("rank <= 20")
+    rows = supplier_fused(supplier_rows(spark, sf))
     signals = F.array(F.lit("quantity 50 price"))
     return shown(fusion.grounded_only(rows.withColumn("wanted", signals), "wanted"))
 
@@ -538,17 +538,21 @@ def evidence_channels(spark, sf):
     return fusion.merge_channels(baseline, planned.select(*baseline.columns), 16).select(*SHOWN)
 
 
-@group.add(f"""{SUPPLIERS}, b AS (SELECT query_id, chunk_id, score, rank FROM fused WHERE rank <= 2),
-  f AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + r) * 1.08::DOUBLE AS score, r AS rank FROM c1),
+@group.add(f"""{SUPPLIERS}, b AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
+    FROM frow WHERE contains(text, 'status r/') AND quantity >= 44),
+  thin AS (SELECT query_id FROM (SELECT DISTINCT query_id FROM sup) LEFT JOIN b USING (query_id) GROUP BY 1 HAVING count(chunk_id) < 3),
+  f AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + r) * 1.08::DOUBLE AS score, r AS rank FROM c1 JOIN thin USING (query_id)),
   u AS (SELECT *, 0 AS side FROM b UNION ALL SELECT f.*, 1 FROM f
     WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM b))
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, side, rank) AS rank, chunk_id,
     round(score, 9) AS score FROM u""", "R16")
 def draft_fallback(spark, sf):
-    rows = supplier_rows(spark, sf)
-    fallback = fusion.rrf(supplier_channel(rows, 0, "quantity"))
-    few = supplier_fused(rows).filter("rank <= 2")
-    return shown(fusion.union_keep_first(few, fallback.select(*few.columns)))
+    """Suppliers with fewer than three large returns also get their other rows."""
+    rows = cut_lineage(supplier_rows(spark, sf))
+    strict = fusion.rerank_by(supplier_fused(rows).filter(F.contains("text", F.lit("status r/")) & (F.col("quantity") >= 44)), "rank")
+    thin = fusion.thin_questions(rows.select("query_id").distinct(), strict)
+    fallback = fusion.rrf(supplier_channel(rows.join(thin, "query_id", "left_semi"), 0, "quantity"))
+    return shown(fusion.union_keep_first(strict, fallback.select(*strict.columns)))
 
 
 @group.add(covers="R20 R17 R22 U1 U3 V5 V7 V8 L7 L8")

@@ -120,6 +120,17 @@ def estimate(column: str) -> str:
             f"(length(regexp_replace({column}, '[A-Za-z0-9_./:+#-]+', '', 'g')) // 4))")
 
 
+def strip(column: str) -> str:
+    return f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"
+
+
+def name_uuid(name: str) -> str:
+    """Version-5 UUID of a name in the space of chunks."""
+    h = f"sha1(unhex('73ac24df296f45329dc8e5890e877564') || encode({name}))"
+    return (f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || "
+            f"substr('89ab', (strpos('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)")
+
+
 def trigrams(normalized: str) -> str:
     return (f"list_distinct(flatten(list_transform(regexp_extract_all({normalized}, "
             "'[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, len(w) + 2), "

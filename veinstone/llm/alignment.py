@@ -8,6 +8,7 @@ fragments are reduced as a tree by Spark.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass, field
 
@@ -164,19 +165,24 @@ def groups_of(f: Fragment) -> tuple[tuple, tuple]:
             tuple(np.concatenate([[len(f.prefix[s])], f.sizes[s]]) for s in (0, 1)))
 
 
+@functools.cache
+def _marked() -> list[str]:
+    """Decimal ids with the mark behind them, ``,`` or that of a group's last id: two entries an id, the
+    first side's ids before the second's."""
+    return [f"{i}{mark}" for last, n in (("|", 1 << 16), (";", 1 << SHIFT)) for i in range(n) for mark in (",", last)]
+
+
 def spelled(ids: tuple, sizes: tuple) -> str:
     """``a1,a2|b1;a3|b2,b3``: the groups in order."""
-    numbers = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
-    order = np.argsort(numbers, kind="stable")
-    after = []
-    for n, last in zip(sizes, ("|", ";"), strict=True):
-        marks = np.full(int(n.sum()), ",", dtype=object)
-        marks[np.cumsum(n) - 1] = last
-        after.append(marks)
-    after[1][-1] = ""
-    marks = np.concatenate(after)[order].tolist()
-    listed = np.concatenate(ids)[order].tolist()
-    return "".join([f"{i}{m}" for i, m in zip(listed, marks, strict=True)])
+    ends = [np.cumsum(n, dtype=np.int64) for n in sizes]
+    codes = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+    # before a token stand the tokens of its own side and those of the other side's earlier groups
+    before = ends[1] - sizes[1], ends[0]
+    for s, shift in ((0, 0), (1, 2 << 16)):
+        code = 2 * ids[s].astype(np.int64) + shift
+        code[ends[s] - 1] += 1
+        codes[np.arange(len(code)) + np.repeat(before[s], sizes[s])] = code
+    return "".join(map(_marked().__getitem__, codes.tolist()))[:-1]
 
 
 def linked_pairs(ids: tuple, sizes: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +231,7 @@ def _document_row(f: Fragment | None, keep_groups: bool) -> tuple:
 
 
 def _spells(names: tuple, ids: tuple, want: bytes) -> bool:
-    return all(b"".join([side(n).bytes[i] for i in x.tolist()]) == want for n, x in zip(names, ids, strict=True))
+    return all(b"".join(map(side(n).bytes.__getitem__, x.tolist())) == want for n, x in zip(names, ids, strict=True))
 
 
 def align_text(text: str, names: tuple) -> Fragment | None:
@@ -288,7 +294,7 @@ def _encode_segments(names: tuple, width: int):
                 tokenizer, head = side(names[r["side"]]), min(1, r["at"])
                 ids = tokenizer.part(r["text"], head, len(r["text"]))
                 want = (r["text"][1:] if head else " " + r["text"]).encode()
-                whole = b"".join([tokenizer.bytes[i] for i in ids.tolist()]) == want
+                whole = b"".join(map(tokenizer.bytes.__getitem__, ids.tolist())) == want
                 ends = r["byte"] + np.cumsum(tokenizer.length[ids])
                 number = (ends - 1) // width
                 rows = [(r["row"], int(n), r["side"], r["byte"], ids[number == n], ends[number == n], whole)

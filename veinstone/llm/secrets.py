@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +33,22 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "xxxx", "
 LEAST_SCORE = 0.75
 
 _WORDS_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)"""
-    r"""|(?P<assign>:=|=>|==|!=|\+=|[=:])|(?P<plus>\+)|(?P<bare>[^\s"'=:+,;(){}\[\]<>]+)|(?P<stop>[,;(){}\[\]<>\n])""", re.ASCII)
-#: A type between ``:`` and the sign that the value follows.
-_TYPE = re.compile(r"[ \t]*(?:[&*?]|dyn |mut |const )*([A-Za-z_][A-Za-z0-9_.]*)[ \t]*(?:[\[\]<>()|*?,.:\w \t'\"]*[\]>)|*?\w'\"])??[ \t]*(:?=)(?![=>])", re.ASCII)
+_QUOTED = {'"': r'''"(?:[^"\\\n]|\\.)*"''', "'": r"""'(?:[^'\\\n]|\\.)*'"""}
+_OTHER = (r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)|(?P<assign>:=|=>|==|!=|\+=|[=:])|(?P<plus>\+)"""
+          r"""|(?P<bare>[^\s"'=:+,;(){}\[\]<>]+)|(?P<stop>[,;(){}\[\]<>\n])""")
+
+
+def _tokens(quotes: str) -> re.Pattern:
+    strings = "|".join(_QUOTED[q] for q in quotes)
+    return re.compile(f"(?P<string>{strings})|{_OTHER}" if quotes else _OTHER, re.ASCII)
+
+
+#: Tokens, by the quotes that are not known to stay open until the line ends.
+_TOKENS = {(a, b): _tokens("\"" * (not a) + "'" * (not b)) for a in (False, True) for b in (False, True)}
+#: A type between ``:`` and the sign that the value follows: its first name, and what no type holds.
+_TYPE_NAME = re.compile(r"[ \t]*(?:[&*?]|dyn |mut |const )*([A-Za-z_][A-Za-z0-9_.]*)", re.ASCII)
+_NOT_IN_TYPE = re.compile(r"[^\[\]<>()|*?,.:\w \t'\"]", re.ASCII)
+_ENDS_TYPE = re.compile(r"[\]>)|*?\w'\"]", re.ASCII)
 _ALTERNATIVE = frozenset(("or", "and", "if", "else", "||", "&&", "??", "?", "|"))
 _SIGNS = frozenset(("=", ":", ":=", "=>", "+="))
 #: Names of arguments that stand for the value of the whole call.
@@ -128,6 +141,73 @@ class _Place:
         self.waits, self.grows = bool(base), False  # a value may start here; += keeps the old one
 
 
+class _Finder:
+    """The next token from a place on. A quote that nothing closes on its line leaves all later quotes of
+    its kind on that line open, too (between them all are escaped), so they are not tried again."""
+
+    def __init__(self, text: str):
+        self.text, self.open = text, {'"': 0, "'": 0}
+
+    def __call__(self, at: int) -> re.Match | None:
+        text, open_ = self.text, self.open
+        m = _TOKENS[at < open_['"'], at < open_["'"]].search(text, at)
+        end = m.start() if m else len(text)
+        if end > at:
+            for quote in open_:
+                if at >= open_[quote] and (place := text.find(quote, at, end)) >= 0:
+                    line = text.find("\n", place)
+                    open_[quote] = len(text) if line < 0 else line
+        return m
+
+
+class _NextSign:
+    """The first ``=`` or ``:`` from a place on; each is looked for again only once it is passed."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {"=": -1, ":": -1}
+
+    def __call__(self, at: int) -> int | None:
+        for sign, place in self.known.items():
+            if place < at:
+                found = self.text.find(sign, at)
+                self.known[sign] = len(self.text) if found < 0 else found
+        first = min(self.known.values())
+        return first if first < len(self.text) else None
+
+
+class _Types:
+    """(first name of the type, where the value's sign ends) if a type and ``=`` follow a ``:``.
+
+    Whether a run of what types are written with ends at an ``=`` does not depend on where in the run a
+    type begins, so a run is read once.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.stop, self.end, self.good = text, -1, 0, False
+
+    def __call__(self, at: int) -> tuple[str, int] | None:
+        name = _TYPE_NAME.match(self.text, at)
+        if name is None:
+            return None
+        if self.stop < name.end():
+            self._read(name.end())
+        text, stop = self.text, self.stop
+        if not self.good or self.end > name.end() and not _ENDS_TYPE.match(text, self.end - 1):
+            return None
+        return name[1], stop + 1
+
+    def _read(self, at: int) -> None:
+        text = self.text
+        found = _NOT_IN_TYPE.search(text, at)
+        self.stop = stop = found.start() if found else len(text)
+        self.good = text[stop:stop + 1] == "=" and text[stop + 1:stop + 2] not in ("=", ">")
+        if self.good:  # the type itself ends before blanks and the colon of ``:=``
+            end = stop - (text[stop - 1] == ":")
+            while end > at and text[end - 1] in " \t":
+                end -= 1
+            self.end = end
+
+
 def assigned_literals(text: str):
     """(name, Literal) of every assignment in ``text``, constants propagated.
 
@@ -142,6 +222,7 @@ def assigned_literals(text: str):
     stack, open_ = [place], Counter()
     at, size = 0, len(text)
     last, fresh = None, True  # the token before, and whether a line ended since
+    find, sign_after, type_at = _Finder(text), _NextSign(text), _Types(text)
 
     def settle(done: bool):
         """The value read so far, for every name that it is assigned to."""
@@ -167,11 +248,11 @@ def assigned_literals(text: str):
 
     while at < size:
         if fresh and len(stack) == 1 and not place.targets:
-            signs = [i for i in (text.find("=", at), text.find(":", at)) if i >= 0]
-            if not signs:
+            sign = sign_after(at)
+            if sign is None:
                 break
-            at = max(at, text.rfind("\n", at, min(signs)) + 1)
-        m = _TOKEN.search(text, at)
+            at = max(at, text.rfind("\n", at, sign) + 1)
+        m = find(at)
         if m is None:
             break
         at, kind, token = m.end(), m.lastgroup, m[0]
@@ -186,7 +267,7 @@ def assigned_literals(text: str):
                 place.targets = ()
             # a value that is complete waits for a sign of going on, see below
             if len(stack) == 1 and place.value is not None and not place.waits:
-                following = _TOKEN.search(text, _ahead(text, at))
+                following = find(_ahead(text, at))
                 if following is None or following.lastgroup != "plus":
                     yield from settle(True)
             continue
@@ -203,7 +284,7 @@ def assigned_literals(text: str):
                     reset()
                     yield from settle(True)
                     place.targets, place.waits = (), False
-            following = _TOKEN.search(text, at)
+            following = find(at)
             sign = following if following is not None and following.lastgroup == "assign" and following[0] not in ("==", "!=") else None
             if sign is not None and kind != "bare":
                 if kind == "string" and place.waits and last in _SIGNS:  # a value, whatever follows
@@ -212,10 +293,10 @@ def assigned_literals(text: str):
                 at = sign.end()
                 name = token.strip("\"'")
                 names = (name,)
-                typed = _TYPE.match(text, at) if sign[0] == ":" else None
+                typed = type_at(at) if sign[0] == ":" else None
                 if typed:
-                    names += (typed[1],)
-                    at = typed.end()
+                    names += (typed[0],)
+                    at = typed[1]
                 # arguments that stand in for the value count for the name outside, too
                 outside = place.base if name.lower() in _STANDS_IN else ()
                 place.targets, place.waits, place.grows = names + outside, True, sign[0] == "+="
@@ -246,7 +327,7 @@ def assigned_literals(text: str):
                 elif place.opener == "(" and last not in _SIGNS:
                     place.waits = False
                 else:
-                    while (more := _TOKEN.match(text, at)) and more.lastgroup in ("name", "bare"):
+                    while (more := find(at)) and more.start() == at and more.lastgroup in ("name", "bare"):
                         at = more.end()
                     place.value = Literal.joined(place.value, Literal(text[m.start():at], m.start(), at))
                     place.waits = text[at:at + 1] == "("
@@ -310,13 +391,20 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     assignments that no base span covers."""
     found = base_spans(text)
     if "=" in text or ":" in text:
-        covered = sorted((s, e) for s, e, _ in found)
+        starts = sorted((s, e) for s, e, _ in found)
+        reach = list(accumulate((e for _, e in starts), max))  # how far the spans up to each one go
+        starts = [s for s, _ in starts]
+
+        def covered(s, e):
+            n = bisect_right(starts, s)
+            return n > 0 and reach[n - 1] >= e
+
         extra, done, held = set(), set(), []
         for name, value in assigned_literals(text):
             if (weight := name_weight(name)) and 0.5 * weight + 0.5 * value.weight() >= LEAST_SCORE:
                 held.append(value)  # parts are told apart by id while they live
                 extra |= {(s, e, "literal") for s, e in value.spans(done)
-                          if e > s and not any(a <= s and e <= b for a, b in covered)}
+                          if e > s and not covered(s, e)}
         found += extra
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

@@ -461,6 +461,10 @@ def _pivots(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min_by("a", F.xxhash64("a", F.lit("pivot"))).alias("b"))
 
 
+def _text_digest() -> Column:
+    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+
+
 def _classes(documents: DataFrame, cuts: Cuts, digest: Column) -> DataFrame:
     """(id, n, digest, component) of every row of ``documents``; a missing doc_id is NO_ID."""
     spark = documents.sparkSession
@@ -480,7 +484,14 @@ def _classes(documents: DataFrame, cuts: Cuts, digest: Column) -> DataFrame:
     members = found.filter("b IS NULL").select("key", "a")
     pairs = cuts.keep(_possible(found, members))
     needed = members.select("a").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id")
-    readers = cuts.keep(owners.join(needed, "set_id").groupBy("set_id").agg(F.min("id").alias("id")))
+    wanted = owners.join(needed, "set_id")
+    if owners.groupBy("id").count().filter("count > 1").isEmpty():
+        readers = cuts.keep(wanted.groupBy("set_id").agg(F.min("id").alias("id")))
+    else:  # an id (or its lack) stands for several rows: one text for each set, by the set's own name
+        own = wanted.groupBy("set_id").agg(F.min(F.struct("id", "digest")).alias("of")).select("set_id", "of.id", "of.digest")
+        docs = cuts.keep(docs.withColumn("digest", digest).dropDuplicates(["id", "digest"]).join(own, ["id", "digest"]).select(
+            F.col("set_id").alias("id"), "text"))
+        readers = own.select("set_id", F.col("set_id").alias("id"))
     together = components(cuts, pairs).withColumnRenamed("node", "set_id").withColumn("flag", F.lit(True))
     links = cuts.keep(_in_blocks(cuts, together.join(readers, "set_id"), docs))
     label = components(cuts, cuts.keep(_long_lists(cuts, members, docs, readers, links)))
@@ -501,7 +512,7 @@ def join_documents(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     sizes that a partner must share, a large set the rarest fifth of its shingles. Sets under one key
     are candidates, verified on whole sets; the boundary between small and large is chosen by cost.
     """
-    classes = _classes(documents, cuts or Cuts(documents.sparkSession), F.lit(None).cast("string"))
+    classes = _classes(documents, cuts or Cuts(documents.sparkSession), _text_digest())
     full = classes.filter("n > 0")
     least = full.groupBy("component").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("component_id"))
     doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
@@ -517,7 +528,7 @@ def keep_one(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     doc_id and text one stays.
     """
     cuts = cuts or Cuts(documents.sparkSession)
-    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    digest = _text_digest()
     classes = cuts.keep(_classes(documents, cuts, digest))
     least = classes.filter("n > 0").groupBy("component").agg(
         F.min(F.struct(F.col("id") == NO_ID, F.col("id").alias("id"), F.col("digest").alias("digest"))).alias("least"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import Cuts
+from veinstone.llm.common import Cuts, with_position
 from veinstone.llm.jaccard import mix
 from veinstone.llm.suffixes import common_prefixes, suffix_array
 
@@ -21,7 +21,6 @@ SLICE = 1 << 20
 #: Bytes of one suffix array, about; strips under one gram stay together up to HOT of them.
 SHARD, HOT = 1 << 19, 4096
 NO_ID = -(1 << 63)
-TAGS = 1 << 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,9 +119,9 @@ def _bytes(column) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
-# A span: the text's tag, the first window, whether the strip repeats its gram, and the number of windows.
-TAG, START, AGAIN = 47, 8, 7
-START_MASK, WINDOWS_MASK = (1 << 39) - 1, 127
+# A span: the first window, whether the strip repeats its gram, and the number of windows.
+START, AGAIN = 8, 7
+WINDOWS_MASK = 127
 
 
 def _batch(rows, schema):
@@ -163,9 +162,9 @@ def _places(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (key, digest, doc, span)], names=_PLACE_NAMES)
 
     for batch in batches:
-        ids, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
-        for text, gram, digest, start, windows, again in _strips(_bytes(batch.column(2))):
-            span = (tags[text] << TAG) | (start << START) | (again.astype(np.int64) << AGAIN) | windows
+        ids = np.asarray(batch.column(0))
+        for text, gram, digest, start, windows, again in _strips(_bytes(batch.column(1))):
+            span = (start << START) | (again.astype(np.int64) << AGAIN) | windows
             held.append((gram, digest, ids[text], span))
             size += len(gram)
         if size > 1_000_000:
@@ -247,7 +246,7 @@ def _contents(batches):
         rows = []
         for doc, raw, strips in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             for strip in strips:
-                a = (strip["span"] >> START) & START_MASK
+                a = strip["span"] >> START
                 rows.append((strip["gram"], doc, strip["span"], raw[a:a + (strip["span"] & WINDOWS_MASK) + LENGTH - 1]))
         for at in range(0, len(rows), 20_000):
             yield _batch(rows[at:at + 20_000], _STRIP_ROW)
@@ -276,7 +275,7 @@ def covered_windows(contents: list[bytes], doc: np.ndarray, span: np.ndarray) ->
     at, group = array[several], number[several]
     piece = np.searchsorted(starts, at, side="right") - 1
     offset = at - starts[piece]
-    place = (span[piece] >> START) + offset  # tag and window start
+    place = (span[piece] >> START) + offset
     order = np.lexsort((place, doc[piece], group))
     group, at = group[order], at[order]
     # equal places are one window (rows that repeat a document)
@@ -351,8 +350,7 @@ def _kept(batches):
     """Removed bytes, runs and the digest of what stays, from the ranges of covered windows."""
     for batch in batches:
         rows = []
-        for doc, tag, raw, covered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)),
-                                          batch.column(3).to_pylist(), strict=True):
+        for doc, raw, covered in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             kept, at, removed, runs, end = hashlib.sha256(), 0, 0, 0, -1
             for a, b in sorted((r["a"], r["b"]) for r in covered):
                 b += LENGTH - 1
@@ -368,10 +366,29 @@ def _kept(batches):
                 at = end
             removed += end if end >= 0 else 0
             kept.update(raw[at:])
-            rows.append((doc, tag, removed, runs, kept.hexdigest()))
+            rows.append((doc, removed, runs, kept.hexdigest()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)],
-                                             names=["doc", "tag", "n_removed", "n_spans", "kept_sha256"])
+                                             names=["doc", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _numbered(documents: DataFrame, cuts: Cuts) -> tuple[DataFrame, bool]:
+    """(doc, doc_id, text): ``doc`` names one text and has the order of the documents.
+
+    It is the doc_id itself unless an id (a missing one counts as one) has several texts: then every
+    distinct pair of id and text (128 bits of it) gets its place in their order, which is written once.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    text = F.coalesce("text", F.lit(""))
+    docs = documents.select(doc.alias("doc"), text.alias("text"))
+    digest = F.md5(F.col("text").cast("binary"))
+    marked = docs.select("doc", digest.alias("digest"))
+    several = marked.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b")
+    if several.isEmpty():
+        return docs.select("doc", F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text"), False
+    places = cuts.keep(with_position(cuts, marked.distinct(), F.col("doc"), F.col("digest")))
+    found = docs.withColumn("digest", digest).join(places, ["doc", "digest"])
+    return cuts.keep(found.select(F.col("position").alias("doc"), F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text")), True
 
 
 def remove_repeats(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
@@ -379,8 +396,9 @@ def remove_repeats(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
 
     Earlier is a smaller doc_id or the same document before. Null texts count as empty; shorter texts
     than LENGTH lose nothing. A null doc_id counts as smaller than all others. Rows with equal doc_id and
-    text are one document (all get its result); rows with equal doc_id and other texts follow each other
-    by a hash of the text. An empty table gives no rows; other columns are not read.
+    text are one document (all get its result); rows with equal doc_id and other texts, or without id,
+    are documents of their own and follow each other by the MD5 digest of the text. An empty table gives
+    no rows; other columns are not read.
 
     All repeats of a string lie under one gram (its smallest by hash), so shards are dealt by gram: first
     only places with a digest are shuffled. Strips equal to an earlier one are settled there (equal gram and
@@ -389,19 +407,18 @@ def remove_repeats(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """
     spark = documents.sparkSession
     cuts = cuts or Cuts(spark)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    text = F.coalesce("text", F.lit(""))
-    tag = F.pmod(F.xxhash64(text), F.lit(TAGS)).cast("long")
-    docs = documents.select(doc.alias("doc"), tag.alias("tag"), text.alias("text"))
+    docs, renumbered = _numbered(documents, cuts)
+    texts = docs.select("doc", "text")
+    if renumbered:  # rows that repeat id and text are one document
+        texts = texts.dropDuplicates(["doc"])
 
-    places = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_places, _PLACE)
+    places = texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_places, _PLACE)
     judged = cuts.keep(places.repartition("key").sortWithinPartitions(*_PLACE_NAMES).mapInArrow(_judged, _JUDGED))
-    of_text = F.shiftright("span", TAG).alias("tag")
 
     compared = judged.filter("gram IS NOT NULL")
     hot = cuts.keep(compared.groupBy("gram").count().filter(F.col("count") > HOT).select("gram"))
-    wanted = compared.groupBy("doc", of_text).agg(F.collect_list(F.struct("gram", "span")).alias("strips"))
-    contents = docs.join(wanted, ["doc", "tag"]).select("doc", "text", "strips").mapInArrow(_contents, _STRIP_SQL)
+    wanted = compared.groupBy("doc").agg(F.collect_list(F.struct("gram", "span")).alias("strips"))
+    contents = texts.join(wanted, "doc").select("doc", "text", "strips").mapInArrow(_contents, _STRIP_SQL)
     some_hot = not hot.isEmpty()
     if some_hot:
         contents = cuts.keep(contents)
@@ -410,18 +427,18 @@ def remove_repeats(documents: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     if some_hot:
         covers = covers.unionByName(_frequent(contents.join(hot, "gram", "left_semi")))
 
-    start = F.shiftright("span", START).bitwiseAND(F.lit(START_MASK))
+    start = F.shiftright("span", START)
     parts = F.transform(F.expr("filter(sequence(0, size(covered)), i -> i % 2 = 0 AND i < size(covered))"), lambda i: F.struct(
         (start + F.get("covered", i)).alias("a"), (start + F.get("covered", i + 1)).alias("b")))
     whole = F.array(F.struct(start.alias("a"), (start + F.col("span").bitwiseAND(F.lit(WINDOWS_MASK))).alias("b")))
-    ranges = (judged.filter("gram IS NULL").select("doc", of_text, whole.alias("ranges"))
-              .unionByName(covers.select("doc", of_text, parts.alias("ranges")))
-              .groupBy("doc", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
-    removed = (docs.join(ranges, ["doc", "tag"]).select("doc", "tag", "text", "ranges")
-               .mapInArrow(_kept, "doc long, tag long, n_removed long, n_spans long, kept_sha256 string")
-               .dropDuplicates(["doc", "tag"]))
-    plain = docs.select("doc", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    ranges = (judged.filter("gram IS NULL").select("doc", whole.alias("ranges"))
+              .unionByName(covers.select("doc", parts.alias("ranges")))
+              .groupBy("doc").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    removed = (texts.join(ranges, "doc").select("doc", "text", "ranges")
+               .mapInArrow(_kept, "doc long, n_removed long, n_spans long, kept_sha256 string")
+               .dropDuplicates(["doc"]))
+    plain = docs.select("doc", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.lit(0).cast("long")
-    return plain.join(removed, ["doc", "tag"], "left").select(
-        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"),
+    return plain.join(removed, "doc", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"),
         F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

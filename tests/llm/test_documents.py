@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, ties, repeated rows, long and empty texts."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from conftest import prose
 from pyspark.sql import functions as F
 
 from veinstone.llm import jaccard, merkle, mixing, packing, quality, repeats, secrets
@@ -337,7 +339,10 @@ def test_one_of_each_group_stays(documents, rows):
 
 # ------------------------------------------------------------------------------------------- op 7
 def brute_repeats(rows):
-    order = sorted({((-1 if d is None else d), (t or "").encode("utf-8", "surrogatepass")) for d, t, *_ in rows})
+    def key(d, raw):  # texts of one id follow each other by their digest
+        return -1 if d is None else d, hashlib.md5(raw).hexdigest(), raw
+
+    order = [(d, raw) for d, _, raw in sorted({key(d, (t or "").encode("utf-8", "surrogatepass")) for d, t, *_ in rows})]
     seen, out = set(), {}
     for doc_id, raw in order:
         covered = np.zeros(len(raw), bool)
@@ -356,9 +361,41 @@ def brute_repeats(rows):
 def test_repeats_equal_brute_force(documents, rows, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "SLICE", 4096)
-    distinct = [r for r in rows if r[0] is not None or r[1] is None]  # other texts under one id follow by hash
-    docs = clashing(documents).filter("doc_id IS NOT NULL OR text IS NULL")
-    assert multiset(repeats.remove_repeats(docs)) == brute_repeats(distinct)
+    assert multiset(repeats.remove_repeats(clashing(documents))) == brute_repeats(rows)
+    own = [r for r in rows if r[0] is not None or r[1] is None]  # no id has two texts
+    assert multiset(repeats.remove_repeats(documents.filter("doc_id IS NOT NULL OR text IS NULL"))) == brute_repeats(own)
+
+
+def test_repeats_of_many_texts_under_one_id(spark, empty):
+    """Hundreds of texts without id or with one id: no text is taken for another."""
+    rng = random.Random(12)
+    pool = [prose(rng, 30) for _ in range(40)]
+    rows = [(rng.choice([None, None, 7, 7, i]), prose(rng, rng.randrange(1, 30)) + rng.choice(pool) * rng.randrange(2) + " " * rng.randrange(3),
+             None, None, 0) for i in range(700)]
+    rows += [(7, "b" * 149 + " ", None, None, 0), (1, "b" * 149 + " ", None, None, 0), rows[0], rows[1]]
+    assert multiset(repeats.remove_repeats(spark.createDataFrame(rows, empty.schema).repartition(4))) == brute_repeats(rows)
+
+
+def test_sets_under_one_id_are_fetched_once(spark, empty, monkeypatch):
+    """Many texts under one id or none: a task gets as many texts as there are sets, not their product."""
+    rng = random.Random(13)
+    base = [prose(rng, 40) for _ in range(60)]
+    rows = []
+    for i in range(240):
+        words = base[i % 60].split()
+        words[i // 60] = "other"
+        rows.append((rng.choice([None, None, 5]), " ".join(words), None, None, 0))
+    rows += rows[:30]
+    seen, inner = [], jaccard._in_blocks
+
+    def counted(cuts, groups, docs):
+        seen.append((groups.select("id").distinct().count(), groups.count(), docs.join(groups.select("id"), "id").count()))
+        return inner(cuts, groups, docs)
+
+    monkeypatch.setattr(jaccard, "_in_blocks", counted)
+    out = jaccard.join_documents(spark.createDataFrame(rows, empty.schema).repartition(4)).collect()
+    assert len(out) == len(rows)
+    assert seen and all(ids == sets == fetched for ids, sets, fetched in seen)
 
 
 def test_repeats_of_an_empty_table(empty):
@@ -387,8 +424,6 @@ def test_suffix_arrays_and_common_prefixes():
 
 # ------------------------------------------------------------------------------------------- op 10
 def quality_rows(n=600):
-    import random
-
     rng = random.Random(3)
     docs, labels = [], []
     for i in range(n):
@@ -424,3 +459,23 @@ def test_without_labels_all_are_kept(spark, documents):
     out = quality.score_documents(documents, none).collect()
     assert len(out) == documents.count() and all(r.keep and r.score is None for r in out)
     assert quality.keep_good(documents, none).count() == documents.count()
+
+
+# ------------------------------------------------------------------------------------------- long shapes
+@pytest.mark.parametrize("text", [
+    "a:" * 500_000, "a: b " * 200_000, "a:b" + " " * 1_000_000 + "x", '{' + '\\"a\\":\\"b\\",' * 100_000, "a=b\n" * 250_000,
+    "'\"\\" * 300_000, "x=(" * 300_000])
+def test_a_megabyte_is_lexed_in_linear_time(text):
+    import time
+
+    start = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - start < 60  # a quadratic lexer takes hours
+    secret = secrets.scan(text[:1000] + '\npassword = "hunter2-Xk9q"\n')
+    assert any(kind == "assign" for _, _, kind in secret)
+
+
+def test_types_before_the_sign():
+    for line, name in (('password: str = "hunter2-Xk9q"', "password"), ('token: Option<String> := "9f8Xe7d6c5b4"', "token"),
+                       ('secret: &mut String = "9f8Xe7d6c5b4"', "secret")):
+        assert name in {n for n, _ in secrets.assigned_literals(line)}, line

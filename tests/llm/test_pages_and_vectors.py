@@ -180,3 +180,38 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(pieces.columns)
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a x " * 200_000, '<a "' * 250_000, "<!" * 500_000, '<a "' * 250_000 + ">", '<a "\' ' * 160_000 + ">",
+                                  "<p>x" * 250_000, "<title><select>" * 66_000, "<" * 1_000_000])
+def test_a_megabyte_is_parsed_in_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html.parse(page)
+    assert time.process_time() - start < 60  # a quadratic parser takes hours
+
+
+def test_captions_of_controls_are_left_out():
+    page = "<article><p>One <button class='x'>Share this</button> two.</p><label for=a>Your name</label><p>Three <button>open.</p></article>"
+    top = html.parse(page)
+    words, todo = [], [top]
+    while todo:
+        for part in todo.pop().parts:
+            if isinstance(part, tuple):
+                words.append(part[0])
+            else:
+                todo.append(part)
+    assert "Share this" not in " ".join(words) and "Your name" not in " ".join(words)
+    assert "open." in " ".join(words)  # not closed inside its parent: only the tag goes
+
+
+def test_sample_is_chosen_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    from veinstone.llm.common import first_by_hash
+
+    rows = spark.range(5000).select("id", (F.col("id") % 7).alias("v")).repartition(9)
+    want = rows.orderBy(F.xxhash64("id", "v"), "id", "v").limit(300).collect()
+    assert first_by_hash(rows, 300, "id", "v") == want
+    assert len(first_by_hash(rows, 9000, "id")) == 5000 and first_by_hash(rows.limit(0), 5, "id") == []

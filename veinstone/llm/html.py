@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.llm.common import first_by_hash
 from veinstone.llm.trees import BoostedTrees
 
 # Fixed values of HTML: elements without content, raw text, elements whose content is not shown as text,
 # blocks, elements whose end tag may be left out before another, and form elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-UNSHOWN = frozenset("template textarea title iframe select canvas audio video".split())
+UNSHOWN = frozenset("template textarea title iframe select button label canvas audio video".split())
 BLOCK = frozenset((
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul").split())
@@ -36,7 +37,8 @@ AGAINST = frozenset((
     "popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe tags toolbar topbar widget alert discussion feedback complementary contentinfo").split())
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_NAME_OF_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _READ = frozenset("class id role aria-label itemprop".split())
 _NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -80,6 +82,51 @@ def _end_of_unshown(page: str, at: int, tag: str, parent: str) -> int | None:
     return m.end()
 
 
+class _Pieces:
+    """The pieces of a page: (end, closing, tag, attributes), with no tag for text and comments.
+
+    A tag ends at the first ``>`` outside of quotes; ``<`` without such an end is text. Where that search
+    has failed once from some quote, every later search that comes to it fails, so quotes are passed once.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.failed, self.last = page, set(), page.rfind(">")
+
+    def _end(self, at: int) -> int | None:
+        """Where the tag whose attributes begin at ``at`` ends."""
+        page, passed = self.page, []
+        while at <= self.last:
+            m = _QUOTE_OR_END.search(page, at)
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.failed:
+                break
+            passed.append(m.start())
+            shut = page.find(m[0], m.end())
+            if shut < 0:
+                break
+            at = shut + 1
+        self.failed.update(passed)
+        return None
+
+    def __call__(self, at: int) -> tuple[int, str, str | None, str, bool]:
+        """(end, closing, tag, attributes, shown) of the piece at ``at``."""
+        page = self.page
+        if page[at] != "<":
+            end = page.find("<", at)
+            return (len(page) if end < 0 else end), "", None, "", True
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (len(page) if end < 0 else end + 3), "", None, "", False
+        if page.startswith(("<!", "<?"), at) and at < self.last:
+            return page.find(">", at) + 1, "", None, "", False
+        name = _NAME_OF_TAG.match(page, at)
+        end = self._end(name.end()) if name else None
+        if end is None:
+            return at + 1, "", None, "", True
+        return end, name[1], name[2], page[name.end():end - 1], False
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; a node's ``parts`` are its children and its runs of own text in order.
 
@@ -90,7 +137,7 @@ def parse(page: str) -> Node:
     top = node = Node("", None)
     stack: list[Node] = [top]
     open_: dict[str, int] = {}
-    links, buffer, linked, at, size = 0, [], 0, 0, len(page)
+    links, buffer, linked, at, size, piece = 0, [], 0, 0, len(page), _Pieces(page)
 
     def flush():
         nonlocal linked
@@ -109,31 +156,29 @@ def parse(page: str) -> Node:
         links = 0
 
     while at < size:
-        m = _PIECE.match(page, at)
-        at = m.end()
-        tag = m[2]
+        begin = at
+        at, closing, tag, attributes, shown = piece(begin)
         if tag is None:
-            run = m[0]
-            if run[:2] != "<!" and run[:2] != "<?":
-                buffer.append(run)
-                linked += len(run) if links else 0
+            if shown:
+                buffer.append(page[begin:at])
+                linked += at - begin if links else 0
             continue
-        tag, closing = tag.lower(), m[1]
+        tag = tag.lower()
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
         elif tag == "br":
             buffer.append(" ")
         elif not closing and tag in RAW:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
             buffer.append(" ")
         elif tag in UNSHOWN:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 at = _end_of_unshown(page, at, tag, re.escape(node.tag)) or at
-            node.inputs += not closing and tag in ("textarea", "select")
+            node.inputs += not closing and tag in ("textarea", "select", "button")
             buffer.append(" ")
-        elif tag in ("input", "button"):
+        elif tag == "input":
             node.inputs += not closing
         elif tag in BLOCK:
             flush()
@@ -153,7 +198,7 @@ def parse(page: str) -> Node:
                 if tag == "hr":
                     node = stack[-1]
                     continue
-                child = Node(tag, stack[-1], m[3])
+                child = Node(tag, stack[-1], attributes)
                 stack[-1].children.append(child)
                 stack[-1].parts.append(child)
                 stack.append(child)
@@ -370,10 +415,10 @@ def train(pages: list[str], seed: int = 7, dresses: int = 3) -> BoostedTrees:
 
 
 def training_pages(pages: DataFrame, key: str, html: str, limit: int, longest: int) -> list[str]:
-    """At most ``limit`` pages of at most ``longest`` characters, chosen by a hash of their key."""
+    """At most ``limit`` pages of at most ``longest`` characters, chosen by a hash of their key and text."""
     rows = (pages.filter((F.length(html) <= longest) & F.lower(html).rlike("<(article|main)[ >]"))
-            .select(F.col(html).alias("page"), F.xxhash64(key).alias("h")).orderBy("h", "page").limit(limit))
-    return [r.page for r in rows.collect()]
+            .select(F.col(key).alias("key"), F.col(html).alias("page")))
+    return [r.page for r in first_by_hash(rows, limit, "key", "page")]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",

@@ -76,9 +76,20 @@ def test_errors(parsed):
     assert parsed["g.txt"].error == files.EMPTY and "BadZipFile" in parsed["i.docx"].error
 
 
-def test_nested_html_repeats_inner_text():
-    units, _ = office.read_html("<ul><li><p>x</p></li></ul>")
-    assert units[0][0] == "x\nx"
+def test_each_text_of_a_page_is_read_once():
+    units, _ = office.read_html("<ul><li>a<p>x</p></li><li>b<li>c</ul><p>one<p>two<div>no block</div>")
+    assert [u[0] for u in units] == ["a\nx\nb\nc\none\ntwo"]
+    units, _ = office.read_html("<h1>T</h1><table><tr><th>k<td><p>v</p><p>w</p><tr><td><table><tr><td>in</table></td><td>z</table><p>end")
+    assert [(u[0], u[1], u[5]) for u in units] == [("k | v w\n | z", "T", True), ("in", "T", True), ("end", "T", False)]
+
+
+def test_a_page_of_unclosed_elements_is_linear():
+    import time
+
+    for page in ("<p>x" * 250_000, "<li>x" * 200_000, "<table><tr><td>" + "<td>x" * 200_000, "<div><p>x" * 100_000, "</b>" * 250_000):
+        start = time.process_time()
+        office.read_html(page)
+        assert time.process_time() - start < 30
 
 
 def test_chunks_respect_the_limit_and_link(spark):

@@ -35,6 +35,11 @@ def stored(projected, tmp_path_factory):
     return postings.write_index(projected, str(tmp_path_factory.mktemp("index") / "lists"), block=64)
 
 
+def bounds_of(index, numbered):
+    asked = postings._ask(index, numbered)
+    return {r.block: r.bound for r in postings._bounds(index.lists.join(asked.users, "term"), asked).collect()}
+
+
 def same_hits(left, right):
     def rows(frame):
         return {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 9)) for r in frame.collect()}
@@ -59,8 +64,7 @@ def test_blocks_below_the_edge_are_left_out(spark, projected, tmp_path):
     index = postings.write_index(rows, str(tmp_path / "lists"), block=16)
     asked = cut_lineage(lexical.question_terms(spark.createDataFrame([(1, "sole heron maple")], "query_id int, text string")).withColumn(
         "_no", F.lit(0)))
-    needed = postings._needed_terms(index, asked)
-    bounds = {r.block: r.bound for r in postings._bounds(index.lists, needed).collect()}
+    bounds = bounds_of(index, asked)
     home = index.chunks.filter("chunk_id = 'best'").first().block
     assert max(bounds, key=bounds.get) == home
     best = postings.postings_search(index, spark.createDataFrame([(1, "sole heron maple")], "query_id int, text string"), 1).first()
@@ -71,7 +75,7 @@ def test_blocks_below_the_edge_are_left_out(spark, projected, tmp_path):
 def test_bounds_hold(spark, stored):
     asked = cut_lineage(lexical.question_terms(spark.createDataFrame([(1, "cedar river LOT-007 ra lagoon")], "query_id int, text string")).withColumn(
         "_no", F.lit(0)))
-    bounds = {r.block: r.bound for r in postings._bounds(stored.lists, postings._needed_terms(stored, asked)).collect()}
+    bounds = bounds_of(stored, asked)
     found = postings.postings_search(stored, spark.createDataFrame([(1, "cedar river LOT-007 ra lagoon")], "query_id int, text string"), 5000)
     for r in found.join(stored.chunks.select("chunk_id", "block"), "chunk_id").collect():
         assert r.score <= bounds[r.block] + 1.0 + 1e-9

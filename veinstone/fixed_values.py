@@ -6,8 +6,8 @@ one place and in natural order; the logic that uses them lives elsewhere.
 """
 
 # --- fixed values: character classes -------------------------------------
-CJK = "\u3400-\u9fff"
-CJK_WITH_COMPAT = "\u3400-\u9fff\uf900-\ufaff"
+CJK = "㐀-鿿"
+CJK_WITH_COMPAT = "㐀-鿿豈-﫿"
 # every character for which str.isspace() holds
 SPACE = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,

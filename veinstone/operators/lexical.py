@@ -41,18 +41,25 @@ def postings(filename: Column, title: Column, content: Column) -> Column:
 
 
 def search_projection(chunks: DataFrame) -> DataFrame:
-    """Add the search columns to chunk rows; map-only, rebuildable at any time."""
-    filename, title = F.coalesce("filename", F.lit("")), F.coalesce("heading_path", F.lit(""))
-    normalized = chunks.withColumns({
-        "_filename": tx.normalize_search_text(filename),
-        "_title": tx.normalize_search_text(title),
-        "_content": tx.normalize_search_text(F.coalesce("content", F.lit("")))})
-    raw_text = tx.collapse_space(F.concat_ws(" ", "_filename", "_title", "_content"))
-    return normalized.withColumns({
-        "raw_text": raw_text,
-        "postings": postings(F.col("_filename"), F.col("_title"), F.col("_content")),
-    }).withColumn("exact_terms", tx.exact_terms(F.col("raw_text"))).drop(
-        "_filename", "_title", "_content")
+    """Add the search columns to chunk rows; map-only, rebuildable at any time.
+
+    Rows whose texts are ASCII never meet a Python worker: they are projected by built-in expressions
+    alone, the others fold their texts in Arrow batches. ``chunks`` should be stored, as each kind of row
+    reads it.
+    """
+    fields = [F.coalesce(c, F.lit("")) for c in ("filename", "heading_path", "content")]
+    plain = tx.is_ascii(F.concat(*fields))
+    return _projected(chunks.filter(plain), fields, lambda text: tx.collapse_space(F.lower(text))).unionByName(
+        _projected(chunks.filter(~plain), fields, tx.normalize_search_text))
+
+
+def _projected(chunks: DataFrame, fields: list[Column], normalize) -> DataFrame:
+    names = ["_filename", "_title", "_content"]
+    normalized = chunks.withColumns({name: normalize(text) for name, text in zip(names, fields, strict=True)})
+    # the fields have single blanks already, so only empty ones could leave two
+    raw_text = F.concat_ws(" ", *[F.when(F.col(name) != "", F.col(name)) for name in names])
+    return normalized.withColumns({"raw_text": raw_text, "postings": postings(*map(F.col, names))}).withColumn(
+        "exact_terms", tx.exact_terms(F.col("raw_text"))).drop(*names)
 
 
 def question_terms(queries: DataFrame, text: str = "text", token_limit: int = fv.QUERY_TOKEN_LIMIT,

@@ -54,10 +54,23 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int,
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)
-    return top_per_query(union, k, F.desc("score"), F.asc("chunk_id"))
+    ranked = top_per_query(union, k, F.desc("score"), F.asc("chunk_id"))
+    kept = [c for c in index.columns if c != "embedding"]
+    return index.select(*kept).join(ranked, "chunk_id").select("query_id", *kept, "score", "rank")
+
+
+def _best(query: np.ndarray, score: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` of each question by score, then chunk id; and the place of each in that order."""
+    order = np.lexsort((chunk, -score, query))
+    query, score, chunk = query[order], score[order], chunk[order]
+    start = np.r_[True, query[1:] != query[:-1]] if len(query) else np.zeros(0, bool)
+    place = np.arange(len(query)) - np.maximum.accumulate(np.where(start, np.arange(len(query)), 0)) if len(query) else query
+    kept = place < k
+    return query[kept], score[kept], chunk[kept], place[kept]
 
 
 def _search_block(index: DataFrame, queries: DataFrame, k: int, min_similarity) -> DataFrame:
+    """(query_id, chunk_id, score): each task's own best ``k`` rows for every question of a block."""
     asked = queries.toArrow()
     ids = asked.column("query_id").combine_chunks()
     listed = np.array(asked.column("vector").to_pylist(), dtype="float64")
@@ -65,32 +78,37 @@ def _search_block(index: DataFrame, queries: DataFrame, k: int, min_similarity)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(lengths == 0, 1.0, lengths)
     projects = asked.column("project_ids").to_pylist() if "project_ids" in queries.columns else []
-    kept = [c for c in index.columns if c != "embedding"]
-    schema = T.StructType([queries.schema["query_id"], *[index.schema[c] for c in kept],
-                           T.StructField("score", T.DoubleType())])
-
-    def best(batch: pa.Table) -> pa.Table:
-        vectors = batch.column("embedding").combine_chunks().flatten().to_numpy()
-        rows = vectors.reshape(batch.num_rows, -1).astype("float64")
-        lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-        scores = (rows / np.where(lengths == 0, 1.0, lengths)) @ matrix.T
-        scores = np.round(scores, SCORE_DIGITS)
-        if any(projects):  # a question may be limited to some projects
-            place = batch.column("project_id").to_numpy(zero_copy_only=False)
-            for column, allowed in enumerate(projects):
-                if allowed:
-                    scores[~np.isin(place, allowed), column] = -np.inf
-        floor = np.full(matrix.shape[0], -np.inf if min_similarity is None else min_similarity)
-        if batch.num_rows > k:  # ties with the k-th stay in; the final rank breaks them
-            floor = np.maximum(floor, np.partition(scores, -k, axis=0)[-k])
-        row, query = np.nonzero((scores >= floor) & np.isfinite(scores))
-        found = batch.select(kept).take(pa.array(row))
-        return pa.table([ids.take(pa.array(query)), *found.columns,
-                         pa.array(scores[row, query])], names=schema.fieldNames())
+    scoped = ["project_id"] if any(projects) else []
+    shared = index.sparkSession.sparkContext.broadcast((matrix, ids, projects))
+    schema = T.StructType([queries.schema["query_id"], index.schema["chunk_id"], T.StructField("score", T.DoubleType())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors_of, names, allowed_in = shared.value
+        if not len(names):
+            return
+        floor = np.full(len(names), -np.inf if min_similarity is None else min_similarity)
+        held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1"))
         for batch in batches:
-            if batch.num_rows and len(ids):
-                yield from best(pa.Table.from_batches([batch])).to_batches()
-
-    return index.mapInArrow(search, schema)
+            if not batch.num_rows:
+                continue
+            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            rows = vectors.reshape(batch.num_rows, -1).astype("float64")
+            lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+            scores = np.round((rows / np.where(lengths == 0, 1.0, lengths)) @ vectors_of.T, SCORE_DIGITS)
+            if scoped:  # a question may be limited to some projects
+                place = batch.column("project_id").to_numpy(zero_copy_only=False)
+                for column, allowed in enumerate(allowed_in):
+                    if allowed:
+                        scores[~np.isin(place, allowed), column] = -np.inf
+            if batch.num_rows > k:  # ties with the k-th stay in
+                floor = np.maximum(floor, np.partition(scores, -k, axis=0)[-k])
+            row, query = np.nonzero((scores >= floor) & np.isfinite(scores))
+            chunk = np.array(batch.column("chunk_id").to_pylist(), "U")[row]
+            *held, place = _best(*(np.concatenate(x) for x in zip(held, (query, scores[row, query], chunk), strict=True)), k)
+            last = place == k - 1
+            floor[held[0][last]] = np.maximum(floor[held[0][last]], held[1][last])
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(held[0])), pa.array(held[2], pa.string()), pa.array(held[1])],
+                                             names=schema.fieldNames())
+
+    return index.select("chunk_id", "embedding", *scoped).mapInArrow(search, schema)

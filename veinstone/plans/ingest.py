@@ -28,4 +28,4 @@ def ingest(files: DataFrame, catalog: DataFrame, cache: DataFrame, config: Engin
     known = cache.select(*fresh.columns).unionByName(fresh)
     attached = attach_embeddings(chunks, known, config.embedding_fingerprint)
     failed = parsed.filter(F.col("error").isNotNull()).select("path", "error")
-    return search_projection(attached), fresh, failed
+    return search_projection(cut_lineage(attached)), fresh, failed

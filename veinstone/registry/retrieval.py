@@ -137,21 +137,21 @@ def own_folder(spark, name):
 @group.add(LEXICAL_SQL + """ SELECT query_id, rank, chunk_id, round(score, 6) AS score
   FROM ranked WHERE rank <= 50""", "L11 L12 P8 P9 P10 S1 J5")
 def lexical_topk(spark, sf):
-    """From the stored inverted index of the chunks in scope."""
-    rows = scope.in_scope(kb.note_chunks(spark, sf), ["approved"])
-    index = postings.write_index(lexical.search_projection(rows), own_folder(spark, "lists"))
+    """All questions by one scan of the projection."""
+    index = scope.in_scope(note_index(spark, sf), ["approved"])
     asked = kb.questions(spark, sf).withColumnRenamed("question", "text")
-    return postings.postings_search(index, asked, 50).select(
+    return lexical.lexical_search(index, asked, 50).select(
         "query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @group.add(LEXICAL_SQL + """ SELECT query_id, rank, chunk_id, round(score, 6) AS score
-  FROM ranked WHERE rank <= 50""", "L11 S1 J5")
-def lexical_scan(spark, sf):
-    """The same answers by one scan of the projection."""
-    index = scope.in_scope(note_index(spark, sf), ["approved"])
+  FROM ranked WHERE rank <= 50""", "L11 P8 P9 P10")
+def stored_lexical_topk(spark, sf):
+    """The same answers from the stored inverted index of the chunks in scope."""
+    rows = scope.in_scope(kb.note_chunks(spark, sf), ["approved"])
+    index = postings.write_index(lexical.search_projection(rows), own_folder(spark, "lists"))
     asked = kb.questions(spark, sf).withColumnRenamed("question", "text")
-    return lexical.lexical_search(index, asked, 50).select(
+    return postings.postings_search(index, asked, 50).select(
         "query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -507,7 +507,19 @@ def provenance_bridge(spark, sf):
     return shown(selection.attach_bridges(selected, related))
 
 
-@group.add(covers="R14 J14")
+@group.add(f"""{SUPPLIERS.replace("WITH ", "WITH RECURSIVE ", 1)}{RELATED}, sel AS MATERIALIZED (SELECT * FROM frow WHERE rank <= 8),
+  free AS MATERIALIZED (SELECT * FROM rel WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM sel)),
+  fold(query_id, r, taken, pick, score) AS (SELECT DISTINCT query_id, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, 0.0::DOUBLE FROM sel UNION ALL
+    SELECT f.query_id, f.r + 1, CASE WHEN p IS NULL THEN any_value(f.taken) ELSE list_append(any_value(f.taken), p) END, p, any_value(f.s) * 0.99::DOUBLE
+    FROM (SELECT f.query_id, f.r, any_value(f.taken) AS taken, any_value(s.score) AS s,
+        arg_min(c.chunk_id, (abs(c.ordinal - s.ordinal), c.ordinal < s.ordinal, c.pos)) AS p
+      FROM fold f JOIN sel s ON s.query_id = f.query_id AND s.rank = f.r + 1 LEFT JOIN free c ON c.query_id = s.query_id
+        AND c.document_id = s.document_id AND NOT list_contains(f.taken, c.chunk_id) AND length(trim(s.content)) < 180 AND len(f.taken) < 4
+      GROUP BY f.query_id, f.r) f GROUP BY f.query_id, f.r, p),
+  al AS (SELECT query_id, chunk_id, content_hash, score, rank FROM sel UNION ALL SELECT d.query_id, pick, content_hash, d.score, 1000 + r
+    FROM fold d JOIN free c ON c.query_id = d.query_id AND c.chunk_id = pick),
+  ded AS (SELECT *, row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) AS k FROM al)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id, round(score, 9) AS score FROM ded WHERE k = 1""", "R14 J14")
 def neighbor_attach(spark, sf):
     rows = cut_lineage(supplier_rows(spark, sf))
     fused = cut_lineage(supplier_fused(rows))
@@ -515,12 +527,26 @@ def neighbor_attach(spark, sf):
     return shown(selection.attach_neighbors(fused.filter("rank <= 8"), related, 4))
 
 
-@group.add(covers="R12")
+@group.add(f"""{SUPPLIERS}, pool AS MATERIALIZED (SELECT * FROM frow WHERE rank <= 30),
+  o AS (SELECT query_id, chunk_id, price::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY price DESC, chunk_id) AS n FROM pool QUALIFY n <= 24),
+  hit AS (SELECT query_id, min(rank) FILTER (contains(text, 'status r/')) AS a, min(rank) FILTER (contains(text, 'building')) AS b,
+      min(rank) FILTER (contains(text, 'quantity 50 ')) AS c FROM pool GROUP BY 1),
+  two AS (SELECT hit.*, coalesce(x.text, '') AS ta, CASE WHEN NOT contains(coalesce(x.text, ''), 'building') THEN b END AS b2
+    FROM hit LEFT JOIN pool x ON x.query_id = hit.query_id AND x.rank = a),
+  three AS (SELECT two.*, CASE WHEN NOT contains(ta || ' | ' || coalesce(y.text, ''), 'quantity 50 ') THEN c END AS c2
+    FROM two LEFT JOIN pool y ON y.query_id = two.query_id AND y.rank = b2),
+  forced AS (SELECT query_id, rank, place FROM (SELECT query_id, a AS rank, 1 AS place FROM three UNION ALL SELECT query_id, b2, 2 FROM three
+    UNION ALL SELECT query_id, c2, 3 FROM three) WHERE rank IS NOT NULL),
+  al AS (SELECT query_id, chunk_id, score, place FROM forced JOIN pool USING (query_id, rank)
+    UNION ALL SELECT o.query_id, o.chunk_id, o.score, 10 + n FROM o WHERE (query_id, chunk_id) NOT IN (
+      SELECT (pool.query_id, chunk_id) FROM forced JOIN pool USING (query_id, rank)))
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank, chunk_id, round(score, 9) AS score FROM al
+  QUALIFY rank <= 24""", "R12")
 def signal_coverage(spark, sf):
     pool = supplier_fused(supplier_rows(spark, sf)).filter("rank <= 30").withColumn(
         "cover_signals", F.array(F.lit("status r/"), F.lit("building"), F.lit("quantity 50 ")))
     pool = cut_lineage(pool)
-    ranked = fusion.rerank_by(pool, F.desc("price")).filter("rank <= 24").select(
+    ranked = fusion.rerank_by(pool, F.desc("price"), "chunk_id").filter("rank <= 24").select(
         "query_id", "chunk_id", F.col("price").cast("double").alias("score"), "rank")
     return shown(selection.cover_signals(pool, ranked, 24))
 

@@ -142,8 +142,8 @@ def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A small report as one JSON file."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """A small report as one JSON file; what it is made of runs in its own tasks."""
+    report.repartition(1).write.mode("overwrite").json(path)
 
 
 def load_models(spark: SparkSession, rows: list[dict]) -> DataFrame:

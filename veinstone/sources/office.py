@@ -43,38 +43,81 @@ class Outline:
         return " > ".join(self.path)
 
 
+#: Open elements that a start tag ends, and the elements that this does not reach out of.
+_ENDS = {**dict.fromkeys(_HEADINGS | _BLOCKS | {"table", "ul", "ol", "dl", "div", "section", "article", "hr", "form"}, {"p"}),
+         "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "tr", "td", "th"},
+         "td": {"p", "td", "th"}, "th": {"p", "td", "th"}}
+_KEEPS = {"table", "ul", "ol", "dl", "div", "section", "article", "aside", "blockquote", "form"}
+
+
 class _Page(HTMLParser):
-    """Document-order list of the wanted elements with the text inside them.
+    """Document-order list of the wanted elements, each with the text that is its own.
 
-    An element stays open until its end tag, so text in an unclosed or nested
-    element also belongs to every element around it.
+    A text belongs to one element: the cell around it, else the innermost block or heading. Paragraphs,
+    list items and the parts of tables end where HTML lets their end tags be left out.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[list] = []      # [tag, record or None]
+        self.count: dict[str, int] = {}
         self.found: list[dict] = []
+        self.cells: list[dict] = []
+        self.blocks: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
+        self._end_before(tag)
         record = None
         if tag in _HEADINGS | _BLOCKS | {"table", "tr", "td", "th"}:
-            record = {"tag": tag, "text": [], "rows": [], "inside": [r for _, r in self.open if r]}
-            self.found.append(record)
+            record = {"tag": tag, "text": [], "rows": []}
+            if tag in _HEADINGS | _BLOCKS | {"table"}:
+                record["in_cell"] = bool(self.cells)
+                self.found.append(record)
+            else:
+                around = self._innermost("table" if tag == "tr" else "tr")
+                if around is not None:
+                    around["rows"].append(record)
         if tag not in _VOID:
             self.open.append([tag, record])
-
-    def handle_endtag(self, tag):
+            self.count[tag] = self.count.get(tag, 0) + 1
+            if tag in ("td", "th"):
+                self.cells.append(record)
+            elif tag in _HEADINGS | _BLOCKS:
+                self.blocks.append(record)
+
+    def _innermost(self, tag):
+        return next((r for t, r in reversed(self.open) if t == tag), None) if self.count.get(tag) else None
+
+    def _end_before(self, tag):
+        ended = _ENDS.get(tag, ())
+        if not any(map(self.count.get, ended)):
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+            if self.open[i][0] in ended:
+                self._close(i)
+                if not any(map(self.count.get, ended)):
+                    return
+            elif self.open[i][0] in _KEEPS:
                 return
 
+    def _close(self, i):
+        for tag, record in reversed(self.open[i:]):
+            self.count[tag] -= 1
+            if tag in ("td", "th"):
+                self.cells.pop()
+            elif tag in _HEADINGS | _BLOCKS:
+                self.blocks.pop()
+        del self.open[i:]
+
+    def handle_endtag(self, tag):
+        if self.count.get(tag):
+            self._close(next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag))
+
     def handle_data(self, data):
         piece = data.strip()
-        if piece and not any(tag in _HIDDEN for tag, _ in self.open):
-            for _, record in self.open:
-                if record:
-                    record["text"].append(piece)
+        owner = self.cells[-1] if self.cells else self.blocks[-1] if self.blocks else None
+        if piece and owner is not None and not any(map(self.count.get, _HIDDEN)):
+            owner["text"].append(piece)
 
 
 def read_html(text: str):
@@ -91,17 +134,14 @@ def read_html(text: str):
 
     for element in page.found:
         words = " ".join(element["text"])
-        if element["tag"] in _HEADINGS:
-            flush()
-            outline.enter(int(element["tag"][1]), words)
-        elif element["tag"] == "table":
+        if element["tag"] == "table":
             flush()
-            rows = [r for r in page.found if r["tag"] == "tr" and any(p is element for p in r["inside"])]
-            cells = [[c for c in page.found if c["tag"] in {"td", "th"} and any(p is r for p in c["inside"])]
-                     for r in rows]
-            if rows:
-                units.append(unit("\n".join(" | ".join(" ".join(c["text"]) for c in row) for row in cells),
+            if element["rows"]:
+                units.append(unit("\n".join(" | ".join(" ".join(c["text"]) for c in row["rows"]) for row in element["rows"]),
                                   str(outline), table=True))
+        elif element["tag"] in _HEADINGS and not element["in_cell"]:
+            flush()
+            outline.enter(int(element["tag"][1]), words)
         elif element["tag"] in _BLOCKS and words:
             lines.append(words)
     flush()

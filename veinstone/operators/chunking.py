@@ -6,10 +6,14 @@ chunking needs no shuffle.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veinstone import fixed_values as fv
 from veinstone.config import EngineConfig
 from veinstone.functions import text as tx
 from veinstone.functions.cutting import unit_contents
@@ -59,32 +63,45 @@ def unit(text: Column, heading_path: Column | None = None) -> Column:
     return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in UNIT.fields])
 
 
+_HEADING = re.compile("(#+) ")
+
+
+def _sections(text: str | None) -> list[tuple] | None:
+    """Units of a Markdown text, each line read once."""
+    if text is None:
+        return None
+    plain = text.replace("\r\n", "\n").replace("\r", "\n")
+    units, path, lines = [], [], []
+
+    def flush():
+        body = "\n".join(lines)
+        if body.strip(fv.SPACE):
+            units.append((body, " > ".join(path), None, None, None, False))
+        lines.clear()
+
+    for line in plain.removesuffix("\n").split("\n"):
+        bare = line.strip(fv.SPACE)
+        heading = _HEADING.match(bare)
+        if heading:
+            flush()
+            level = len(heading[1])
+            path = [*path[:level - 1], bare[level:].strip(fv.SPACE)]
+        else:
+            lines.append(line)
+    flush()
+    return units
+
+
+@F.pandas_udf(T.ArrayType(UNIT))
+def _markdown(texts: pd.Series) -> pd.Series:
+    names = UNIT.fieldNames()
+    return texts.map(lambda t: None if t is None else [dict(zip(names, u, strict=True)) for u in _sections(t)])
+
+
 def markdown_units(text: Column) -> Column:
     """Units of a Markdown text: the lines under each heading, with its heading path.
 
     A heading needs a space after its hashes; a skipped level does not pad the
     path.
     """
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", ""), "\n")
-    none = F.array().cast("array<string>")
-    start = F.struct(F.array().cast(T.ArrayType(UNIT)).alias("units"), none.alias("path"),
-                     none.alias("open"))
-
-    def flush(state: Column) -> Column:
-        closed = unit(F.array_join(state["open"], "\n"), F.array_join(state["path"], " > "))
-        return F.when(F.size(state["open"]) > 0, F.array_append(state["units"], closed)
-                      ).otherwise(state["units"])
-
-    def read(state: Column, line: Column) -> Column:
-        bare = tx.strip(line)
-        hashes = F.length(F.regexp_extract(bare, "^(#+) ", 1))
-        title = tx.strip(F.substring(bare, hashes + 1, F.length(bare)))
-        return F.when(hashes > 0, F.struct(
-            flush(state).alias("units"),
-            F.array_append(F.slice(state["path"], F.lit(1), hashes - 1), title).alias("path"),
-            none.alias("open"),
-        )).otherwise(F.struct(
-            state["units"].alias("units"), state["path"].alias("path"),
-            F.array_append(state["open"], line).alias("open")))
-
-    return F.filter(F.aggregate(lines, start, read, flush), lambda u: tx.strip(u["text"]) != "")
+    return _markdown(text)

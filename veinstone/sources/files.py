@@ -60,7 +60,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     plain = marked.filter(F.col("suffix").isin(*TEXT_SUFFIXES, *MARKDOWN)).withColumn(
         "text", F.coalesce(text, _replaced(F.col("content"))))
     native = plain.select("path", F.when(
-        F.col("suffix").isin(*MARKDOWN), markdown_units(F.col("text"))).otherwise(
+        F.col("suffix").isin(*MARKDOWN), markdown_units(F.when(F.col("suffix").isin(*MARKDOWN), F.col("text")))).otherwise(
         F.array(unit(F.col("text")))).alias("units"), none.alias("warnings"),
         F.lit(None).cast("string").alias("error"))
     containers = marked.filter(F.col("suffix").isin(*READERS)).select("path", "suffix", "content")
@@ -115,14 +115,18 @@ def store_objects(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     Storing equal bytes again changes nothing; different bytes under a known
     key are an error.
     """
-    hashed = incoming.withColumn("sha256", F.sha2("data", 256)).dropDuplicates(["object_key", "sha256"])
-    several = hashed.groupBy("object_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    hashed = incoming.withColumn("sha256", F.sha2("data", 256))
+    keys = hashed.select("object_key", "sha256").distinct()
+    several = keys.groupBy("object_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
     known = existing.select("object_key", F.col("sha256").alias("_known"))
-    judged = hashed.join(known, "object_key", "left").join(several, "object_key", "left")
+    judged = keys.join(known, "object_key", "left").join(several, "object_key", "left")
     clash = F.col("_n").isNotNull() | (F.col("_known") != F.col("sha256"))
     refuse = F.raise_error(F.concat(F.lit("immutable object collision at "), F.col("object_key").cast("string")))
     new = F.when(F.coalesce(clash, F.lit(False)), refuse.cast("boolean")).otherwise(F.col("_known").isNull())
-    return judged.filter(new).select("object_key", "data", "sha256")
+    # keys are judged without their bytes; only new objects are moved
+    chosen = judged.filter(new).select("object_key", "sha256")
+    return hashed.join(chosen, ["object_key", "sha256"], "left_semi").dropDuplicates(["object_key", "sha256"]).select(
+        "object_key", "data", "sha256")
 
 
 def resolve_path(root: str, path: str) -> str:

@@ -13,7 +13,9 @@ COLUMNS = {
     "op3": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op4": "query_id rank vec_id score",
     "op5": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op6": "doc_id n_shingles component_id", "op7": "doc_id n_bytes n_removed n_spans kept_sha256",
-    "op8": "page_id host path rule verdict", "op9": "page_id url text n_chars", "op10": "doc_id score keep"}
+    "op8": "page_id host path rule verdict", "op9": "page_id url text n_chars", "op10": "doc_id score keep",
+    "op11": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256", "op12": "doc_id n_bytes n_tokens over_limit",
+    "op13": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veinstone.cluster import cut_lineage
 from veinstone.config import EngineConfig
-from veinstone.operators import catalog, lexical, postings, usage, vector, vector_index
+from veinstone.operators import catalog, lexical, postings, sync, usage, vector, vector_index
 from veinstone.plans import reindex, retrieve
 from veinstone.sources import vector_blocks
 from veinstone.streaming import outbox, worker
@@ -304,3 +304,14 @@ def test_file_lookup_by_version_and_time(spark):
     assert Counter((r.n, r.found_version) for r in got.collect()) == Counter((n, expect(d, t, v)) for n, d, t, v in asked)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+# ------------------------------------------------------------------------------------ publishing
+def test_only_complete_versions_are_published(spark):
+    schema = "version_id string, chunk_id string, ordinal int, record_hash string"
+    chunks = [(v, f"{v}{i}", i, f"h{i}") for v in "abcde" for i in range(2)]
+    stored = [c for c in chunks if c[1] != "b1"] + [("c", "c9", 9, "h")]
+    stored = [(v, c, o + (c == "d1"), h) for v, c, o, h in stored]
+    pending = spark.createDataFrame([(v,) for v in "abcd"], "version_id string")
+    out = sync.verified(pending, spark.createDataFrame(chunks, schema), spark.createDataFrame(stored, schema))
+    assert [r.version_id for r in out.collect()] == ["a"]

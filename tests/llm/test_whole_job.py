@@ -90,16 +90,3 @@ def test_sure_documents_are_exchanged_once_each(spark):
 def test_metadata_values_count_whole():
     names = ["s" * 70 + str(i) for i in range(40)]
     assert len({tuple(quality.meta_features("en", n, 5)) for n in names}) > 32
-
-
-# ------------------------------------------------------------------------------------------- publishing
-def test_only_complete_versions_are_published(spark):
-    from veinstone.operators import sync
-
-    schema = "version_id string, chunk_id string, ordinal int, record_hash string"
-    chunks = [(v, f"{v}{i}", i, f"h{i}") for v in "abcde" for i in range(2)]
-    stored = [c for c in chunks if c[1] != "b1"] + [("c", "c9", 9, "h")]
-    stored = [(v, c, o + (c == "d1"), h) for v, c, o, h in stored]
-    pending = spark.createDataFrame([(v,) for v in "abcd"], "version_id string")
-    out = sync.verified(pending, spark.createDataFrame(chunks, schema), spark.createDataFrame(stored, schema))
-    assert [r.version_id for r in out.collect()] == ["a"]

@@ -254,6 +254,17 @@ def test_composing_is_associative():
                 x.tolist() for part in alignment.groups_of(whole) for x in part]
 
 
+def test_ranges_are_composed_in_their_order(spark):
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    parts = [alignment.align_text(t, names) for t in ("one two", "three 1234", "größer als", "fünf", "six")]
+    tables = [alignment._fragment_table(1, n, p) for n, p in enumerate(parts)]
+    rows = [r for t in reversed(tables) for r in t.to_pylist()]
+    level = spark.createDataFrame(rows, alignment._FRAGMENT_SQL).coalesce(1)
+    made = alignment._read_fragment(alignment._next_level(level).collect()[0].asDict())
+    assert [x.tolist() for part in alignment.groups_of(made) for x in part] == [
+        x.tolist() for part in alignment.groups_of(alignment.compose(parts)) for x in part]
+
+
 def test_least_count(spark):
     rng = random.Random(1)
     values = [int(rng.paretovariate(0.7)) for _ in range(500)]

@@ -353,6 +353,12 @@ def _finish(keep_groups: bool):
     return run
 
 
+def _next_level(level: DataFrame) -> DataFrame:
+    """``FAN`` neighbouring fragments become one; they keep their numbers, which order them in their group."""
+    return level.groupBy("row", F.floor(F.col("no") / FAN).alias("up")).applyInArrow(
+        lambda key, table: _compose_group(key, table), _FRAGMENT_SQL)
+
+
 def _align_long(cuts: Cuts, rows: DataFrame, names: tuple, width: int, keep_groups: bool) -> DataFrame:
     """(row, ...) of long documents: segments encoded, ranges made, and fragments reduced by all tasks."""
     segments = rows.mapInArrow(_segments(names, width), "row long, side int, at long, byte long, text string")
@@ -362,9 +368,7 @@ def _align_long(cuts: Cuts, rows: DataFrame, names: tuple, width: int, keep_grou
     level = cuts.keep(encoded.groupBy("row", "no").applyInArrow(
         lambda key, table: _range_fragment(key, table), _FRAGMENT_SQL))
     while level.agg(F.max("no")).first()[0]:
-        up = level.withColumn("no", F.floor(F.col("no") / FAN))
-        above = cuts.keep(up.groupBy("row", F.col("no").alias("up")).applyInArrow(
-            lambda key, table: _compose_group(key, table), _FRAGMENT_SQL))
+        above = cuts.keep(_next_level(level))
         cuts.drop(level)
         level = above
     return level.mapInArrow(_finish(keep_groups), "row long, " + _ROW_SQL)

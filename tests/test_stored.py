@@ -1,5 +1,6 @@
 """Stored indexes, generations, routing, the worker stream and file lookup against plain Python."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from veinstone.cluster import cut_lineage
 from veinstone.config import EngineConfig
 from veinstone.operators import catalog, lexical, postings, sync, usage, vector, vector_index
-from veinstone.plans import reindex, retrieve
+from veinstone.operators.scope import is_searchable
+from veinstone.plans import kb, reindex, retrieve
+from veinstone.registry import all_queries
+from veinstone.registry.catalog import record_rows
 from veinstone.sources import vector_blocks
 from veinstone.streaming import outbox, worker
 
@@ -56,6 +60,21 @@ def test_stored_lists_answer_like_the_scan(spark, projected, stored, k):
     same_hits(postings.postings_search(stored, queries, k), lexical.lexical_search(projected, queries, k))
 
 
+def test_signals_are_met_by_equality(spark, tmp_path):
+    """Codes that share their trigrams: no join grows with the pairs of a word and a signal."""
+    codes = [f"k-{a}{b}{c}{d}" for a in "123" for b in "123" for c in "123" for d in "123"]
+    rows = [(f"c{i:03d}", f"{code} stays", [], []) for i, code in enumerate(codes)]
+    frame = spark.createDataFrame(rows, "chunk_id string, raw_text string, postings array<struct<token: string, weight: int>>, exact_terms array<string>")
+    index = postings.write_index(frame, str(tmp_path / "codes"), block=32)
+    wanted = [*codes, "k-12", "-3332", "2121", "absent", "k-9999", "stay", "k-12", "ta"]
+    signals = spark.createDataFrame([(s,) for s in wanted], "signal string")
+    found = postings.signal_words(index, signals.filter("length(signal) > 3"))
+    words = [*codes, "stays"]
+    assert Counter(map(tuple, found.collect())) == Counter((s, w) for s in set(wanted) if len(s) > 3 for w in words if s in w)
+    assert "Contains(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_blocks_below_the_edge_are_left_out(spark, projected, tmp_path):
     """One block holds the best chunks; after it no other block can reach the k-th score."""
     rows = projected.filter("content is not null").limit(200).unionByName(
@@ -315,3 +334,45 @@ def test_only_complete_versions_are_published(spark):
     pending = spark.createDataFrame([(v,) for v in "abcd"], "version_id string")
     out = sync.verified(pending, spark.createDataFrame(chunks, schema), spark.createDataFrame(stored, schema))
     assert [r.version_id for r in out.collect()] == ["a"]
+
+
+# ------------------------------------------------------------------------------------------ records
+@pytest.fixture(scope="module")
+def orders_folder(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("orders"))
+    day = datetime(1996, 1, 1)
+    tables = {
+        "nation": ([(0, "HERE"), (1, "THERE")], "n_nationkey int, n_name string"),
+        "customer": ([(c, f"c{c}", c % 2, 10.0 * c, "BUILDING") for c in range(4)],
+                     "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "orders": ([(o, o % 4, "FOP"[o % 3], 1.0, day + timedelta(days=o), "1-URGENT") for o in range(12)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "lineitem": ([(o, 7 + o, 3, n, 5.0, 12.34, 0.0, 0.0, "R", "F", day if n < 3 else None) for o in [*range(13), 5] for n in (1, 2, 3)]
+                     + [(None, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, None, "O", day)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_lines_are_joined_before_their_texts_are_made(spark, orders_folder):
+    rows = record_rows(spark, orders_folder)
+    assert "sha2(" not in rows._jdf.queryExecution().optimizedPlan().toString().partition("Join ")[2]
+    owned = catalog.mark_current(kb.record_versions(spark, orders_folder)).join(kb.record_documents(spark, orders_folder), "document_id")
+    wide = kb.record_chunks(spark, orders_folder).join(owned, "version_id").withColumn("is_searchable", is_searchable())
+    assert Counter(map(tuple, rows.select(*wide.columns).collect())) == Counter(map(tuple, wide.collect()))
+
+
+def test_versions_are_deleted_and_replaced_by_narrow_lines(spark, orders_folder):
+    known = {query.name: query.run for query in all_queries()}
+    chunks = kb.record_chunks(spark, orders_folder).select("version_id", "ordinal", "chunk_id", "record_hash").collect()
+    status = {r.version_id: r.lifecycle_status for r in kb.record_versions(spark, orders_folder).collect()}
+    for name, want in (
+            ("delete_versions", [(c.version_id, c.chunk_id, c.record_hash) for c in chunks if status.get(c.version_id) != "deprecated"]),
+            ("projection_upsert", [(c.version_id, c.chunk_id, hashlib.sha256(c.record_hash.encode()).hexdigest()
+                                    if status.get(c.version_id) == "draft" else c.record_hash)
+                                   for c in chunks if status.get(c.version_id) != "draft" or c.ordinal > 1])):
+        got = known[name](spark, orders_folder)
+        assert "sha2(" not in got._jdf.queryExecution().optimizedPlan().toString().partition("Join ")[2]
+        assert Counter(map(tuple, got.select("version_id", "chunk_id", "record_hash").collect())) == Counter(want)

@@ -121,3 +121,22 @@ def test_plans():
 def test_folding_of_question_words(spark):
     row = spark.createDataFrame([(["HauptStraße", "AB"],)], "s array<string>").select(qs.fold_all(F.col("s"))).first()
     assert row[0] == ["hauptstrasse", "ab"]
+
+
+def test_readings_know_the_places_of_what_they_find(monkeypatch):
+    import random
+
+    from veinstone.functions import quotes
+
+    calls = []
+    monkeypatch.setattr(quotes.unicodedata, "category", lambda c, of=quotes.unicodedata.category: calls.append(c) or of(c))
+    assert quotes.repair("ships | part | PRT-01", "ORD-1 ships part PRT-01 today") == "ships part PRT-01"
+    assert not calls  # an ASCII text is read at once
+    rng = random.Random(4)
+    for _ in range(2000):
+        text = "".join(rng.choice(" \t\n\x1caB1,2.-" + rng.choice(["", "éß中"])) for _ in range(rng.randrange(25)))
+        for shown in (quotes._words, quotes._letters, quotes._plain, quotes._folded):
+            pairs = [(c, (i, i + 1)) for i in range(len(text)) for c in shown(text, i)]
+            pairs = pairs[1:] if pairs and pairs[0][0] == " " else pairs
+            reading = quotes.Reading.of(text, shown)
+            assert (reading.text, list(reading.places)) == ("".join(c for c, _ in pairs), [p for _, p in pairs])

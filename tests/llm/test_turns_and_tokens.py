@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,13 @@ def test_empty_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.count_tokens(empty).count() == 0
     assert alignment.score_documents(empty).count() == 0
+
+
+def test_bytes_of_tokens_are_compared_without_a_list():
+    known = alignment._Spelled([b"ab", b"", b"c", b"\xc3\xa4"])
+    ids = np.array([2, 0, 3, 1, 2], np.int32)
+    ends = known.ends(ids)
+    assert ends.tolist() == [1, 3, 5, 5, 6]
+    assert known.gives(ids, ends, "cabäc".encode())
+    assert not known.gives(ids, ends, "cabäb".encode()) and not known.gives(ids, ends, b"cab")
+    assert known.gives(ids[:0], ends[:0], b"") and not known.gives(ids[:0], ends[:0], b"a")

@@ -32,6 +32,28 @@ _NONE = np.zeros(0, np.int32)
 
 
 # ----------------------------------------------------------------------------- the two sides
+class _Spelled:
+    """The bytes of a vocabulary, end to end."""
+
+    def __init__(self, entries: list[bytes]):
+        self.joined = np.frombuffer(b"".join(entries), np.uint8)
+        self.length = np.array([len(b) for b in entries], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """Where each token ends, in bytes."""
+        return np.cumsum(self.length[ids])
+
+    def gives(self, ids: np.ndarray, ends: np.ndarray, want: bytes) -> bool:
+        """Whether the tokens' bytes, joined, are ``want``."""
+        size = int(ends[-1]) if len(ends) else 0
+        if size != len(want):
+            return False
+        n = self.length[ids]
+        at = np.arange(size) + np.repeat(self.start[ids] - ends + n, n)
+        return self.joined[at].tobytes() == want
+
+
 class _ByteSide:
     """The byte-level tokenizer: its entries spelled in stand-ins for bytes."""
 
@@ -57,7 +79,7 @@ class _ByteSide:
         self.bytes = [b""] * (max(exact.get_vocab().values()) + 1)
         for entry, i in vocabulary.items():
             self.bytes[i] = bytes(stand_in[c] for c in entry)
-        self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.spelled = _Spelled(self.bytes)
 
     def whole(self, text: str) -> np.ndarray:
         return self.encode(" " + text)
@@ -75,7 +97,7 @@ class _PieceSide:
         model = self.lib.model
         self.bytes = [bytes([int(model.id_to_piece(i)[1:-1], 16)]) if model.is_byte(i)
                       else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.vocab_size())]
-        self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.spelled = _Spelled(self.bytes)
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.lib.model.encode(text, return_type="numpy"), np.int32)
@@ -121,10 +143,16 @@ class Fragment:
 
 def fragment(ids: tuple, ends: tuple) -> Fragment:
     """The fragment of the tokens of one range, given where they end."""
-    common = np.intersect1d(*ends, assume_unique=True)
-    if not len(common):
+    if not len(ends[0]) or not len(ends[1]):
+        return Fragment(prefix=ids)
+    # ends ascend and lie in one range, so a mark a byte tells which of them the other side has, too
+    first = min(e[0] for e in ends)
+    marks = np.zeros((2, max(e[-1] for e in ends) - first + 1), bool)
+    for mark, e in zip(marks, ends, strict=True):
+        mark[e - first] = True
+    cuts = [np.flatnonzero(other[e - first]) + 1 for other, e in zip(marks[::-1], ends, strict=True)]
+    if not len(cuts[0]):
         return Fragment(prefix=ids)
-    cuts = [np.searchsorted(e, common) + 1 for e in ends]
     return Fragment(
         tuple(i[:c[0]] for i, c in zip(ids, cuts, strict=True)), True,
         tuple(i[c[0]:c[-1]] for i, c in zip(ids, cuts, strict=True)),
@@ -166,10 +194,10 @@ def groups_of(f: Fragment) -> tuple[tuple, tuple]:
 
 
 @functools.cache
-def _marked() -> list[str]:
+def _marked() -> np.ndarray:
     """Decimal ids with the mark behind them, ``,`` or that of a group's last id: two entries an id, the
-    first side's ids before the second's."""
-    return [f"{i}{mark}" for last, n in (("|", 1 << 16), (";", 1 << SHIFT)) for i in range(n) for mark in (",", last)]
+    first side's ids before the second's. Shorter entries are filled with zero bytes."""
+    return np.array([f"{i}{mark}" for last, n in (("|", 1 << 16), (";", 1 << SHIFT)) for i in range(n) for mark in (",", last)], "S")
 
 
 def spelled(ids: tuple, sizes: tuple) -> str:
@@ -182,12 +210,13 @@ def spelled(ids: tuple, sizes: tuple) -> str:
         code = 2 * ids[s].astype(np.int64) + shift
         code[ends[s] - 1] += 1
         codes[np.arange(len(code)) + np.repeat(before[s], sizes[s])] = code
-    return "".join(map(_marked().__getitem__, codes.tolist()))[:-1]
+    filled = _marked()[codes].view(np.uint8)
+    return filled[filled != 0].tobytes()[:-1].decode()
 
 
 def linked_pairs(ids: tuple, sizes: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of ids that share a group, with how many occurrences are linked."""
-    a, b = (i.astype(np.int64) for i in ids)
+    a, b = (i.astype(np.int32) for i in ids)  # a pair has 31 bits
     na, nb = (n.astype(np.int64) for n in sizes)
     start_a, start_b = np.cumsum(na) - na, np.cumsum(nb) - nb
     narrow = na * nb <= WIDE
@@ -230,18 +259,18 @@ def _document_row(f: Fragment | None, keep_groups: bool) -> tuple:
             hashlib.sha256(text.encode()).hexdigest(), text if keep_groups else "", pairs.astype(np.int32), times)
 
 
-def _spells(names: tuple, ids: tuple, want: bytes) -> bool:
-    return all(b"".join(map(side(n).bytes.__getitem__, x.tolist())) == want for n, x in zip(names, ids, strict=True))
-
-
 def align_text(text: str, names: tuple) -> Fragment | None:
     """The one fragment of a text; None where it has no tokens."""
     if not text:
         return None
-    ids = tuple(side(n).whole(text) for n in names)
-    if not _spells(names, ids, b" " + text.encode()):
-        return None
-    return fragment(ids, tuple(np.cumsum(side(n).length[i]) for n, i in zip(names, ids, strict=True)))
+    want = b" " + text.encode()
+    ids, ends = [], []
+    for tokenizer in map(side, names):
+        ids.append(tokenizer.whole(text))
+        ends.append(tokenizer.spelled.ends(ids[-1]))
+        if not tokenizer.spelled.gives(ids[-1], ends[-1], want):
+            return None
+    return fragment(tuple(ids), tuple(ends))
 
 
 def _batch(head: list, heads: pa.Schema, rows: list) -> pa.RecordBatch:
@@ -294,8 +323,9 @@ def _encode_segments(names: tuple, width: int):
                 tokenizer, head = side(names[r["side"]]), min(1, r["at"])
                 ids = tokenizer.part(r["text"], head, len(r["text"]))
                 want = (r["text"][1:] if head else " " + r["text"]).encode()
-                whole = b"".join(map(tokenizer.bytes.__getitem__, ids.tolist())) == want
-                ends = r["byte"] + np.cumsum(tokenizer.length[ids])
+                ends = tokenizer.spelled.ends(ids)
+                whole = tokenizer.spelled.gives(ids, ends, want)
+                ends += r["byte"]
                 number = (ends - 1) // width
                 rows = [(r["row"], int(n), r["side"], r["byte"], ids[number == n], ends[number == n], whole)
                         for n in np.unique(number)] or [(r["row"], 0, r["side"], r["byte"], _NONE, np.zeros(0, np.int64), whole)]

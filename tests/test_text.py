@@ -140,3 +140,17 @@ def test_readings_know_the_places_of_what_they_find(monkeypatch):
             pairs = pairs[1:] if pairs and pairs[0][0] == " " else pairs
             reading = quotes.Reading.of(text, shown)
             assert (reading.text, list(reading.places)) == ("".join(c for c, _ in pairs), [p for _, p in pairs])
+
+
+def test_batches_are_read_in_pieces():
+    import pyarrow as pa
+
+    from veinstone.functions.batches import pieces
+
+    texts = pa.array(["a" * 40, None, "b" * 900, "", *["c" * 30] * 20])
+    flags = pa.array(range(len(texts)))
+    cut = list(pieces(texts, flags, size=200))
+    assert all(t.nbytes <= 200 or len(t) == 1 for t, _ in cut) and len(cut) > 5
+    assert sum((t.to_pylist() for t, _ in cut), []) == texts.to_pylist()
+    assert sum((f.to_pylist() for _, f in cut), []) == flags.to_pylist()
+    assert [len(t) for t, in pieces(texts[:0])] == [0]

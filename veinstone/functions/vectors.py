@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veinstone import fixed_values as fv
+from veinstone.functions.batches import pieces
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -54,10 +57,12 @@ def feature_hash(text: str, dimensions: int) -> np.ndarray:
 
 def feature_hash_embedding(text: Column, dimensions: int) -> Column:
     """Arrow-batched embedding column; the default when no model is plugged in."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: feature_hash(t, dimensions).astype("float32"),
-                         na_action="ignore")
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for (part,) in pieces(batch):
+                yield pa.array([None if t is None else feature_hash(t, dimensions).astype("float32")
+                                for t in part.to_pylist()], pa.list_(pa.float32()))
 
     return embed(text)
 

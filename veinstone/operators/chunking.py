@@ -7,8 +7,9 @@ chunking needs no shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from veinstone import fixed_values as fv
 from veinstone.config import EngineConfig
 from veinstone.functions import text as tx
+from veinstone.functions.batches import pieces
 from veinstone.functions.cutting import unit_contents
 from veinstone.functions.hashing import chunk_id, content_hash, record_hash
 
@@ -27,6 +29,9 @@ UNIT = T.StructType([
     T.StructField("cell_range", T.StringType()),
     T.StructField("is_table", T.BooleanType()),
 ])
+#: Units of one document, in Arrow.
+ARROW_UNITS = pa.list_(pa.struct([(f.name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[
+    f.dataType.simpleString()]) for f in UNIT]))
 
 
 def chunk_documents(documents: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -92,10 +97,11 @@ def _sections(text: str | None) -> list[tuple] | None:
     return units
 
 
-@F.pandas_udf(T.ArrayType(UNIT))
-def _markdown(texts: pd.Series) -> pd.Series:
-    names = UNIT.fieldNames()
-    return texts.map(lambda t: None if t is None else [dict(zip(names, u, strict=True)) for u in _sections(t)])
+@F.arrow_udf(T.ArrayType(UNIT))
+def _markdown(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for (part,) in pieces(batch):
+            yield pa.array([_sections(t) for t in part.to_pylist()], ARROW_UNITS)
 
 
 def markdown_units(text: Column) -> Column:

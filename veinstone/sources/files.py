@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veinstone import fixed_values as fv
 from veinstone.functions import text as tx
+from veinstone.functions.batches import pieces
 from veinstone.operators.catalog import file_suffix
-from veinstone.operators.chunking import UNIT, markdown_units, unit
+from veinstone.operators.chunking import ARROW_UNITS, UNIT, markdown_units, unit
 from veinstone.sources import office
 
 PARSED = T.StructType([
@@ -64,7 +66,7 @@ def parse_files(files: DataFrame) -> DataFrame:
         F.array(unit(F.col("text")))).alias("units"), none.alias("warnings"),
         F.lit(None).cast("string").alias("error"))
     containers = marked.filter(F.col("suffix").isin(*READERS)).select("path", "suffix", "content")
-    parsed = containers.mapInPandas(_read_containers, PARSED)
+    parsed = containers.mapInArrow(_read_containers, PARSED)
     return _without_empty(native.unionByName(parsed)).unionByName(broken)
 
 
@@ -78,16 +80,20 @@ def _replaced(content: Column) -> Column:
     return _decode(F.when(F.try_validate_utf8(content).isNull(), content))
 
 
-def _read_containers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = pa.string(), ARROW_UNITS, pa.list_(pa.string()), pa.string()
     for batch in batches:
-        rows = []
-        for path, suffix, content in zip(batch["path"], batch["suffix"], batch["content"]):
-            try:
-                units, warnings = READERS[suffix](content)
-                rows.append((path, [dict(zip(UNIT.fieldNames(), u)) for u in units], warnings, None))
-            except Exception as problem:  # reported with its file
-                rows.append((path, [], [], f"{type(problem).__name__}: {problem}"))
-        yield pd.DataFrame(rows, columns=PARSED.fieldNames())
+        for part in pieces(*[batch.column(c) for c in ("content", "path", "suffix")]):
+            rows = []
+            for content, path, suffix in zip(*[c.to_pylist() for c in part], strict=True):
+                try:
+                    units, warnings = READERS[suffix](content)
+                    rows.append((path, units, warnings, None))
+                except Exception as problem:  # reported with its file
+                    rows.append((path, [], [], f"{type(problem).__name__}: {problem}"))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=PARSED.fieldNames())
 
 
 def _without_empty(parsed: DataFrame) -> DataFrame:
@@ -99,13 +105,13 @@ def parse_html(pages: DataFrame, key: str, markup: str) -> DataFrame:
     """(key, units) of HTML held in a column."""
     schema = T.StructType([pages.schema[key], T.StructField("units", T.ArrayType(UNIT))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [[dict(zip(UNIT.fieldNames(), u)) for u in office.read_html(m)[0]]
-                     for m in batch[markup]]
-            yield pd.DataFrame({key: batch[key], "units": units})
+            for markups, keys in pieces(batch.column(1), batch.column(0)):
+                units = [office.read_html(m)[0] for m in markups.to_pylist()]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(units, ARROW_UNITS)], names=[key, "units"])
 
-    return pages.select(key, markup).mapInPandas(run, schema)
+    return pages.select(key, markup).mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------ objects

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,53 @@ def test_substrings_by_lists(spark, projected, stored):
     assert got == want
 
 
+def test_chunks_and_lists_stay_where_they_lie(spark, projected, tmp_path):
+    """Blocks are rows of one partition in a row; each block of a task has one list a term, and segments are in order."""
+    rows = projected.repartition(3, "chunk_id")
+    index = postings.write_index(rows, str(tmp_path / "lists"), block=50)
+    lain = {r.chunk_id: r.p for r in rows.select("chunk_id", F.spark_partition_id().alias("p")).collect()}
+    held = defaultdict(list)
+    for r in index.chunks.collect():
+        held[r.block].append((r.no, lain[r.chunk_id]))
+    assert sum(map(len, held.values())) == 900
+    assert all(sorted(no for no, _ in b) == list(range(len(b))) and len(b) <= 50 and len({p for _, p in b}) == 1 for b in held.values())
+    lists = index.lists.select("term", "block").withColumn("file", F.input_file_name()).collect()
+    assert len({(r.term, r.block) for r in lists}) == len(lists)
+    by_file = defaultdict(list)
+    for r in lists:
+        by_file[r.file].append((r.term, r.block))
+    assert all(rows == sorted(rows) for rows in by_file.values())
+
+
+def test_blocks_that_reading_cuts_keep_their_rows(spark, projected, stored, tmp_path):
+    """Lists of a block whose rows come in many batches, or in parts, add up to its chunks."""
+    table = stored.chunks.select("block", "no", "raw_text", "postings", "exact_terms").filter("block = 0").orderBy("no").toArrow()
+    whole = pa.concat_tables(map(postings._block_lists, postings._blocks(iter(table.to_batches(max_chunksize=7)))))
+    assert whole.sort_by("term").equals(postings._block_lists(table).sort_by("term"))
+    parts = [postings._block_lists(table.slice(at, 30)) for at in range(0, table.num_rows, 30)]
+    docs = defaultdict(bytes)
+    for part in parts:
+        for term, of in zip(part.column("term").to_pylist(), part.column("docs").to_pylist(), strict=True):
+            docs[term] += of
+    assert docs == dict(zip(whole.column("term").to_pylist(), whole.column("docs").to_pylist(), strict=True))
+
+
+def test_many_signals_are_met_where_the_lists_lie(spark, projected, stored, monkeypatch):
+    """More signals than are looked up: same answers, and no list is shuffled to meet the words that hold a signal."""
+    monkeypatch.setattr(postings, "FEW_TERMS", 2)
+    queries = spark.createDataFrame([(i, f"{w} {w[1:]} lago LOT-0{i:02d} 翠湖授") for i, w in enumerate(WORDS)], "query_id int, text string")
+    same_hits(postings.postings_search(stored, queries, 7), lexical.lexical_search(projected, queries, 7))
+    terms = lexical.question_terms(queries).withColumn("_no", F.col("query_id"))
+    asked = postings._ask(stored, cut_lineage(terms))
+    assert asked.inside and asked.users.filter("term like 'w%'").isEmpty()
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "SortMergeJoin" not in postings._of_users(stored, asked.users)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
 # ------------------------------------------------------------------------------------ vector index
 @pytest.fixture(scope="module")
 def clustered(spark):

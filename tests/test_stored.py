@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from veinstone import cluster
 from veinstone.cluster import cut_lineage
 from veinstone.config import EngineConfig
 from veinstone.operators import catalog, lexical, postings, sync, usage, vector, vector_index
@@ -352,6 +353,16 @@ def test_failed_embedding_leaves_its_question_the_lexical_channel(spark, project
 
 
 # ------------------------------------------------------------------------------------ files
+def test_file_lookup_takes_more_partitions_for_more_rows(spark, monkeypatch):
+    """What one task sorts is bounded by rows, not by a fixed number of partitions."""
+    monkeypatch.setattr(cluster, "PART_ROWS", 10)
+    versions = spark.range(200).selectExpr("concat('d', id) document_id", "concat('v', id) version_id", "timestamp_seconds(id) created_at")
+    asked = spark.range(400).selectExpr("int(id) n", "concat('d', id % 200) document_id", "cast(null as timestamp) as_of", "cast(null as string) version_id")
+    rows = catalog.file_as_of(asked, versions).select("n", "found_version", F.spark_partition_id().alias("p")).collect()
+    assert {r.n: r.found_version for r in rows} == {n: f"v{n % 200}" for n in range(400)}
+    assert len({r.p for r in rows}) > 40
+
+
 def test_file_lookup_by_version_and_time(spark):
     rng = random.Random(4)
     day = datetime(2024, 1, 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veinstone.cluster import cut_lineage, join_small
 from veinstone.config import EngineConfig
+from veinstone.functions import text as tx
 from veinstone.operators import lexical, sync, usage, vector
 from veinstone.plans import retrieve
 
@@ -186,3 +187,30 @@ def test_config_refuses_unsafe_settings():
                 dict(app_env="production")):
         with pytest.raises(ValueError):
             EngineConfig(**bad)
+
+
+def test_signals_inside_words_by_their_heads():
+    numbers = {s: i for i, s in enumerate(["a", "ab", "abc", "abcd", "bcd", "cd", "lot-0", "lot-007", "zz", "翠湖", "d", "aaaa"])}
+    find = lexical.SignalsInside(numbers)
+    for word in ["", "a", "abcd", "xabcdx", "lot-007", "lot-0", "zzz", "aaaaa", "翠湖授", "none"]:
+        assert sorted(find(word)) == sorted(i for s, i in numbers.items() if s in word)
+
+
+def test_exact_terms_of_texts_with_and_without_digits(spark):
+    rows = [("plain words 1 2 3",), ("see ctl-4616 and bkr0831, ctl-4616-a",), ("ctl-4 b1",), ("",), (None,), ("ctl-٤٦",), ("xx٤٦",)]
+    frame = spark.createDataFrame(rows, "t string")
+    whole = F.array_sort(F.array_distinct(F.concat(tx.identifiers(F.col("t")), tx.acronyms(F.col("t")))))
+    assert frame.filter(~tx.exact_terms(F.col("t")).eqNullSafe(whole)).isEmpty()
+
+
+def test_hits_fetch_their_columns_without_a_shuffle_of_the_index(spark, index, asked):
+    """The best of each question are few: they go to the index, its texts stay where they lie."""
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "SortMergeJoin" not in plan_of(lexical.lexical_search(index, asked, 3))
+        rows = index.select("chunk_id").withColumn("embedding", F.array(F.lit(1.0), F.lit(0.5)))
+        found = vector.vector_search(rows, spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>"), 3)
+        assert "SortMergeJoin" not in plan_of(found) and found.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 
-from veinstone.functions.vectors import feature_hash
+from veinstone.functions.vectors import _embedded, feature_hash, feature_hashes
 
 
 def test_feature_hash_slots_and_signs():
@@ -16,3 +16,13 @@ def test_feature_hash_slots_and_signs():
 
 def test_text_without_features_is_zero():
     assert not feature_hash("...", 8).any()
+
+
+def test_vectors_counted_together_are_those_of_single_texts():
+    texts = ["", "river stone", "River-stone river x1", "翠湖授信 abc", "翠", "a b c d a", "?!"] * 60
+    together = feature_hashes(texts, 16)
+    assert all((together[i] == feature_hash(t, 16)).all() for i, t in enumerate(texts))
+    listed = _embedded([None, *texts, None, ""], 16).to_pylist()
+    assert listed[0] is None and listed[-2] is None and listed[-1] == [0.0] * 16
+    assert listed[1:-2] == together.astype("float32").tolist()
+    assert _embedded([], 16).to_pylist() == [] and _embedded([None], 16).to_pylist() == [None]

@@ -30,6 +30,8 @@ def cosine(left: Column, right: Column) -> Column:
 _FEATURE = re.compile(fv.FEATURE_TOKEN)
 _CJK_RUN = re.compile(f"[{fv.CJK}]+")
 _SLOTS: dict[str, int] = {}
+#: Texts whose vectors are made at once.
+TEXT_STEP = 256
 
 
 def _slot(feature: str) -> int:
@@ -44,15 +46,34 @@ def _slot(feature: str) -> int:
 
 def feature_hash(text: str, dimensions: int) -> np.ndarray:
     """Signed feature hashing of words and CJK bigrams, L2 normalised."""
-    folded = text.casefold()
-    features = _FEATURE.findall(folded)
-    for run in _CJK_RUN.findall(folded):
-        features += [run[i:i + 2] for i in range(max(1, len(run) - 1))]
-    slots = [_slot(f) for f in features]
-    vector = np.zeros(dimensions)
-    np.add.at(vector, np.array([s % dimensions for s in slots], dtype=int),
-              [1.0 if s >> 10 & 1 else -1.0 for s in slots])
-    return vector / (np.sqrt(vector @ vector) or 1.0)
+    return feature_hashes([text], dimensions)[0]
+
+
+def feature_hashes(texts: list[str], dimensions: int) -> np.ndarray:
+    """The vectors of some texts, one a row, counted together."""
+    slots, n = [], []
+    for text in texts:
+        folded = text.casefold()
+        features = _FEATURE.findall(folded)
+        for run in _CJK_RUN.findall(folded):
+            features += [run[i:i + 2] for i in range(max(1, len(run) - 1))]
+        slots += map(_slot, features)
+        n.append(len(features))
+    slot = np.array(slots, np.uint64)
+    cell = np.repeat(np.arange(len(texts)) * dimensions, n) + (slot % np.uint64(dimensions)).astype(np.int64)
+    sign = np.where(slot >> np.uint64(10) & np.uint64(1), 1.0, -1.0)
+    vectors = np.bincount(cell, sign, len(texts) * dimensions).reshape(len(texts), dimensions)
+    lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return vectors / np.where(lengths == 0, 1.0, lengths)
+
+
+def _embedded(texts: list[str | None], dimensions: int) -> pa.Array:
+    known = [t for t in texts if t is not None]
+    values = [feature_hashes(known[i:i + TEXT_STEP], dimensions).astype("float32").ravel() for i in range(0, len(known), TEXT_STEP)]
+    has = np.array([t is not None for t in texts], bool)
+    offsets = np.append(0, np.cumsum(has * dimensions)).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, "float32")),
+                                    mask=pa.array(~has))
 
 
 def feature_hash_embedding(text: Column, dimensions: int) -> Column:
@@ -61,8 +82,7 @@ def feature_hash_embedding(text: Column, dimensions: int) -> Column:
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for (part,) in pieces(batch):
-                yield pa.array([None if t is None else feature_hash(t, dimensions).astype("float32")
-                                for t in part.to_pylist()], pa.list_(pa.float32()))
+                yield _embedded(part.to_pylist(), dimensions)
 
     return embed(text)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veinstone.cluster import is_small
+from veinstone.cluster import cut_lineage, is_small, join_small
 from veinstone.functions import vectors as vx
 from veinstone.operators.lexical import top_per_query
 
@@ -54,9 +54,9 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int,
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)
-    ranked = top_per_query(union, k, F.desc("score"), F.asc("chunk_id"))
+    ranked = cut_lineage(top_per_query(union, k, F.desc("score"), F.asc("chunk_id")))
     kept = [c for c in index.columns if c != "embedding"]
-    return index.select(*kept).join(ranked, "chunk_id").select("query_id", *kept, "score", "rank")
+    return join_small(index.select(*kept), ranked, "chunk_id").select("query_id", *kept, "score", "rank")
 
 
 def _best(query: np.ndarray, score: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

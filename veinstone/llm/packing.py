@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinstone.functions.batches import slices
 from veinstone.llm.common import Cuts
 
 #: Fixed value of the contract: the id after every document.
@@ -123,7 +124,7 @@ def cut_pieces(documents: DataFrame, window: int, tokenizer: str, keep_ids: bool
 
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")

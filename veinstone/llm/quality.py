@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.functions.batches import slices
 from veinstone.llm.common import Cuts
 from veinstone.llm.trees import BoostedTrees
 
@@ -59,7 +60,7 @@ def meta_features(lang: str | None, source: str | None, size: int) -> list[float
 def views(documents: DataFrame) -> DataFrame:
     """doc_id and both views of every document, from one scan of the whole texts."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, langs, sources = batch.columns
             a, b = [], []
             for text, lang, source in zip(texts, langs, sources, strict=True):
@@ -280,7 +281,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, cuts: Cuts | None = None,
     names = documents.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(names.index(c)) for c in ("text", "lang", "source")]
             texts, metas = [], []
             for t, lang, source in zip(*columns, strict=True):

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.functions.batches import slices
+
 #: Fixed values of the contract: base patterns and the least length of what they must hold.
 ASSIGN = re.compile(
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -435,7 +437,7 @@ def scan_documents(documents: DataFrame) -> DataFrame:
     are scanned whole, in one stream of tokens; nothing is shuffled.
     """
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 spans = scan(text.as_py() or "")
@@ -466,7 +468,7 @@ def redact_documents(documents: DataFrame) -> DataFrame:
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, touched = [], []
             for value in batch.column(at):
                 text = value.as_py()

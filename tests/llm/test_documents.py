@@ -322,6 +322,19 @@ def test_jaccard_join_of_small_sets_and_long_lists(spark, monkeypatch):
     assert multiset(jaccard.join_documents(docs)) == want
 
 
+def test_shingles_rare_in_each_task_and_common_in_all_are_put_last(spark, monkeypatch):
+    """A line in both texts of each task is no task's frequent shingle; no list of it is shown, and links stay."""
+    rng = random.Random(14)
+    line = " ".join(f"line{i}" for i in range(24))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " " + line) for i in range(60)]
+    rows += [(100 + i, text + " more") for i, text in rows[:10]]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 35), "doc_id long, text string")
+    seen, inner = [], jaccard._long_lists
+    monkeypatch.setattr(jaccard, "_long_lists", lambda cuts, members, *rest: seen.append(members.count()) or inner(cuts, members, *rest))
+    assert multiset(jaccard.join_documents(docs)) == brute_components(rows)
+    assert seen == [0]
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary_by_cost({n: 1000 for n in range(1, 25)}, per_list=0.1) == 0
     assert jaccard.boundary_by_cost({n: 1000 for n in range(1, 25)}, per_list=50.0) > 4

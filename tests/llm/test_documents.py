@@ -95,6 +95,28 @@ def test_mix_repeats_rows(documents, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_texts_are_shuffled_once_to_their_copies(spark):
+    rows = [(i if i % 7 else None, f"{'x' * (1 + i % 3)} " * (1 + i % 4), "s" if i % 5 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string, source string").repartition(3)
+    mixed = docs.select("doc_id", mixing.group_key(F.col("source")).alias("src"), mixing.word_count(F.col("text")).alias("size"),
+                        F.pmod(F.xxhash64("text"), F.lit(3)).alias("copies"))
+    out = mixing.repeat_documents(docs, mixed)
+    want = Counter()
+    for r in mixed.collect():
+        want[(r.doc_id, r.src, r.size)] += r.copies
+    got = out.select("doc_id", mixing.group_key(F.col("source")).alias("src"), mixing.word_count(F.col("text")).alias("size"))
+    assert Counter(map(tuple, got.collect())) == +want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.repeat_documents(docs, mixed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts = plan.split("SortMergeJoin")[0]
+    assert "Exchange" not in texts and plan.count("Window") == 1
+
+
 def test_rates_are_tilted_by_size(spark):
     """One source, target below its size: longer documents have lower rates, and the rates meet the target."""
     rows = [(i, "w " * (5 + i % 50), "en", "a", 0) for i in range(400)] + [(1000 + i, "w " * 50, "en", "b", 0) for i in range(20)]

@@ -159,11 +159,25 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sh
 
 
 def repeat_documents(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``documents`` with each row as often as ``mixed`` (of the same documents) says."""
-    turn = Window.partitionBy("doc_id", "src", "size").orderBy(F.lit(1))
-    rows = documents.select(F.col("doc_id"), group_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"),
-                            F.struct("*").alias("row")).withColumn("turn", F.row_number().over(turn))
-    times = mixed.select("doc_id", "src", "size", "copies").withColumn("turn", F.row_number().over(turn))
-    same = [rows.doc_id.eqNullSafe(times.doc_id), *(rows[c] == times[c] for c in ("src", "size", "turn"))]
-    return (rows.join(times.filter("copies > 0"), same)
+    """``documents`` with each row as often as ``mixed`` (of the same documents) says.
+
+    Texts are shuffled once: to how many rows of an id, source and size have which number of copies. Rows
+    that share all three are told apart by their turn there, where they lie.
+    """
+    key = ["_id", "src", "size"]
+    dealt = mixed.groupBy(group_key(F.col("doc_id")).alias("_id"), "src", "size", "copies").agg(F.count("*").alias("n"))
+    times = dealt.groupBy(*key).agg(F.collect_list(F.struct("copies", "n")).alias("times")).filter(
+        F.exists("times", lambda t: t["copies"] > 0))
+    rows = documents.select(group_key(F.col("doc_id")).alias("_id"), group_key(F.col("source")).alias("src"),
+                            word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    nobody = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("copies"))
+
+    def reach(done, t):
+        upto = done["upto"] + t["n"]
+        own = (F.col("turn") > done["upto"]) & (F.col("turn") <= upto)
+        return F.struct(upto.alias("upto"), F.when(own, t["copies"]).otherwise(done["copies"]).alias("copies"))
+
+    copies = F.aggregate("times", nobody, reach)["copies"]
+    return (rows.join(times, key).withColumn("turn", turn).select("row", copies.alias("copies")).filter("copies > 0")
             .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*"))

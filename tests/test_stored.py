@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
@@ -17,6 +18,7 @@ from veinstone.operators import catalog, lexical, postings, sync, usage, vector,
 from veinstone.operators.scope import is_searchable
 from veinstone.plans import kb, reindex, retrieve
 from veinstone.registry import all_queries
+from veinstone.registry import catalog as registered
 from veinstone.registry.catalog import record_rows
 from veinstone.sources import vector_blocks
 from veinstone.streaming import outbox, worker
@@ -434,3 +436,55 @@ def test_versions_are_deleted_and_replaced_line_by_line(spark, orders_folder):
                                    for c in chunks if status.get(c.version_id) != "draft" or c.ordinal > 1])):
         got = known[name](spark, orders_folder)
         assert Counter(map(tuple, got.select("version_id", "chunk_id", "record_hash").collect())) == Counter(want)
+
+
+def shuffled(spark, df):
+    """The plan of ``df`` as it is begun, without broadcasts."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["reconcile_differences", "publish_cutover"])
+def test_hashes_of_chunks_are_not_shuffled(spark, orders_folder, name):
+    plan = shuffled(spark, getattr(registered, name)(spark, orders_folder))
+    assert "Exchange hashpartitioning(concat(ORD-" in plan
+    assert not re.search(r"Exchange hashpartitioning\([^)]*chunk_id", plan)
+
+
+def test_lines_are_dealt_without_the_name_of_their_version(spark, orders_folder):
+    plan = shuffled(spark, registered.source_projection(spark, orders_folder)).split("\n")
+    dealt = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(concat(ORD-" in line]
+    assert len(dealt) == 1 and "version_id" not in "".join(plan[dealt[0]:dealt[0] + 3])
+
+
+def test_repeated_and_missing_chunks_are_compared_like_a_join(spark):
+    rng = random.Random(5)
+    some = lambda *values: rng.choice([*values, None])
+    schema = "version_id string, chunk_id string, ordinal int, record_hash string"
+    for _ in range(4):
+        mine, stored = ([(some(*"uvwxyz"), some(*"ab"), some(1, 1, 1, 2), some("h", "h", "h", "g")) for _ in range(n)] for n in (14, 12))
+        pairs = [(m, None) for m in mine if not any(s[:2] == m[:2] and None not in m[:2] for s in stored)]
+        known = [s for s in stored if s[0] is not None and any(s[0] == m[0] for m in mine)]
+        pairs += [(None, s) for s in known if not any(s[:2] == m[:2] and None not in m[:2] for m in mine)]
+        pairs += [(m, s) for m in mine for s in known if s[:2] == m[:2] and None not in m[:2]]
+        want = {}
+        for m, s in pairs:
+            w = want.setdefault((m or s)[0], [0, 0, True])
+            w[0] += bool(m and m[3])
+            w[1] += bool(s and s[3])
+            w[2] &= (m or (None,) * 4)[2:] == (s or (None,) * 4)[2:]
+        rows = spark.createDataFrame(mine, schema).withColumns({
+            "lifecycle_status": F.lit("draft"), "is_current": F.lit(False), "technical_status": F.lit("searchable"), "is_deleted": F.lit(False)})
+        table = spark.createDataFrame(stored, schema)
+        found = {r.version_id: [r.expected_chunks, r.indexed_chunks, r.manifest_matches] for r in sync.reconcile(rows, table).collect()}
+        assert found == {v: w for v, w in want.items() if not w[2]}
+        kinds = [(v,) for v in "uvwxyz"]
+        whole = {v for v, in kinds if all(m and s and m[2:] == s[2:] for m, s in [
+            *((m, s) for m, s in pairs if (m or s)[0] == v), *((None, s) for s in stored if s[0] == v and s not in known)])}
+        published = sync.verified(spark.createDataFrame(kinds, "version_id string"), spark.createDataFrame(mine, schema), table)
+        assert {r.version_id for r in published.collect()} == whole
